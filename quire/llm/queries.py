@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard_join, line_dedup
+from quire.llm import decontaminate, jaccard_join, langid, line_dedup, mixing, syncmers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,56 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return syncmers.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(_table(spark, sf_dir, "documents"))
+
+
+def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.digest(_table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, coalesce(source, '') AS source, md5('mix-1|' || coalesce(doc_id::VARCHAR, '')) AS k,
+         CASE WHEN strlen(coalesce(text, '')) = 0 THEN 0 ELSE greatest(1, strlen(text) // 4) END::BIGINT AS tokens
+  FROM documents
+), totals AS (
+  SELECT source, sum(tokens)::BIGINT AS t FROM docs GROUP BY source
+), shares AS (
+  SELECT list(t::DOUBLE / (SELECT sum(t) FROM totals) ORDER BY source) AS ps FROM totals WHERE t > 0
+), steps(i, lo, hi) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1, CASE WHEN ok THEN lo ELSE (lo + hi) / 2 END, CASE WHEN ok THEN (lo + hi) / 2 ELSE hi END
+  FROM (
+    SELECT i, lo, hi, len(ps) < 2 OR (
+        -list_sum(list_transform(ps, lambda p: p ** m / z * ln(p ** m / z))) <= 0.97 * ln(len(ps)::DOUBLE)
+        AND list_max(list_transform(ps, lambda p: p ** m / z / p)) <= 2.0) AS ok
+    FROM (SELECT i, lo, hi, ps, (lo + hi) / 2 AS m, list_sum(list_transform(ps, lambda p: p ** ((lo + hi) / 2))) AS z FROM steps, shares WHERE i < 60)
+  )
+), pick AS (
+  SELECT hi AS a, ps, list_sum(list_transform(ps, lambda p: p ** hi)) AS z FROM steps, shares WHERE i = 60
+), plan AS (
+  SELECT source, t, CASE WHEN t = 0 THEN 0.0 ELSE round((t::DOUBLE / (SELECT sum(t) FROM totals)) ** a / z, 9) END AS weight,
+         greatest(1, (t + 199999) // 200000)::BIGINT AS blocks
+  FROM totals, pick
+), goal AS (
+  SELECT *, CASE WHEN t = 0 THEN 0 ELSE floor(weight * (SELECT sum(t) FROM totals) + 1e-6) END::BIGINT AS target FROM plan
+), placed AS (
+  SELECT docs.*, goal.t, weight, target, (('0x' || substr(k, 1, 8))::BIGINT % blocks)::BIGINT AS block FROM docs JOIN goal USING (source)
+), summed AS (
+  SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY block, k, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM placed
+)
+SELECT doc_id, source, tokens, weight, block,
+       (CASE WHEN t = 0 THEN 1 ELSE target // t + CASE WHEN upto <= target % t THEN 1 ELSE 0 END END)::BIGINT AS copies
+FROM summed
+"""
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -97,6 +147,9 @@ FROM words LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
+        "op2_document_fingerprints": op2_document_fingerprints,
+        "op4_language_id": op4_language_id,
+        "op7_source_mixing": op7_source_mixing,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
@@ -105,6 +158,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
+        "op7_source_mixing": OP7_SQL,
         "op8_ngram_jaccard_join": OP8_SQL,
         "op10_benchmark_decontamination": OP10_SQL,
     }
