@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, jaccard_join, langid, line_dedup, mixing, syncmers
+from quire.llm import chat, decontaminate, jaccard_join, langid, line_dedup, mixing, syncmers, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,32 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(_table(spark, sf_dir, "documents"))
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.digest(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.digest(spark, _table(spark, sf_dir, "conversations"))
+
+
+OP6_SQL = r"""
+WITH rows AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), sized AS (
+  SELECT *, length('<turn>') + length(replace(replace(replace(role, '\', '\\'), '<', '\<'), ':', '\:')) + 1
+            + length(replace(replace(text, '\', '\\'), '<', '\<')) + length('</turn>') AS size
+  FROM rows
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(size)::BIGINT AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(_table(spark, sf_dir, "documents"))
 
@@ -149,6 +175,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_line_dedup": op1_line_dedup,
         "op2_document_fingerprints": op2_document_fingerprints,
         "op4_language_id": op4_language_id,
+        "op5_url_filters": op5_url_filters,
+        "op6_chat_formatting": op6_chat_formatting,
         "op7_source_mixing": op7_source_mixing,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
@@ -158,6 +186,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_line_dedup": OP1_SQL,
+        "op6_chat_formatting": OP6_SQL,
         "op7_source_mixing": OP7_SQL,
         "op8_ngram_jaccard_join": OP8_SQL,
         "op10_benchmark_decontamination": OP10_SQL,
