@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chat, decontaminate, jaccard_join, langid, line_dedup, mixing, syncmers, urls
+from quire.llm import chat, decontaminate, html_text, jaccard_join, langid, licenses, line_dedup, mixing, syncmers, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op2_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprints(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.digest(_table(spark, sf_dir, "pages"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.digest(_table(spark, sf_dir, "documents"))
 
@@ -139,6 +143,10 @@ FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT x AS doc_id, min(
 """
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(_table(spark, sf_dir, "documents"))
+
+
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -174,11 +182,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_line_dedup": op1_line_dedup,
         "op2_document_fingerprints": op2_document_fingerprints,
+        "op3_html_extraction": op3_html_extraction,
         "op4_language_id": op4_language_id,
         "op5_url_filters": op5_url_filters,
         "op6_chat_formatting": op6_chat_formatting,
         "op7_source_mixing": op7_source_mixing,
         "op8_ngram_jaccard_join": op8_ngram_jaccard_join,
+        "op9_license_scans": op9_license_scans,
         "op10_benchmark_decontamination": op10_benchmark_decontamination,
     }
 
