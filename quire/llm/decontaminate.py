@@ -236,6 +236,12 @@ def decontaminate(
     return kept.withColumn(text_col, text).select(*docs.columns)
 
 
+def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``decontaminate`` with the column of text lengths, where there is one, brought up to date."""
+    done = decontaminate(docs, benchmark, text_col)
+    return done.withColumn(chars_col, F.char_length(text_col).cast(docs.schema[chars_col].dataType)) if chars_col in docs.columns else done
+
+
 def digest(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = leak_columns(find_leaks(docs.select("doc_id", "text"), benchmark, keep_text=False))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")

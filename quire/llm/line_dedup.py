@@ -93,3 +93,15 @@ def dedup_lines(
             "n_dropped": F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(dropped),
         }
     ).drop("_q_id", "_q_t", "_gone")
+
+
+def reduced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """``docs``, its own columns only, with reduced texts and their lengths.
+
+    A document that loses all its lines, being wholly made of lines others
+    hold, keeps its row with an empty text.
+    """
+    done = dedup_lines(docs, id_col, text_col)
+    if chars_col in docs.columns:
+        done = done.withColumn(chars_col, F.char_length(text_col).cast("long"))
+    return done.select(*docs.columns)
