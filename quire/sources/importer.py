@@ -77,7 +77,7 @@ def manifest_order(files: DataFrame, manifest: Manifest) -> tuple[DataFrame, lis
 def numeric_order(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(files with ``order`` by their number prefix, problems (file_name, problem))."""
     prefix = F.regexp_extract("file_name", NUMBER, 1)
-    numbered = files.withColumn("number", F.when(prefix != "", prefix.cast("decimal(38,0)")))
+    numbered = files.withColumn("number", F.when(prefix != "", prefix.try_cast("decimal(38,0)")))
     same = Window.partitionBy("number")
     marked = numbered.withColumn("_n", F.when(F.col("number").isNotNull(), F.count("*").over(same)))
     why = F.when(F.col("number").isNull(), F.lit("no numeric prefix")).when(F.col("_n") > 1, F.format_string("order value %s is shared", F.col("number").cast("string")))
@@ -119,7 +119,7 @@ def plan_folder(files: DataFrame, manifest: Manifest | None = None) -> tuple[Dat
 def proposed_manifest(files: DataFrame) -> str:
     """A manifest to edit: the files by number, then name."""
     prefix = F.regexp_extract("file_name", NUMBER, 1)
-    rows = files.select("file_name", prefix.cast("decimal(38,0)").alias("n")).orderBy(F.asc_nulls_last("n"), "file_name").collect()
+    rows = files.select("file_name", prefix.try_cast("decimal(38,0)").alias("n")).orderBy(F.asc_nulls_last("n"), "file_name").collect()
     return "version = 1\n" + "".join(f'\n[[chapter]]\nfile = "{r["file_name"]}"\n' for r in rows)
 
 
