@@ -3,7 +3,8 @@
 Each round first contracts the links of every partition to a forest of stars,
 then, where stars of different partitions meet, runs a large-star and a
 small-star step.  The number of rounds follows the logarithm of the longest
-path; no link, node or label is ever brought to the driver.
+path; no link, node or label is ever brought to the driver.  Once the links left
+number at most ``LOCAL_LINKS``, one task contracts them.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from quire.llm.scratch import Scratch
 
 MAX_ROUNDS = 60
+#: So many links (16 bytes each) are contracted in one task at once.
+LOCAL_LINKS = 2_000_000
 
 
 def local_roots(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -54,13 +57,16 @@ def components(links: DataFrame, scratch: Scratch, name: str = "components") ->
     """(node, root) of every node of ``links`` (columns u, v, long) that isn't its own root."""
     edges = links
     for step in range(MAX_ROUNDS):
+        if edges.count() <= LOCAL_LINKS:
+            # a fixed bound, not a share of the data: what is left fits one task
+            return scratch.save(edges.coalesce(1).mapInArrow(_stars, "u long, v long"), f"{name}-last").select(F.col("u").alias("node"), F.col("v").alias("root"))
         # u is the larger end: every star points down to its root
         stars = scratch.save(edges.mapInArrow(_stars, "u long, v long").dropDuplicates(["u", "v"]), f"{name}-{step}")
         twice = stars.groupBy("u").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).where("lo < hi")
         chained = stars.join(stars.select(F.col("v").alias("u")).distinct(), "u", "left_semi")
         if twice.isEmpty() and chained.isEmpty():
             return stars.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        edges = _small_star(_large_star(stars))
+        edges = scratch.save(_small_star(_large_star(stars)), f"{name}-{step}-edges")
     raise RuntimeError(f"links did not contract in {MAX_ROUNDS} rounds")
 
 

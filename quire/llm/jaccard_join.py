@@ -9,15 +9,16 @@ sets form one class before anything is joined, so copies cost one row each.
 * Pass 2 emits the prefix of each set under the first order, packed by token
   range.  Two sets that reach the threshold share a prefix token, under this
   order and under any other.  Within a token's bucket size and position filters
-  apply.  Buckets of up to ``SMALL`` sets yield all their pairs.  Larger ones
+  apply, and a bound from how many tokens of either set fall in each of 64 cells.  Buckets of up to ``SMALL`` sets yield all their pairs.  Larger ones
   yield one link from each set to its neighbour in size and to an anchor, and
   are kept for pass 3.
-* Candidates must also share prefix tokens under the other orders before the
-  sets are intersected in full.
-* Pass 3 takes from the large buckets all pairs whose ends are not yet
-  connected; only these can still add a link that matters.  So a group of n near
-  copies costs about n checks, and no link between classes that lie in
-  different components is lost.
+* Candidates must also share enough prefix tokens under the second order to
+  leave the threshold in reach, and some under the third, before the sets are
+  intersected in full.
+* Pass 3 is about pairs of large buckets whose ends are not yet connected; only
+  these can still add a link that matters.  Rounds that take a few random ones
+  bring large groups together; the last round takes all pairs still apart.  So a group of n near copies costs about n checks, and no link between
+  classes that lie in different components is lost.
 
 Defined results: null or empty texts, or texts without words, have an empty set
 and link with nothing (they are their own component); fewer words than a
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
@@ -44,9 +45,13 @@ SHINGLE = 5
 PERCENT = 80
 ORDERS = (0, 1, 2)
 SMALL = 8
+#: Rounds over large buckets: random neighbours (0), then one in so many pairs apart; the last takes all.
+ROUNDS = (0, 8, 1)
+PARTNERS = 8
 CELLS_LOG = 20
 SLICES = 64
 BLOOM_LOG = 25
+HISTOGRAM = 64
 ENTRY = np.dtype([("tok", "<u8"), ("set", "<i8"), ("size", "<i4"), ("rank", "<i4")])
 
 
@@ -84,15 +89,16 @@ def ordered(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELLS_LOG, dtype=np.int64)
-        names = ["id", "n", "s1", "s2", "slice", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        names = ["id", "n", "s1", "s2", "cells", "slice", "counts"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
         for batch in batches:
-            n, s1, s2, held, pending = [], [], [], [], 0
+            n, s1, s2, cells, held, pending = [], [], [], [], [], 0
             for tokens in token_sets(batch.column(1), k):
                 a, b = class_key(tokens)
                 n.append(len(tokens))
                 s1.append(a)
                 s2.append(b)
+                cells.append(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % HISTOGRAM, minlength=HISTOGRAM).astype(np.int32))
                 held.append((tokens >> np.uint64(64 - CELLS_LOG)).astype(np.int64))
                 pending += len(tokens)
                 if pending > 1 << 20:
@@ -102,7 +108,7 @@ def _profile(k: int):
                 counts += np.bincount(np.concatenate(held), minlength=len(counts))
             rows = len(n)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(cells, kinds[4]), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
                 names,
             )
         # 16 bits are enough to know a cell as common, as one task reads one split
@@ -110,7 +116,7 @@ def _profile(k: int):
         used = [i for i in range(SLICES) if parts[i].any()]
         packed = [zlib.compress(parts[i].tobytes(), 1) for i in used]
         empty = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.array(used, kinds[4]), pa.array(packed, kinds[5])], names)
+        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(len(used), kinds[4]), pa.array(used, kinds[5]), pa.array(packed, kinds[6])], names)
 
     return run
 
@@ -259,32 +265,73 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return table
 
 
-def _full_sets(k: int, shared_levels, shared_bits):
+def _sets(k: int, percent: int, shared_levels, shared_bits, whole: bool):
+    """(id, size, tokens) of rows whose id may be wanted, in the second order.
+
+    Either the whole sets, or only their prefixes, as the upper 32 bits of the
+    sort keys.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, bits = shared_levels.value, shared_bits.value
         for batch in batches:
             b = batch.column(2).to_numpy(zero_copy_only=False)
             hit = (bits[b >> 6].view(np.uint64) >> (b & 63).astype(np.uint64)) & np.uint64(1) == 1
             batch = batch.filter(pa.array(hit))
-            n, blobs, keys = 0, [], []
+            held, keys, sizes, blobs = 0, [], [], []
             ids = batch.column(0).to_pylist()
 
             def out():
-                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(blobs, pa.binary())], ["id", "tokens"])
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["id", "size", "tokens"])
 
             for i, tokens in zip(ids, token_sets(batch.column(1), k)):
-                blobs.append(tokens[np.argsort(ordered(tokens, levels, 1))].tobytes())
+                order = ordered(tokens, levels, 1)
+                if whole:
+                    blobs.append(tokens[np.argsort(order)].tobytes())
+                else:
+                    order.sort()
+                    blobs.append((order[: prefix_size(len(order), percent)] >> np.uint64(32)).astype("<u4").tobytes())
                 keys.append(i)
-                n += len(tokens)
-                if n > 1 << 20:
+                sizes.append(len(tokens))
+                held += len(tokens)
+                if held > 1 << 20:
                     yield out()
-                    n, blobs, keys = 0, [], []
+                    held, keys, sizes, blobs = 0, [], [], []
             if keys:
                 yield out()
 
     return run
 
 
+def within_reach(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
+    """Whether two sets may reach the threshold by their sorted prefixes of one order.
+
+    Below the smaller of the two last keys both prefixes are complete, so the
+    intersection is at most what they share there and all that either has left.
+    """
+    if not len(x) or not len(y):
+        return False
+    end = min(x[-1], y[-1])
+    a, b = np.searchsorted(x, end), np.searchsorted(y, end)
+    both = 0
+    if a and b:
+        at = np.searchsorted(y[:b], x[:a])
+        at[at == b] = 0
+        both = int((y[:b][at] == x[:a]).sum())
+    return both + min(nx - a, ny - b) >= needed(nx, ny, percent)
+
+
+def _hopeful(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            u, v, nu, nv = (batch.column(i).to_pylist() for i in range(4))
+            sides = [[np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(c)] for c in (4, 5)]
+            keep = [i for i in range(len(u)) if within_reach(sides[0][i], sides[1][i], nu[i], nv[i], percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], ["u", "v"])
+
+    return run
+
+
 def _verified(percent: int, shared_levels, orders: tuple[int, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = shared_levels.value
@@ -326,12 +373,12 @@ class JaccardJoin:
     def run(self) -> DataFrame:
         """(id, n, root): a row for each document row; root is null where id is."""
         profile = self.scratch.save(
-            self.docs.mapInArrow(_profile(self.k), "id long, n long, s1 long, s2 long, slice int, counts binary"), "profile"
+            self.docs.mapInArrow(_profile(self.k), "id long, n long, s1 long, s2 long, cells array<int>, slice int, counts binary"), "profile"
         )
         self.levels = self.spark.sparkContext.broadcast(common_levels(profile))
-        rows = profile.where("slice is null").select("id", "n", "s1", "s2")
+        rows = profile.where("slice is null").select("id", "n", "s1", "s2", "cells")
         # every id of a class links to its smallest; a repeated id joins its classes
-        classes = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"))
+        classes = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"))
         self.classes = self.scratch.save(classes, "classes")
         total = rows.agg(F.sum("n")).first()[0] or 0
         size = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -342,58 +389,111 @@ class JaccardJoin:
         )
         first = self.rep_pairs(found.where("tok is null").select("a", "b").distinct())
         first = self.scratch.save(first, "pairs-1")
-        links = self.scratch.save(self.verify(first), "links-1")
+        links = self.verify(first, "1")
         member = rows.where("id is not null and n > 0").select("id", "s1", "s2").join(self.classes, ["s1", "s2"])
         copies = member.where("id > rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
-        root = components(links, self.scratch, "cc-1")
-        more = self.later_pairs(found.where("tok is not null").select("tok", "entries"), root, first)
-        if not more.isEmpty():
-            again = self.verify(more)
-            links = self.scratch.save(links.unionByName(again), "links-2")
-        root = components(links.unionByName(copies), self.scratch, "cc-2")
+        links = self.connect_large(found.where("tok is not null").select("tok", "entries"), links, first)
+        root = components(links.unionByName(copies), self.scratch, "cc-all")
         return rows.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
 
     def rep_pairs(self, pairs: DataFrame) -> DataFrame:
         """Pairs of class keys as pairs (u, v) of class representatives, u < v."""
         c = self.classes
-        both = pairs.join(c.select(F.col("s1").alias("a"), F.col("rep").alias("ra")), "a").join(c.select(F.col("s1").alias("b"), F.col("rep").alias("rb")), "b")
-        return both.where("ra <> rb").select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct()
-
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (u, v) whose sets reach the threshold."""
-        ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
+        ends = [c.select(F.col("s1").alias(e), F.col("rep").alias(f"r{e}"), F.col("n").alias(f"n{e}"), F.col("cells").alias(f"c{e}")) for e in ("a", "b")]
+        both = pairs.join(ends[0], "a").join(ends[1], "b")
+        both = both.where((F.col("ra") != F.col("rb")) & self._cells_reach(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb")))
+        return both.select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct()
+
+    def _cells_reach(self, na: Column, nb: Column, a: Column, b: Column) -> Column:
+        """Whether sets may reach the threshold by how many tokens each hash cell holds of them."""
+        most = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+        return most * (100 + self.percent) >= (na + nb) * self.percent
+
+    def verify(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs (u, v) whose sets reach the threshold; the other orders' filters first."""
+        met = self.with_sets(pairs, whole=False).select("u", "v", "nu", "nv", "tu", "tv")
+        hopeful = self.scratch.save(met.mapInArrow(_hopeful(self.percent), "u long, v long"), f"hopeful-{name}")
+        met = self.with_sets(hopeful, whole=True).select("u", "v", "tu", "tv")
+        return self.scratch.save(met.mapInArrow(_verified(self.percent, self.levels, self.orders), "u long, v long"), f"links-{name}")
+
+    def with_sets(self, pairs: DataFrame, whole: bool) -> DataFrame:
+        """The pairs with sizes and tokens of both ends."""
+        ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
         bits = self.spark.sparkContext.broadcast(id_filter(ids))
         bit = F.pmod(F.xxhash64("id"), F.lit(1 << BLOOM_LOG))
-        sets = self.docs.where("id is not null").select("id", "text", bit.alias("bit")).mapInArrow(_full_sets(self.k, self.levels, bits), "id long, tokens binary")
-        a = sets.select(F.col("id").alias("u"), F.col("tokens").alias("ta"))
-        b = sets.select(F.col("id").alias("v"), F.col("tokens").alias("tb"))
-        met = pairs.select("u", "v").join(a.hint("merge"), "u").join(b.hint("merge"), "v").select("u", "v", "ta", "tb")
-        return met.mapInArrow(_verified(self.percent, self.levels, self.orders), "u long, v long").distinct()
-
-    def later_pairs(self, buckets: DataFrame, root: DataFrame, known: DataFrame) -> DataFrame:
-        """Pairs of large buckets whose ends lie in different components so far."""
-        if buckets.isEmpty():
-            return known.limit(0)
-        c = self.classes.select(F.col("s1").alias("set"), "rep")
-        labels = c.join(root.select(F.col("node").alias("rep"), "root"), "rep", "left").select("set", "rep", F.coalesce("root", "rep").alias("root"))
-        e = buckets.mapInArrow(_unpack, "tok long, set long, size long, rank long").join(labels, "set")
-        e = self.scratch.save(e.select("tok", "rep", "root", "size", "rank"), "entries")
-        main = e.groupBy("tok", "root").agg(F.count("*").alias("n")).groupBy("tok").agg(
-            F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")
+        sets = self.docs.where("id is not null").select("id", "text", bit.alias("bit")).mapInArrow(
+            _sets(self.k, self.percent, self.levels, bits, whole), "id long, size long, tokens binary"
         )
-        apart = e.join(main.where("roots > 1"), "tok")
-        x = apart.where("root <> main").select("tok", F.col("rep").alias("ru"), F.col("root").alias("cu"), F.col("size").alias("nu"), F.col("rank").alias("iu"))
-        y = apart.select("tok", F.col("rep").alias("rv"), F.col("root").alias("cv"), F.col("size").alias("nv"), F.col("rank").alias("iv"), F.col("main").alias("mv"))
+        u = sets.select(F.col("id").alias("u"), F.col("size").alias("nu"), F.col("tokens").alias("tu"))
+        v = sets.select(F.col("id").alias("v"), F.col("size").alias("nv"), F.col("tokens").alias("tv"))
+        return pairs.select("u", "v").join(u.hint("merge"), "u").join(v.hint("merge"), "v")
+
+    def connect_large(self, buckets: DataFrame, links: DataFrame, known: DataFrame) -> DataFrame:
+        """``links`` and what the large buckets add between different components.
+
+        While many pairs of a bucket are still apart, rounds of some of them
+        bring groups together.  The last round takes all that are then still
+        apart, so nothing is missed.
+        """
+        if buckets.isEmpty():
+            return links
+        c = self.classes.select(F.col("s1").alias("set"), "rep", "cells")
+        rows = buckets.mapInArrow(_unpack, "tok long, set long, size long, rank long").join(c, "set")
+        entries = self.scratch.save(rows.select("tok", "rep", "size", "rank", "cells"), "entries")
+        for step, share in enumerate(ROUNDS):
+            root = components(links, self.scratch, f"cc-{step}").select(F.col("node").alias("rep"), "root")
+            e = self.scratch.save(entries.join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep")), f"rooted-{step}")
+            by_root = e.groupBy("tok", "root").agg(F.count("*").alias("n"))
+            main = by_root.groupBy("tok").agg(
+                F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("roots")
+            ).where("roots > 1")
+            apart, total = main.agg(F.sum(F.expr("(n - n_main) * n")), F.sum("n")).first()
+            if not apart:
+                return links
+            if apart <= PARTNERS * total:
+                share = 1  # few enough to take all of them at once
+            pairs = self.pairs_apart(e, main, share) if share else self.some_pairs(e.join(main.select("tok"), "tok", "left_semi"), step)
+            pairs = self.scratch.save(pairs.join(known, ["u", "v"], "left_anti"), f"apart-{step}")
+            links = links.unionByName(self.verify(pairs, f"apart-{step}"))
+            known = known.unionByName(pairs)
+            if share == 1:
+                return links
+        return links
+
+    def _may_reach(self, a: dict[str, Column], b: dict[str, Column]) -> Column:
+        """Size, position and cell filters on two entries of one bucket."""
         t = self.percent
-        rest = F.lit(1) + F.least(F.col("nu") - F.col("iu") - 1, F.col("nv") - F.col("iv") - 1)
-        met = x.join(y, "tok").where(
-            (F.col("cu") != F.col("cv"))
-            & ((F.col("cv") == F.col("mv")) | (F.col("ru") < F.col("rv")))
-            & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * t)
-            & (rest * (100 + t) >= (F.col("nu") + F.col("nv")) * t)
-        )
-        pairs = met.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct()
-        return self.scratch.save(pairs.join(known, ["u", "v"], "left_anti"), "pairs-2")
+        rest = F.lit(1) + F.least(a["size"] - a["rank"] - 1, b["size"] - b["rank"] - 1)
+        sizes = F.least(a["size"], b["size"]) * 100 >= F.greatest(a["size"], b["size"]) * t
+        reach = rest * (100 + t) >= (a["size"] + b["size"]) * t
+        return (a["root"] != b["root"]) & sizes & reach & self._cells_reach(a["size"], b["size"], a["cells"], b["cells"])
+
+    def some_pairs(self, e: DataFrame, step: int) -> DataFrame:
+        """A few pairs for each set: with those before it in a random order of each bucket."""
+        fields = ("rep", "root", "size", "rank", "cells")
+        w = Window.partitionBy("tok").orderBy(F.xxhash64("rep", F.lit(step)), "rep")
+        partners = F.array(*[F.lag(F.struct(*fields), i).over(w) for i in (1, 2)])
+        met = e.withColumn("_partners", partners).select(*fields, F.explode("_partners").alias("p")).where("p is not null")
+        met = met.where(self._may_reach({f: F.col(f) for f in fields}, {f: F.col(f"p.{f}") for f in fields}))
+        pairs = met.select(F.least("rep", "p.rep").alias("u"), F.greatest("rep", "p.rep").alias("v")).distinct()
+        few = Window.partitionBy("u").orderBy(F.xxhash64("v", F.lit(step)), "v")
+        return pairs.withColumn("_rn", F.row_number().over(few)).where(F.col("_rn") <= PARTNERS).drop("_rn")
+
+    def pairs_apart(self, e: DataFrame, main: DataFrame, share: int) -> DataFrame:
+        """Pairs of a bucket in different components: those outside its largest with all others.
+
+        One in ``share`` of the pairs, by a hash of both; all of them for 1.
+        """
+        met = e.join(main.select("tok", "main"), "tok")
+        x = met.where("root <> main").select("tok", *[F.col(f).alias(f"{f}_x") for f in ("rep", "root", "size", "rank", "cells")])
+        y = met.select("tok", "main", *[F.col(f).alias(f"{f}_y") for f in ("rep", "root", "size", "rank", "cells")])
+        names = ("root", "size", "rank", "cells")
+        once = (F.col("root_y") == F.col("main")) | (F.col("rep_x") < F.col("rep_y"))
+        if share > 1:
+            low, high = F.least("rep_x", "rep_y"), F.greatest("rep_x", "rep_y")
+            once = once & (F.pmod(F.xxhash64(low, high), F.lit(share)) == 0)
+        found = x.join(y, "tok").where(once & self._may_reach({f: F.col(f"{f}_x") for f in names}, {f: F.col(f"{f}_y") for f in names}))
+        return found.select(F.least("rep_x", "rep_y").alias("u"), F.greatest("rep_x", "rep_y").alias("v")).distinct()
 
 
 def jaccard_components(
