@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -197,10 +197,14 @@ def _unite(names: list[str]) -> object:
     )
 
 
+def hit_words() -> Column:
+    """Words inside the merged spans of ``_leak``."""
+    return F.aggregate(F.col("_leak.spans"), F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+
+
 def leak_columns(found: DataFrame, min_share: int = MIN_SHARE) -> DataFrame:
     """Digest columns of ``find_leaks``: n_words, n_hit, n_items, items_sha256, contaminated."""
-    leak = F.col("_leak")
-    hit = F.aggregate(leak["spans"], F.lit(0).cast("long"), lambda s, x: s + x[1] - x[0])
+    leak, hit = F.col("_leak"), hit_words()
     return found.withColumns(
         {
             "n_words": leak["n_words"],
@@ -222,8 +226,9 @@ def decontaminate(
     min_share: int = MIN_SHARE,
 ) -> DataFrame:
     """``docs`` without contaminated rows; in the others the spans that were hit are cut."""
-    found = leak_columns(find_leaks(docs, benchmark, text_col, item_col, item_text_col, window), min_share)
-    kept = found.where(~F.col("contaminated"))
+    found = find_leaks(docs, benchmark, text_col, item_col, item_text_col, window)
+    hit = hit_words()
+    kept = found.where((hit == 0) | (hit * min_share < F.col("_leak.n_words")))
     raw = F.encode(F.col(text_col), "UTF-8")
 
     # what stands between the cuts: from the end of one to the start of the next

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import textkit as tk
+from quire.llm.scratch import set_aside
 
 GRAM_LOG = 16
 SMOOTH = 0.1
@@ -87,7 +88,7 @@ class LanguageModel:
     def __init__(self, counts: dict[str, np.ndarray]):
         self.names = sorted(counts)
         rows = [np.log((counts[n] + SMOOTH) / (counts[n].sum() + SMOOTH * len(counts[n]))) for n in self.names]
-        self.logp = np.array(rows, dtype=np.float32).reshape(len(rows), -1)
+        self.logp = np.array(rows, dtype=np.float32).reshape(len(rows), 1 << GRAM_LOG)
 
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> LanguageModel:
@@ -199,5 +200,6 @@ def digest(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """``docs`` without those that are no language: no text, or none with a letter."""
     model = train(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
-    found = identify(docs, model, text_col)
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    aside, back = set_aside(docs, ("lang_pred", "score", "lang_shares"))
+    found = identify(aside, model, text_col).where(F.col("lang_pred") != UNKNOWN)
+    return found.select(*aside.columns).withColumnsRenamed(back)

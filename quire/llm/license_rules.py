@@ -8,6 +8,7 @@ from, its name as an expression, and its identifier as words.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 
@@ -156,6 +157,7 @@ def rules() -> list[Rule]:
     out = [Rule(label, " " + phrase + " ", phrase, 100, 1.0) for phrase, label in BASE]
     for line in _FAMILIES.strip().splitlines():
         label, keyword, name, ident = (x.strip() for x in line.split(" | "))
+        name = re.sub(re.escape(_V) + r" (?=[0-9(])", lambda _: "(?: version | v ?| )", name)
         for template, priority, confidence in _TEMPLATES:
             regex = template.replace("{id}", f"(?:{ident})").replace("{name}", f"(?:{name})").replace("{v}", _VERSION)
             # an identifier's keyword is the tag itself, as its words differ from the name's

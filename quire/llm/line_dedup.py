@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.nativetext import BLANKS, ascii_lower
+from quire.llm.scratch import set_aside
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -101,7 +102,8 @@ def reduced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     A document that loses all its lines, being wholly made of lines others
     hold, keeps its row with an empty text.
     """
-    done = dedup_lines(docs, id_col, text_col)
+    aside, back = set_aside(docs, ("n_lines", "n_dropped"))
+    done = dedup_lines(aside, id_col, text_col)
     if chars_col in docs.columns:
         done = done.withColumn(chars_col, F.char_length(text_col).cast("long"))
-    return done.select(*docs.columns)
+    return done.select(*aside.columns).withColumnsRenamed(back)

@@ -28,6 +28,12 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with columns of these names renamed, and how to name them back."""
+    back = {f"_in_{n}": n for n in names if n in df.columns}
+    return df.withColumnsRenamed({n: aside for aside, n in back.items()}), back
+
+
 class Scratch:
     """Parquet tables under one fresh folder of the shared root."""
 
