@@ -1,0 +1,237 @@
+"""The operators that use Arrow batches: exact ones by brute force, models by accuracy."""
+
+import hashlib
+import html
+import random
+import re
+
+import brute
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import components, decontaminate, html_text, jaccard_join, langid, syncmers, textkit
+from quire.llm.html_blocks import leaf_blocks
+from quire.llm.scratch import Scratch
+
+
+@pytest.mark.parametrize("kind,pattern", [(textkit.SPACE_WORDS, brute.SPACE_WORD), (textkit.ALNUM_WORDS, brute.ALNUM_WORD)])
+def test_words(kind, pattern):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("aAzZ09é数 \t\n\x0b-_/.😀", k=rng.randint(0, 30))) for _ in range(200)] + [None, ""]
+    column = pa.array(texts)
+    for limit in (1, 64, 1 << 20):
+        for lo, hi, data, offsets in textkit.row_blocks(column, limit):
+            starts, ends, ranges = textkit.word_bounds(data, offsets, kind)
+            raw = data.tobytes()
+            for row in range(hi - lo):
+                got = [raw[a:b].decode().translate(brute.ASCII) for a, b in zip(starts[ranges[row] : ranges[row + 1]], ends[ranges[row] : ranges[row + 1]])]
+                assert got == pattern.findall((texts[lo + row] or "").translate(brute.ASCII))
+
+
+def test_word_hashes_fold_case_only():
+    data = np.frombuffer("Abc aBC abd É é".encode(), np.uint8)
+    starts, ends, _ = textkit.word_bounds(data, np.array([0, len(data)]), textkit.SPACE_WORDS)
+    h = textkit.word_hashes(data, starts, ends)
+    assert h[0] == h[1] != h[2] and h[3] != h[4]
+
+
+def near_rows(seed=2):
+    rng = random.Random(seed)
+    vocabulary = [f"v{i}" for i in range(400)]
+    boiler = rng.choices(vocabulary, k=40)
+    rows, at = [], 0
+    for g in range(25):
+        base = rng.choices(vocabulary, k=rng.choice([3, 8, 30, 120]))
+        for _ in range(rng.choice([1, 2, 4, 30])):
+            words = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 5])):
+                words[rng.randrange(len(words))] = rng.choice(vocabulary)
+            if rng.random() < 0.3:
+                words += boiler
+            rows.append((at, " ".join(words)))
+            at += 1
+    return rows
+
+
+@pytest.mark.parametrize("small", [2, 8])
+def test_jaccard_join(spark, monkeypatch, small):
+    monkeypatch.setattr(jaccard_join, "SMALL", small)
+    rows = near_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard_join.jaccard_components(df).collect()}
+    want = brute.components(rows)
+    assert got == {i: (len(brute.shingles(t)), want[i]) for i, t in rows}
+
+
+def test_jaccard_join_odd_rows(docs, none):
+    rows = [(r[0], r[1]) for r in brute.ROWS]
+    got = jaccard_join.jaccard_components(docs).collect()
+    want = brute.components(rows)
+    assert sorted((r["doc_id"] or -1, r["n_shingles"], r["component_id"] or -1) for r in got) == sorted(
+        (i or -1, len(brute.shingles(t)), -1 if i is None else want[i]) for i, t in rows
+    )
+    assert jaccard_join.jaccard_components(none).count() == 0
+    kept = jaccard_join.keep_one(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i in {r[0] for r in brute.ROWS} if i is None or want[i] == i}
+
+
+def test_filters_are_safe():
+    rng = np.random.default_rng(0)
+    levels = np.zeros(1 << jaccard_join.CELLS_LOG, np.uint8)
+    levels[rng.integers(0, len(levels), 1000)] = 3
+    for _ in range(300):
+        base = rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64)
+        a = np.unique(base)
+        b = np.unique(np.concatenate([base[rng.random(len(base)) < 0.93], rng.integers(0, 2**63, rng.integers(0, 3), dtype=np.uint64)]))
+        if not len(b):
+            continue
+        both = len(np.intersect1d(a, b))
+        linked = both * 100 >= 80 * (len(a) + len(b) - both)
+        x, y = (t[np.argsort(jaccard_join.ordered(t, levels, 1))] for t in (a, b))
+        assert jaccard_join._linked(x, y, 80, levels, (0, 1, 2)) == linked
+        p, q = ((np.sort(jaccard_join.ordered(t, levels, 1))[: jaccard_join.prefix_size(len(t), 80)] >> np.uint64(32)).astype(np.uint32) for t in (a, b))
+        assert jaccard_join.within_reach(p, q, len(a), len(b), 80) or not linked
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(0, 500) if i % 50 != 49] + [(7, 490)]
+    df = spark.createDataFrame(edges, "u long, v long").repartition(7)
+    got = {r["node"]: r["root"] for r in components.components(df, Scratch(spark, "t")).collect()}
+    assert all(got.get(i, i) == (0 if i < 50 or 450 <= i <= 499 else i // 50 * 50) for i in range(500))
+
+
+ITEMS = [(1, " ".join(f"q{i}" for i in range(20))), (2, "short ITEM here"), (3, None), (4, "--"), (5, "short item here"), (None, "null id item text")]
+
+
+def leak_docs():
+    q = [f"q{i}" for i in range(20)]
+    return [
+        (1, "x y " + " ".join(q[2:16]) + " z" * 50), (2, "A short, item; HERE and more"), (3, " ".join(q[:12])), (4, None), (5, ""), (6, " ".join(q + q)),
+        (7, "w " * 500 + "short item here"), (7, "w " * 500 + "short item here"), (8, "short item"), (9, "é short item here 数"),
+    ]
+
+
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_leaks(spark, most):
+    b = spark.createDataFrame(ITEMS, "item_id long, text string")
+    df = spark.createDataFrame(leak_docs(), "doc_id long, text string").withColumn("n_words", F.lit("clash"))
+    got = decontaminate.leak_columns(decontaminate.find_leaks(df, b, max_windows=most)).collect()
+    assert len(got) == len(leak_docs())
+    for r in got:
+        n, hit, met = brute.leaks(r["text"], ITEMS)
+        assert (r["n_words"], r["n_hit"], r["n_items"]) == (n, len(hit), len(met))
+        assert r["items_sha256"] == decontaminate.items_digest(list(met))
+        assert r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= n)
+
+
+def test_spans_are_cut(spark, none):
+    b = spark.createDataFrame(ITEMS, "item_id long, text string")
+    df = spark.createDataFrame([(1, "é " * 100 + "Short item, HERE! end"), (2, "short item here"), (3, "clean")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(df, b).collect()}
+    assert got == {1: "é " * 100 + "! end", 3: "clean"}
+    assert decontaminate.decontaminate(none, b).count() == 0
+    assert decontaminate.decontaminate(df, b.limit(0)).count() == 3
+
+
+def test_syncmers(spark, none):
+    rng = random.Random(4)
+    rows = [(i, "".join(rng.choices("abcdefgh é", k=rng.choice([0, 1, 3, 9, 50, 700])))) for i in range(60)] + [(60, None), (61, "same text " * 9), (62, "same text " * 9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(df).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    for at, (i, t) in enumerate(order):
+        following = order[(at + 1) % len(order)][1]
+        third = len(t) // 3
+        changed = t[: len(t) - third] + following[:third]
+        assert got[i]["n_chars"] == len(t) and got[i]["edited_sha256"] == hashlib.sha256(changed.encode()).hexdigest()
+        assert 0 <= got[i]["near_edited"] <= 1 and 0 <= got[i]["near_next"] <= 1
+        assert got[i]["edited_fingerprint"] == str(syncmers.fingerprint(syncmers.code_points(changed)))
+    assert got[61]["fingerprint"] == got[62]["fingerprint"] and got[62]["near_next"] == 1.0
+    long = [got[i] for i, t in order if len(t) >= 50 and i < 60]
+    assert all(r["near_edited"] > 0.25 > r["near_next"] for r in long)
+    assert syncmers.fingerprints(none).count() == 0
+
+
+def test_syncmers_over_buckets(spark, monkeypatch):
+    monkeypatch.setattr(syncmers, "ordered_buckets", lambda docs, real=syncmers.ordered_buckets: real(docs, 7))
+    rows = [(i // 2 * 3, f"text number {i} " * 3) for i in range(200)] + [(None, "x"), (None, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((-1 if r["doc_id"] is None else r["doc_id"], r["edited_sha256"]) for r in syncmers.fingerprints(df).collect())
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -1), r[1]))
+    want = []
+    for at, (i, t) in enumerate(order):
+        third = len(t) // 3
+        want.append((-1 if i is None else i, hashlib.sha256((t[: len(t) - third] + order[(at + 1) % len(order)][1][:third]).encode()).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_closed_syncmers_are_context_free():
+    rng = random.Random(6)
+    middle = "".join(rng.choices("abcdefgh", k=200))
+    found = []
+    for left in ("", "xyz", "hhhhhhhhhhhh"):
+        codes = syncmers.code_points(left + middle + left)
+        h, at = syncmers._closed(codes, 12, 5)
+        n = len(left)
+        found.append({(int(x), int(p) - n) for x, p in zip(h, at) if n <= p <= n + 200 - 12})
+    assert found[0] == found[1] == found[2] and len(found[0]) > 20
+
+
+def test_languages(spark, docs, none):
+    rng = random.Random(8)
+    words = {"aa": ["la", "mento", "chi"], "bb": ["der", "ung", "sch"], "cc": ["the", "ing", "oft"]}
+    make = lambda lang, n: " ".join("".join(rng.choices(words[lang], k=2)) for _ in range(n))
+    rows = [(i, make(lang, rng.randint(1, 60)), lang) for i, lang in enumerate(rng.choices(list(words), k=300))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.digest(df).join(df.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 40 and sum(r["lang_pred"] == r["lang"] for r in got) / len(got) > 0.95
+    model = langid.train(df)
+    mixed = make("aa", 30) + " " + make("bb", 30)
+    odd = spark.createDataFrame([(1, mixed), (2, None), (3, ""), (4, "12 -- 3"), (5, "— … ‰"), (6, "数")], "doc_id long, text string")
+    shares = {r["doc_id"]: r for r in langid.identify(odd, model).collect()}
+    assert set(shares[1]["lang_shares"]) == {"aa", "bb"} and 0.3 < shares[1]["score"] < 0.7
+    assert [shares[i]["lang_pred"] for i in (2, 3, 4, 5)] == ["und"] * 4 and shares[2]["score"] == 0.0 and shares[6]["lang_pred"] != "und"
+    assert langid.digest(none).count() == 0
+    assert langid.identify(docs, model).count() == len(brute.ROWS)
+    assert {r["doc_id"] for r in langid.keep_known(docs).collect()}.isdisjoint({3, 4, 12})
+    assert langid.keep_known(docs).columns == docs.columns
+    assert langid.identify(odd, langid.LanguageModel({})).where("lang_pred <> 'und'").count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><p>Site name</p></header><nav><a href=/>Home</a></nav>
+<div class="cookie-notice">We use cookies</div><main><article><h1>Head &amp; line</h1><p>First <b>para</b>graph&nbsp;here, with a sentence.<p>Second
+ one<br>broken.<script>var x = "<p>no</p>";</script><div class="ad">Buy now</div><ul><li>item one<li>item two</ul></article></main>
+<section id="comments"><p>Nice post, thanks a lot!</p></section><aside>Related</aside><form><p>Subscribe</p></form><footer>&copy; us</footer>"""
+
+
+def test_page():
+    got = html_text.default_field().text(PAGE)
+    assert got == "Head & line First paragraph here, with a sentence. Second one broken. item one item two"
+
+
+def test_field_on_new_pages():
+    field, right, total = html_text.default_field(), 0, 0
+    for page in html_text.labelled_pages(150, 4321):
+        found = leaf_blocks(page)
+        right += sum(b.main == m for b, m in zip(found, field.decode(found)))
+        total += len(found)
+    assert right / total > 0.98
+
+
+def test_shared_pages(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html_text.digest(pages).collect()}
+    for r in pages.collect():
+        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r["html"], re.S).group(1)
+        bare = re.sub(r"</?b>", "", re.sub(r"<(?:br|/?p|/?h1)>", " ", inner))
+        assert got[r["page_id"]] == " ".join(html.unescape(bare).split())
+
+
+def test_odd_pages(spark):
+    rows = [(1, None), (2, ""), (3, "just text"), (4, "<p>unclosed"), (5, "<div"), (6, "<!-- x"), (7, "a < b & c"), (8, "<article><p>" + "word, " * 50_000)]
+    df = spark.createDataFrame(rows, "page_id long, html string").withColumns({"url": F.lit(None).cast("string"), "text": F.lit(1)})
+    got = {r["page_id"]: r for r in html_text.extract(df).collect()}
+    assert got[1]["text"] == "" and got[2]["n_chars"] == 0 and got[8]["n_chars"] == len(" ".join(["word,"] * 50_000))
+    assert html_text.extract(df.limit(0)).count() == 0
