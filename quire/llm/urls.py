@@ -1,14 +1,16 @@
-"""URL filters: fixed host and path rules, then association rules mined by FP-growth.
+"""URL filters: fixed host and path rules, then association rules mined by pattern growth.
 
 A URL is the set of its tokens: each label of its host with the labels after
 it, each path segment, the number of segments, the kinds of its query and
-fragment.  Labelled URLs with their label as one more item are the transactions
-from which FP-growth mines frequent item sets; rules whose consequent is a
+fragment.  Labelled URLs are the transactions.  As in FP-growth, item sets grow
+from their conditional bases, here rows of a table; rules whose consequent is a
 label stay if support, confidence and lift are high enough and no shorter rule
-of at least the same confidence says the same.  At most ``MAX_RULES`` of the
-best stay, so the inverted index from token to rules has a size bound and is
-broadcast.  A rule fires where all tokens of its antecedent were met; the most
-confident one that fires gives the verdict, and without one a URL is allowed.
+of at least the same confidence says the same.  Redundant rules are pruned as
+sets grow, before they are made, and all others stay.  Up to ``MAX_RULES`` are
+broadcast as an inverted index from token to rules; more are joined to the
+pages by each rule's rarest token.  A rule fires where all tokens of its
+antecedent were met; the most confident one that fires gives the verdict, and
+without one a URL is allowed.
 
 Defined results: null or empty URLs, and those without ``://``, have an empty
 host and path, fit no fixed rule and are judged by their tokens; repeated page
@@ -18,11 +20,15 @@ labelled URL nothing is mined and all that no fixed rule fits is allowed.
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
+import json
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.nativetext import ascii_lower
+from quire.llm.scratch import Scratch
 
 #: (host, path, verdict); a rule fits its host and all subdomains.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -30,9 +36,9 @@ MIN_SUPPORT = 0.002
 MIN_COUNT = 20  # labelled URLs that any rule must hold in
 MIN_CONFIDENCE = 0.8
 MIN_LIFT = 1.5
-MAX_RULES = 2000
+MAX_RULES = 2000  # more than these are met by a join, not by a broadcast index
 MAX_TOKENS = 16
-LABEL = "label="
+_RULE = "rule_id long, tokens array<string>, verdict string, confidence double, support double"
 
 
 def host_of(url: Column) -> Column:
@@ -78,37 +84,111 @@ def mine_rules(
     min_support: float = MIN_SUPPORT,
     min_confidence: float = MIN_CONFIDENCE,
     min_lift: float = MIN_LIFT,
-    max_rules: int = MAX_RULES,
 ) -> DataFrame:
-    """(rule_id, tokens, verdict, confidence, support), at most ``max_rules`` rows."""
+    """(rule_id, tokens, verdict, confidence, support): all rules that no shorter one makes redundant."""
+    scratch = Scratch(labelled.sparkSession, "url-rules")
     tokens = url_tokens(F.col(url_col))
     # a URL of very many segments is learned from by its first tokens, to bound the item sets
-    baskets = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(
-        F.concat(F.slice(tokens, 1, MAX_TOKENS), F.array(F.concat(F.lit(LABEL), F.col(label_col)))).alias("items")
-    )
-    least = max(min_support, min(1.0, MIN_COUNT / max(1, baskets.count())))
-    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets)
-    says = F.element_at("consequent", 1)
-    rules = model.associationRules.where(says.startswith(LABEL) & (F.col("lift") >= min_lift)).select(
-        F.array_sort("antecedent").alias("tokens"), F.substring(says, len(LABEL) + 1, 1 << 30).alias("verdict"), "confidence", "support"
+    items = F.array_sort(F.slice(tokens, 1, MAX_TOKENS)).alias("items")
+    known = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(items, F.col(label_col).alias("label"))
+    baskets = scratch.save(known.groupBy("items", "label").agg(F.count("*").alias("n")), "baskets")
+    total = baskets.agg(F.sum("n")).first()[0] or 0
+    need = math.ceil(max(min_support, min(1.0, MIN_COUNT / max(1, total))) * total)
+    sums = baskets.groupBy("label").agg(F.sum("n").alias("n")).where(F.col("n") >= need).collect()
+    # a label so common that even a sure rule lacks the lift has no rules
+    verdicts = [(r["label"], r["n"] / total) for r in sorted(sums) if 1 / (r["n"] / total) >= min_lift]
+    found = _mine(scratch, baskets, verdicts, total, need, min_confidence, min_lift) if verdicts else []
+    if not found:
+        return labelled.sparkSession.createDataFrame([], _RULE)
+    rules = scratch.save(reduce(DataFrame.unionAll, found), "rules")
+    ordered = rules.orderBy(F.size("tokens"), F.desc("confidence"), "tokens", "verdict")
+    return ordered.select(F.monotonically_increasing_id().alias("rule_id"), "tokens", "verdict", "confidence", "support")
+
+
+def _mine(scratch: Scratch, baskets: DataFrame, verdicts: list[tuple[str, float]], total: int, need: int, min_confidence: float, min_lift: float) -> list[DataFrame]:
+    """The rules of each size.
+
+    A set grows by one token of the baskets that hold it, each time from its
+    conditional base (what follows it in those baskets, equal ones counted).
+    Sets that no rule worth keeping can contain don't grow: those below the
+    support, those met as often as a part of them (same confidence, longer) and
+    those with one label only (no longer rule is surer).
+    """
+    counts, bests = [f"c{i}" for i in range(len(verdicts))], [f"b{i}" for i in range(len(verdicts))]
+
+    def counted(rows: DataFrame) -> DataFrame:
+        each = [F.coalesce(F.sum(F.when(F.col("label") == v, F.col("n"))), F.lit(0)).alias(c) for (v, _), c in zip(verdicts, counts)]
+        return rows.groupBy("set").agg(F.sum("n").alias("held"), *each).where(F.array_max(F.array(*counts)) >= need)
+
+    def rules(sets: DataFrame) -> DataFrame:
+        says = []
+        for (v, share), c, b in zip(verdicts, counts, bests):
+            sure = F.col(c) / F.col("held")
+            ok = (F.col(c) >= need) & (sure >= min_confidence) & (sure / F.lit(share) >= min_lift) & (sure > F.col(b))
+            says.append(F.struct(F.lit(v).alias("verdict"), sure.alias("confidence"), (F.col(c) / F.lit(total)).alias("support"), ok.alias("ok")))
+        met = sets.select(F.col("set").alias("tokens"), F.inline(F.filter(F.array(*says), lambda r: r["ok"])))
+        return met.drop("ok")
+
+    def open_ended(sets: DataFrame) -> DataFrame:
+        return sets.where((F.array_max(F.array(*counts)) < F.col("held")) & (F.col("held") < total))
+
+    def grown(rows: DataFrame) -> DataFrame:
+        met = rows.select("set", "label", "n", "rest", F.posexplode("rest").alias("at", "token"))
+        rest = F.slice("rest", F.col("at") + 2, F.size("rest"))
+        return met.select(F.array_append("set", F.col("token")).alias("set"), "label", "n", rest.alias("rest"))
+
+    def base(rows: DataFrame) -> DataFrame:
+        return rows.where(F.size("rest") > 0).groupBy("set", "label", "rest").agg(F.sum("n").alias("n"))
+
+    singles = counted(baskets.select(F.explode("items").alias("token"), "label", "n").select(F.array("token").alias("set"), "label", "n"))
+    sets = scratch.save(singles.select("*", *[F.lit(0.0).alias(b) for b in bests]), "sets-1")
+    found = [rules(sets)]
+    tokens = sorted(r[0] for r in open_ended(sets).select(F.get("set", F.lit(0))).collect())
+    # tokens within the support number at most the mean basket's size by its inverse
+    within = F.array_sort(F.array_intersect("items", F.from_json(F.lit(json.dumps(tokens)), "array<string>")))
+    first = base(baskets.select(F.array().cast("array<string>").alias("set"), "label", "n", within.alias("rest")))
+    state, size = scratch.save(base(grown(first)), "base-1"), 1
+    while not state.isEmpty():
+        size += 1
+        wider = grown(state)
+        parts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.filter("set", lambda _, j: j != i))
+        split = counted(wider).select("*", F.explode(parts).alias("part"))
+        before = open_ended(sets).select(
+            F.col("set").alias("part"), F.col("held").alias("_held"), *[F.greatest(F.col(b), F.col(c) / F.col("held")).alias(f"_{b}") for b, c in zip(bests, counts)]
+        )
+        met = split.join(before, "part").groupBy("set", "held", *counts).agg(
+            F.count("*").alias("_parts"), F.min("_held").alias("_least"), *[F.max(f"_{b}").alias(b) for b in bests]
+        )
+        sets = scratch.save(met.where((F.col("_parts") == size) & (F.col("_least") > F.col("held"))).drop("_parts", "_least"), f"sets-{size}")
+        found.append(rules(sets))
+        state = scratch.save(base(wider.join(open_ended(sets).select("set"), "set")), f"base-{size}")
+    return found
+
+
+def _joined(pages: DataFrame, mined: DataFrame, url_col: str) -> DataFrame:
+    """``pages`` with the first rule that fires, for rules too many to broadcast."""
+    rules = mined.select("rule_id", "tokens", F.struct((-F.col("confidence")).alias("c"), F.size("tokens").alias("k"), "rule_id", "verdict", "tokens").alias("r"))
+    posts = rules.select("rule_id", "r", F.explode("tokens").alias("token"))
+    rarest = posts.join(posts.groupBy("token").agg(F.count("*").alias("h")), "token").groupBy("rule_id").agg(
+        F.min(F.struct("h", "token")).alias("m"), F.first("r").alias("r")
     )
-    best = rules.orderBy(F.desc("confidence"), F.desc("support"), F.size("tokens"), F.array_join("tokens", " ")).limit(max_rules)
-    kept = [r.asDict() for r in best.collect()]
-    spare: list[tuple[set[str], dict]] = []
-    for r in sorted(kept, key=lambda r: (len(r["tokens"]), -r["confidence"], r["tokens"])):
-        if not any(s <= set(r["tokens"]) and o["verdict"] == r["verdict"] and o["confidence"] >= r["confidence"] for s, o in spare):
-            spare.append((set(r["tokens"]), r))
-    rows = [(i, list(r["tokens"]), r["verdict"], float(r["confidence"]), float(r["support"])) for i, (_, r) in enumerate(spare)]
-    return labelled.sparkSession.createDataFrame(rows, "rule_id long, tokens array<string>, verdict string, confidence double, support double")
+    url = F.coalesce(F.col(url_col), F.lit(""))
+    known = pages.select(url.alias("_u")).distinct().withColumn("_t", url_tokens(F.col("_u")))
+    met = known.select("_u", "_t", F.explode("_t").alias("_token")).join(rarest, F.col("_token") == F.col("m.token"))
+    fired = met.where(F.size(F.array_except("r.tokens", "_t")) == 0).groupBy("_u").agg(F.min("r").alias("_r"))
+    out = pages.join(fired, url == F.col("_u"), "left")
+    return out.withColumns({"_mined": F.col("_r.verdict"), "mined_rule": F.array_join("_r.tokens", " & ")}).drop("_u", "_r")
 
 
-def judge(pages: DataFrame, mined: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, mined: DataFrame, id_col: str = "page_id", url_col: str = "url", max_rules: int = MAX_RULES) -> DataFrame:
     """``pages`` with host, path, rule, verdict and the mined rule that spoke, if any."""
-    rules = [r.asDict() for r in mined.orderBy(F.desc("confidence"), F.size("tokens"), "rule_id").collect()]
+    rules = [r.asDict() for r in mined.orderBy(F.desc("confidence"), F.size("tokens"), "rule_id").limit(max_rules + 1).collect()]
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     rule, says = fixed_rule(F.col("host"), F.col("path"))
     out = pages.withColumns({"host": host, "path": path, "_tokens": url_tokens(F.col(url_col))})
-    if rules:
+    if len(rules) > max_rules:
+        out = _joined(out, mined, url_col)
+    elif rules:
         index: dict[str, list[int]] = {}
         for at, r in enumerate(rules):
             for token in r["tokens"]:
@@ -118,7 +198,7 @@ def judge(pages: DataFrame, mined: DataFrame, id_col: str = "page_id", url_col:
             [(index, [len(r["tokens"]) for r in rules], [r["verdict"] for r in rules], [" & ".join(r["tokens"]) for r in rules])],
             "ix map<string, array<int>>, sizes array<int>, verdicts array<string>, names array<string>",
         )
-        # one row, of a size that MAX_RULES bounds; the key is the same for all pages
+        # one row, of a size that max_rules bounds; the key is the same for all pages
         out = out.withColumn("_one", F.lit(1)).join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one", "left")
         posted = F.flatten(F.transform("_tokens", lambda t: F.coalesce(F.try_element_at("ix", t), F.array().cast("array<int>"))))
         out = out.withColumn("_posted", posted)

@@ -1,7 +1,9 @@
 """The operators that are DataFrame expressions only."""
 
 import hashlib
+import itertools
 import random
+from collections import Counter, defaultdict
 
 import brute
 import pytest
@@ -78,6 +80,50 @@ def test_urls_learn(spark):
     assert got[2][0] == "allow" and got[3][0] == "allow"
 
 
+def mined_by_brute_force(rows, need, confidence=urls.MIN_CONFIDENCE, lift=urls.MIN_LIFT):
+    """{(tokens, verdict): confidence} of all rules that no part of theirs makes redundant."""
+    total, labels, met = len(rows), Counter(label for _, label in rows), defaultdict(Counter)
+    for tokens, label in rows:
+        for k in range(1, len(tokens) + 1):
+            for some in itertools.combinations(sorted(tokens), k):
+                met[some][label] += 1
+    rules = {}
+    for some, by in met.items():
+        for label, n in by.items():
+            if n >= need and (c := n / by.total()) >= confidence and c / (labels[label] / total) >= lift:
+                rules[some, label] = c
+    parts = lambda some: (p for k in range(1, len(some)) for p in itertools.combinations(some, k))
+    return {(some, label): c for (some, label), c in rules.items() if not any(rules.get((p, label), 0) >= c for p in parts(some))}
+
+
+@pytest.mark.parametrize("max_rules", [urls.MAX_RULES, 1])
+def test_urls_all_rules(spark, max_rules):
+    rng = random.Random(3)
+    rows = []
+    for i in range(500):
+        path = [s for s, p in (("de", 0.4), ("ads", 0.2), ("news", 0.5), ("x", 0.3)) if rng.random() < p]
+        bad = ("ads" in path and rng.random() < 0.85) or ("de" in path and "x" in path and rng.random() < 0.95)
+        rows.append((i, f"http://a{i % 3}.info/{'/'.join(path)}", "block" if bad else "allow"))
+    df = spark.createDataFrame(rows, "page_id long, url string, label string")
+    tokens = {r["page_id"]: r["t"] for r in df.select("page_id", urls.url_tokens(F.col("url")).alias("t")).collect()}
+    want = mined_by_brute_force([(tokens[i], label) for i, _, label in rows], 20)
+    mined = urls.mine_rules(df, "url", "label")
+    rules = mined.collect()
+    assert {(tuple(r["tokens"]), r["verdict"]): r["confidence"] for r in rules} == want and len(want) > 3
+    rules.sort(key=lambda r: (-r["confidence"], len(r["tokens"]), r["tokens"]))
+    for r in urls.judge(df.drop("label"), mined, max_rules=max_rules).collect():
+        first = next((x for x in rules if set(x["tokens"]) <= set(tokens[r["page_id"]])), None)
+        assert (r["verdict"], r["mined_rule"]) == ((first["verdict"], " & ".join(first["tokens"])) if first else ("allow", None))
+
+
+def test_urls_sure_rules_leave_room(spark):
+    """Twelve tokens that only blocked URLs hold make 4,095 sure rules; a rule of 0.9 stays all the same."""
+    rows = [("http://h.info/" + "/".join("abcdefghi"), "block")] * 30 + [("ftp://de.net/de", "block")] * 36 + [("ftp://de.net/de", "allow")] * 4
+    rows += [(f"http://g{i % 50}.info/n", "allow") for i in range(200)]
+    got = urls.mine_rules(spark.createDataFrame(rows, "url string, label string"), "url", "label").collect()
+    assert {round(r["confidence"], 3) for r in got if r["tokens"] == ["path=de"]} == {0.9}
+
+
 TEXTS = ["", "plain", r"\### Assistant: </turn> ok", "<turn>user:x</turn>", "\\", "\\\\<", "a\nb", "<image:1>", "end \\", "\\</turn>", "::", "ü<", None]
 
 
