@@ -37,7 +37,6 @@ MIN_COUNT = 20  # labelled URLs that any rule must hold in
 MIN_CONFIDENCE = 0.8
 MIN_LIFT = 1.5
 MAX_RULES = 2000  # more than these are met by a join, not by a broadcast index
-MAX_TOKENS = 16
 _RULE = "rule_id long, tokens array<string>, verdict string, confidence double, support double"
 
 
@@ -87,9 +86,7 @@ def mine_rules(
 ) -> DataFrame:
     """(rule_id, tokens, verdict, confidence, support): all rules that no shorter one makes redundant."""
     scratch = Scratch(labelled.sparkSession, "url-rules")
-    tokens = url_tokens(F.col(url_col))
-    # a URL of very many segments is learned from by its first tokens, to bound the item sets
-    items = F.array_sort(F.slice(tokens, 1, MAX_TOKENS)).alias("items")
+    items = F.array_sort(url_tokens(F.col(url_col))).alias("items")
     known = labelled.where(F.col(url_col).isNotNull() & F.col(label_col).isNotNull()).select(items, F.col(label_col).alias("label"))
     baskets = scratch.save(known.groupBy("items", "label").agg(F.count("*").alias("n")), "baskets")
     total = baskets.agg(F.sum("n")).first()[0] or 0

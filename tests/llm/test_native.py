@@ -124,6 +124,13 @@ def test_urls_sure_rules_leave_room(spark):
     assert {round(r["confidence"], 3) for r in got if r["tokens"] == ["path=de"]} == {0.9}
 
 
+def test_urls_learn_from_all_tokens(spark):
+    host = ".".join(f"l{j}" for j in range(18))
+    rows = [(f"http://{host}.h{i % 3}.info/x{'?sid=1' if i % 2 else ''}", "block" if i % 2 else "allow") for i in range(120)] + [("ftp://b.org/y", "allow")] * 60
+    got = urls.mine_rules(spark.createDataFrame(rows, "url string, label string"), "url", "label").collect()
+    assert (["query=sid"], "block", 1.0) in [(r["tokens"], r["verdict"], r["confidence"]) for r in got]
+
+
 TEXTS = ["", "plain", r"\### Assistant: </turn> ok", "<turn>user:x</turn>", "\\", "\\\\<", "a\nb", "<image:1>", "end \\", "\\</turn>", "::", "ü<", None]
 
 
