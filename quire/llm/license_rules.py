@@ -25,14 +25,14 @@ class Rule:
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
 _V = r"(?: version| v)?"
-#: label | keyword | name | identifier as words
+#: label | keyword (with ~ one that may be part of a word) | name | identifier as words
 _FAMILIES = rf"""
 mit | mit | (?:the )?mit(?: x11)? | mit
 mit-0 | mit | mit no attribution | mit 0
 x11 | x11 | x11 | x11
 isc | isc | (?:the )?isc | isc
-0bsd | bsd | (?:zero clause bsd|bsd zero clause|0 ?bsd) | 0bsd
-bsd-2 | bsd | (?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd) | bsd 2 clause
+0bsd | ~bsd | (?:zero clause bsd|bsd zero clause|0 ?bsd) | 0bsd
+bsd-2 | ~bsd | (?:simplified bsd|freebsd|bsd 2 clause|2 clause bsd|two clause bsd) | bsd 2 clause
 bsd-3 | bsd | (?:new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd) | bsd 3 clause
 bsd-4 | bsd | (?:original bsd|bsd 4 clause|4 clause bsd|four clause bsd) | bsd 4 clause
 bsd | bsd | bsd(?: style)? | bsd
@@ -40,16 +40,16 @@ apache-1 | apache | apache(?: software)?(?: license)?{_V} 1(?: [01])? | apache 1
 apache-2 | apache | apache(?: software)?(?: license)?{_V} 2(?: 0)? | apache 2 0
 apache | apache | apache(?: software)? | apache
 gpl-1 | gpl | (?:gnu )?gpl{_V} 1(?: 0)? | gpl 1 0(?: only| or later)?
-gpl-2 | gpl | (?:gnu )?gpl ?{_V} ?2(?: 0)? | gpl 2 0(?: only| or later)?
-gpl-3 | gpl | (?:gnu )?gpl ?{_V} ?3(?: 0)? | gpl 3 0(?: only| or later)?
+gpl-2 | ~gpl | (?:gnu )?gpl ?{_V} ?2(?: 0)? | gpl 2 0(?: only| or later)?
+gpl-3 | ~gpl | (?:gnu )?gpl ?{_V} ?3(?: 0)? | gpl 3 0(?: only| or later)?
 gpl-2 | general | gnu general public license{_V} 2(?: 0)? | gnu gpl 2
 gpl-3 | general | gnu general public license{_V} 3(?: 0)? | gnu gpl 3
 gpl | general | gnu general public license | gnu gpl
-lgpl-2 | lesser | (?:gnu )?(?:lesser|library) general public license{_V} 2(?: [01])? | lgpl 2 [01](?: only| or later)?
+lgpl-2 | general | (?:gnu )?(?:lesser|library) general public license{_V} 2(?: [01])? | lgpl 2 [01](?: only| or later)?
 lgpl-3 | lesser | (?:gnu )?lesser general public license{_V} 3(?: 0)? | lgpl 3 0(?: only| or later)?
-lgpl-2 | lgpl | (?:gnu )?lgpl ?{_V} ?2(?: [01])? | gnu lgpl 2
-lgpl-3 | lgpl | (?:gnu )?lgpl ?{_V} ?3(?: 0)? | gnu lgpl 3
-agpl-3 | agpl | (?:gnu )?agpl ?{_V} ?3(?: 0)? | agpl 3 0(?: only| or later)?
+lgpl-2 | ~lgpl | (?:gnu )?lgpl ?{_V} ?2(?: [01])? | gnu lgpl 2
+lgpl-3 | ~lgpl | (?:gnu )?lgpl ?{_V} ?3(?: 0)? | gnu lgpl 3
+agpl-3 | ~agpl | (?:gnu )?agpl ?{_V} ?3(?: 0)? | agpl 3 0(?: only| or later)?
 agpl-3 | affero | (?:gnu )?affero general public license(?:{_V} 3(?: 0)?)? | affero gpl 3
 gfdl | documentation | (?:gnu )?free documentation license(?:{_V} 1(?: [123])?)? | gfdl 1 [123](?: only| or later)?
 mpl-1 | mozilla | mozilla public license{_V} 1(?: [01])? | mpl 1 [01]
@@ -147,11 +147,15 @@ _TEXTS = (
     ("proprietary", "reproduced", r"(?:may not|no part of this (?:[^ ]+ ){1,4}may) be reproduced", 60, 0.8),
     ("proprietary", "confidential", r"proprietary and confidential", 60, 0.8),
     ("copyright", "copyright", r"copyright (?:c )?(?:[12][0-9]{3})(?: [12][0-9]{3})*", 40, 0.5),
-    ("license", "licence", r"licen[sc]ed under the terms", 30, 0.4),
+    ("license", "~ed under the terms", r"licen[sc]ed under the terms", 30, 0.4),
     ("license", "licensed", r"licensed under(?: the)? [^ ]+ licen[sc]e", 30, 0.4),
 )
 
 
+def _keyword(word: str) -> str:
+    return word[1:] if word.startswith("~") else f" {word} "
+
+
 def rules() -> list[Rule]:
     """All rules, base phrases first; every expression starts and ends at a word's edge."""
     out = [Rule(label, " " + phrase + " ", phrase, 100, 1.0) for phrase, label in BASE]
@@ -161,6 +165,6 @@ def rules() -> list[Rule]:
         for template, priority, confidence in _TEMPLATES:
             regex = template.replace("{id}", f"(?:{ident})").replace("{name}", f"(?:{name})").replace("{v}", _VERSION)
             # an identifier's keyword is the tag itself, as its words differ from the name's
-            out.append(Rule(label, " spdx " if "spdx" in template else f" {keyword} ", regex, priority, confidence))
-    out += [Rule(label, f" {keyword} ", regex, priority, confidence) for label, keyword, regex, priority, confidence in _TEXTS]
+            out.append(Rule(label, " spdx " if "spdx" in template else _keyword(keyword), regex, priority, confidence))
+    out += [Rule(label, _keyword(keyword), regex, priority, confidence) for label, keyword, regex, priority, confidence in _TEXTS]
     return out

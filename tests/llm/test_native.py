@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import re
 from collections import Counter, defaultdict
 
 import brute
@@ -181,6 +182,51 @@ def test_license_rules(spark, text, labels):
     assert set(filter(None, got["labels"].split(","))) - {"cc-by-nc"} == set(filter(None, [labels]))
 
 
+def examples(pattern, rng):
+    """A random text that a rule's expression matches, by a walk of the parsed expression."""
+    def walk(parsed):
+        out = ""
+        for op, arg in parsed:
+            if op is re._constants.LITERAL:
+                out += chr(arg)
+            elif op is re._constants.NOT_LITERAL:
+                out += "z"
+            elif op is re._constants.IN:
+                kind, value = rng.choice([x for x in arg if x[0] is not re._constants.NEGATE])
+                out += "z" if arg[0][0] is re._constants.NEGATE else chr(value if kind is re._constants.LITERAL else rng.choice(value))
+            elif op is re._constants.MAX_REPEAT:
+                out += "".join(walk(arg[2]) for _ in range(rng.randint(arg[0], min(int(arg[1]), arg[0] + 2))))
+            elif op is re._constants.SUBPATTERN:
+                out += walk(arg[3])
+            elif op is re._constants.BRANCH:
+                out += walk(rng.choice(arg[1]))
+            else:
+                raise AssertionError(op)
+        return out
+
+    return walk(re._parser.parse(pattern))
+
+
+def test_license_keywords_are_in_all_that_rules_match():
+    rng = random.Random(9)
+    for rule in license_rules.rules():
+        for _ in range(400):
+            words = f" {examples(rule.regex, rng)} "
+            assert re.fullmatch(rule.regex, words[1:-1])
+            assert rule.keyword in words and any(g in words for g in licenses.GATES), (rule.label, rule.keyword, words)
+
+
+def test_license_names_without_their_keyword_as_a_word(spark):
+    want = {
+        "released under the FreeBSD license": "bsd-2", "SPDX-License-Identifier: 0BSD": "0bsd", "licensed under the 0BSD license": "0bsd", "provided under the GPL3": "gpl-3", "released under LGPL2": "lgpl-2",
+        "released under the GNU Library General Public License version 2": "lgpl-2", "distributed under the GPL2 license": "gpl-2", "covered by the AGPL3": "agpl-3", "released under LGPL3": "lgpl-3",
+        "licensed under the terms below": "license", "licenced under the terms below": "license",
+    }
+    rows = list(enumerate(want))
+    got = {r["doc_id"]: r["labels"] for r in licenses.with_labels(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert {text: got[i] for i, text in rows} == want
+
+
 def test_hundreds_of_rules():
     assert len(license_rules.rules()) > 300
 
