@@ -3,12 +3,18 @@
 A k-mer of code points is a closed syncmer if the smallest of the hashed
 s-mers inside it is its first or its last one.  Whether a k-mer is chosen
 depends on nothing outside it, so two texts that share a passage choose the
-same anchors in it.  The fingerprint keeps the ``SKETCH`` anchors with the
-smallest hashes over the whole text, each with its position; a text shorter
-than a k-mer is one anchor of its own.  Two fingerprints are compared over the
-smallest hashes of both together: the longest chain of common anchors whose
-positions rise in both texts, as a share of the anchors compared.  Texts of
-under ``SHORT`` code points use a shorter k beside the usual one.
+same anchors in it.  The fingerprint is all anchors of the text, each with its
+64-bit hash and position, however long the text; one shorter than a k-mer is one
+anchor of its own.  Two fingerprints are compared over all anchors: the longest
+chain of common anchors in the order of both texts, as a share of the anchors of
+both (those of the chain counted once).  Texts of under ``SHORT`` code points
+use a shorter k beside the usual one.
+
+A fingerprint is written as base64 of its anchors in the order of the text:
+their number (4 bytes), their hashes (8 bytes each), then a byte for each with
+how far its position lies beyond the one before (from 0).  A step of 255 or more
+is 255 there, and its 4 bytes follow after the steps.  All numbers have their
+lowest byte first; nothing stands for no anchors.
 
 Defined results: null text is empty; an empty text has an empty fingerprint,
 which equals another empty one (likeness 1) and is unlike any other (0); equal
@@ -19,6 +25,7 @@ the first, and a single row is its own next.
 
 from __future__ import annotations
 
+import base64
 import bisect
 import hashlib
 from collections.abc import Iterator
@@ -30,10 +37,12 @@ from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
 
-K, S, SKETCH = 12, 5, 64
+K, S = 12, 5
 SHORT, SHORT_K, SHORT_S = 64, 4, 2
 ROWS_PER_BUCKET = 2000
 MAX_BUCKETS = 1 << 16
+OUT_BYTES = 16 << 20  # of fingerprints in one batch
+MANY = 8  # pairs for each anchor, beyond which bits are used
 _STEP = 0x9E3779B97F4A7C15
 
 
@@ -92,44 +101,97 @@ def _closed(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Fingerprint:
-    """The smallest anchor hashes of a text and the first position of each."""
-
-    def __init__(self, hashes: np.ndarray, at: np.ndarray, size: int = SKETCH):
-        short = hashes >> np.uint64(32)
-        if len(short) > 4 * size:  # only small ones can be kept; distinct ones decide below
-            bound = np.partition(short, 3 * size)[3 * size]
-            near = short <= bound
-            if len(np.unique(short[near])) >= size:
-                short, at = short[near], at[near]
-        values, first = np.unique(short, return_index=True)
-        self.values, self.at = values[:size], at[first[:size]]
+    """All anchors of a text, hashes and positions, in the order of the text."""
+
+    def __init__(self, hashes: np.ndarray, at: np.ndarray):
+        by = np.argsort(at, kind="stable")
+        self.values, self.at = hashes[by], at[by]
 
     def __str__(self) -> str:
-        by = np.argsort(self.at, kind="stable")
-        return " ".join(f"{h:08x}@{p}" for h, p in zip(self.values[by].tolist(), self.at[by].tolist()))
+        if not len(self.values):
+            return ""
+        steps = np.diff(self.at, prepend=0)
+        far = steps[steps >= 255].astype("<u4").tobytes()
+        packed = (np.array([len(steps)], "<u4").tobytes(), self.values.astype("<u8").tobytes(), np.minimum(steps, 255).astype(np.uint8).tobytes(), far)
+        return base64.b64encode(b"".join(packed)).decode()
+
+
+def unpacked(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of a written fingerprint."""
+    if not fingerprint:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    raw = base64.b64decode(fingerprint)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    steps = np.frombuffer(raw, np.uint8, n, 4 + 8 * n).astype(np.int64)
+    steps[steps == 255] = np.frombuffer(raw, "<u4", -1, 4 + 9 * n)
+    return np.frombuffer(raw, "<u8", n, 4), np.cumsum(steps)
 
 
 def fingerprint(codes: np.ndarray) -> Fingerprint:
     return Fingerprint(*anchors(codes))
 
 
-def likeness(a: Fingerprint, b: Fingerprint, size: int = SKETCH) -> float:
-    """Share of the compared anchors that lie on the longest common rising chain."""
+def _same_ends(a: np.ndarray, b: np.ndarray) -> int:
+    """How many values at the start of both are equal."""
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def longest_chain(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence of two rows of hashes."""
+    head = _same_ends(a, b)
+    a, b = a[head:], b[head:]
+    tail = _same_ends(a[::-1], b[::-1])
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if not len(a) or not len(b):
+        return head + tail
+    by = np.argsort(b, kind="stable")
+    ordered = b[by]
+    low, high = np.searchsorted(ordered, a, "left"), np.searchsorted(ordered, a, "right")
+    met = high > low
+    low, high = low[met], high[met]
+    sizes = high - low
+    total = int(sizes.sum())
+    if total > MANY * (len(a) + len(b)):
+        return head + tail + _chain_by_bits(a[met].tolist(), b.tolist())
+    # for each anchor of a its places in b from the last to the first, so that none is taken twice
+    within = np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    tails: list[int] = []
+    for p in by[np.repeat(high, sizes) - 1 - within].tolist():
+        if not tails or p > tails[-1]:
+            tails.append(p)
+        else:
+            tails[bisect.bisect_left(tails, p)] = p
+    return head + tail + len(tails)
+
+
+def _chain_by_bits(a: list[int], b: list[int]) -> int:
+    """The same for texts that repeat themselves: a bit for each value of ``a``."""
+    places: dict[int, int] = {}
+    at: dict[int, list[int]] = {}
+    for i, x in enumerate(a):
+        at.setdefault(x, []).append(i)
+    for x, spots in at.items():
+        bits = bytearray(len(a) // 8 + 1)
+        for i in spots:
+            bits[i >> 3] |= 1 << (i & 7)
+        places[x] = int.from_bytes(bits, "little")
+    every = (1 << len(a)) - 1
+    free = every
+    for x in b:
+        hit = free & places.get(x, 0)
+        if hit:
+            free = ((free + hit) | (free - hit)) & every
+    return len(a) - free.bit_count()
+
+
+def likeness(a: Fingerprint, b: Fingerprint) -> float:
+    """Share of the anchors of both that lie on the longest common chain."""
     if not len(a.values) or not len(b.values):
         return float(len(a.values) == len(b.values))
-    compared = np.union1d(a.values, b.values)
-    if len(a.values) == size or len(b.values) == size:
-        compared = compared[:size]
-    _, i, j = np.intersect1d(a.values, b.values, assume_unique=True, return_indices=True)
-    inside = a.values[i] <= compared[-1]
-    i, j = i[inside], j[inside]
-    if not len(i):
-        return 0.0
-    tails: list[int] = []
-    for p in b.at[j][np.argsort(a.at[i], kind="stable")].tolist():
-        spot = bisect.bisect_left(tails, p)
-        tails[spot : spot + 1] = [p]
-    return len(tails) / len(compared)
+    chain = longest_chain(a.values, b.values)
+    return chain / (len(a.values) + len(b.values) - chain)
 
 
 def code_points(text: str | None) -> np.ndarray:
@@ -192,19 +254,28 @@ _OUT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_
 _NAMES = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), _TYPES)] if rows else [pa.array([], t) for t in _TYPES], _NAMES)
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each row with the row that follows it in its bucket; ``extra`` rows only follow."""
     last: tuple | None = None
     for batch in batches:
         out: list[tuple] = []
+        held = 0
         buckets, extras, ids = (batch.column(i).to_pylist() for i in range(3))
         for i in range(len(ids)):
             codes = code_points(batch.column(3)[i].as_py())
             row = (buckets[i], extras[i], ids[i], codes, fingerprint(codes))
             if last is not None and last[0] == row[0] and not last[1]:
                 out.append(_compare(last, row))
+                held += len(out[-1][3]) + len(out[-1][4])
+                if held > OUT_BYTES:
+                    yield _batch(out)
+                    out, held = [], 0
             last = row
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), _TYPES)] if out else [pa.array([], t) for t in _TYPES], _NAMES)
+        yield _batch(out)
 
 
 _TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]

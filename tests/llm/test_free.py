@@ -179,6 +179,50 @@ def test_closed_syncmers_are_context_free():
     assert found[0] == found[1] == found[2] and len(found[0]) > 20
 
 
+def test_fingerprints_hold_all_anchors():
+    """A passage that two long texts share is in both fingerprints, with all its anchors at their places."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randint(2, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(60)
+    inside = {(int(x), int(p)) for x, p in zip(*syncmers.anchors(syncmers.code_points(passage)))}
+    for _ in range(3):
+        found, left = [], [text(3000) + " ", text(2500) + " "]
+        for start in left:
+            codes = syncmers.code_points(start + passage + " " + text(3000))
+            print_ = syncmers.fingerprint(codes)
+            hashes, at = syncmers.unpacked(str(print_))
+            own = syncmers.anchors(codes)
+            assert sorted(zip(hashes.tolist(), at.tolist())) == sorted(zip(own[0].tolist(), own[1].tolist()))
+            assert inside <= {(h, p - len(start)) for h, p in zip(hashes.tolist(), at.tolist())}
+            found.append(print_)
+        assert syncmers.likeness(*found) >= len(inside) / (len(found[0].values) + len(found[1].values))
+        assert syncmers.likeness(found[0], found[0]) == 1.0
+    codes = syncmers.code_points(text(8000))
+    changed = np.concatenate([codes[:20_000], syncmers.code_points(text(20)), codes[20_100:]])
+    assert str(syncmers.fingerprint(codes)) != str(syncmers.fingerprint(changed))
+    assert 0.95 < syncmers.likeness(syncmers.fingerprint(codes), syncmers.fingerprint(changed)) < 1
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_longest_chain(monkeypatch, many):
+    monkeypatch.setattr(syncmers, "MANY", many)
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        a, b = (rng.integers(0, rng.choice([2, 5, 40]), rng.integers(0, 40)).astype(np.uint64) for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i in range(len(a)):
+            for j in range(len(b)):
+                best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+        assert syncmers.longest_chain(a, b) == best[-1][-1]
+
+
+def test_written_fingerprints_with_far_steps():
+    at = np.array([0, 254, 509, 5, 100_000])
+    print_ = syncmers.Fingerprint(np.arange(5, dtype=np.uint64), at)
+    assert [x.tolist() for x in syncmers.unpacked(str(print_))] == [[0, 3, 1, 2, 4], [0, 5, 254, 509, 100_000]]
+
+
 def test_languages(spark, docs, none):
     rng = random.Random(8)
     words = {"aa": ["la", "mento", "chi"], "bb": ["der", "ung", "sch"], "cc": ["the", "ing", "oft"]}
