@@ -3,14 +3,17 @@
 Training counts byte trigrams of words for every language over all training
 rows.  For a document, each word has a likelihood under each language; EM
 estimates the proportions of the languages; sets of the largest one, two, ...
-languages are refitted and the set with the best penalised likelihood (half the
-logarithm of the word count for each language beyond the first) is kept.  The
-predicted language has the largest proportion, which is the score.
+languages are refitted for as long as the penalised likelihood (half the
+logarithm of the word count for each language beyond the first) rises, and the
+best is kept.  The predicted language has the largest proportion, which is the
+score.  A model may hold an unknown language as well, under which all trigrams
+are equally likely; text that is mostly in it is in none of those learned.
 
 Defined results: null text, or text without a letter, is ``und`` with score 0;
 so is every text if nothing was learned; ties go to the language that sorts
-first; rows are judged one by one, so repeated rows get equal answers; other
-columns pass through, except those named like an output, which are replaced.
+first; rows are judged one by one, so repeated rows get equal answers; a text of
+any length is judged whole, in pieces of bounded memory; other columns pass
+through, except those named like an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -31,9 +34,10 @@ GRAM_LOG = 16
 SMOOTH = 0.1
 ROUNDS = 8
 REFIT_ROUNDS = 4
-MAX_SET = 4
+CELLS = 1 << 21  # words times languages held at once
 MAX_LANGUAGES = 256
 UNKNOWN = "und"
+MAX_UNKNOWN = 0.75  # share of the unknown language beyond which a document is rejected
 
 #: Bytes of words: letters a-z (A-Z as a-z) and all of 0x80 and up; others are gaps.
 _CODE = np.zeros(256, dtype=np.uint32)
@@ -60,19 +64,24 @@ def _word_starts(inside: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(inside & ~before)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    totals: dict[str, np.ndarray] = {}
-    for batch in batches:
-        langs = np.array(batch.column(1).to_pylist(), dtype=object)
-        for lang in sorted(set(langs)):
-            texts = batch.column(0).filter(pa.array(langs == lang))
-            counts = totals.setdefault(lang, np.zeros(1 << GRAM_LOG, dtype=np.int64))
-            for _, _, data, offsets in tk.row_blocks(texts):
-                grams, inside = _grams(data, offsets)
-                counts += np.bincount(grams[inside], minlength=len(counts))
-    yield pa.RecordBatch.from_arrays(
-        [pa.array(list(totals), pa.string()), pa.array([zlib.compress(c.tobytes(), 1) for c in totals.values()], pa.binary())], ["lang", "counts"]
-    )
+def _count(max_languages: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            langs = np.array(batch.column(1).to_pylist(), dtype=object)
+            for lang in sorted(set(langs)):
+                if lang not in totals and len(totals) == max_languages:
+                    raise ValueError(f"more than {max_languages} languages to learn")
+                texts = batch.column(0).filter(pa.array(langs == lang))
+                counts = totals.setdefault(lang, np.zeros(1 << GRAM_LOG, dtype=np.int64))
+                for _, _, data, offsets in tk.row_blocks(texts):
+                    grams, inside = _grams(data, offsets)
+                    counts += np.bincount(grams[inside], minlength=len(counts))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(totals), pa.string()), pa.array([zlib.compress(c.tobytes(), 1) for c in totals.values()], pa.binary())], ["lang", "counts"]
+        )
+
+    return run
 
 
 def _total(pdf):
@@ -90,64 +99,111 @@ class LanguageModel:
         rows = [np.log((counts[n] + SMOOTH) / (counts[n].sum() + SMOOTH * len(counts[n]))) for n in self.names]
         self.logp = np.array(rows, dtype=np.float32).reshape(len(rows), 1 << GRAM_LOG)
 
+    def with_unknown(self) -> LanguageModel:
+        """The model and, after its languages, one under which all trigrams are equally likely."""
+        more, name = LanguageModel({}), UNKNOWN
+        while name in self.names:
+            name += "?"
+        more.names = [*self.names, name]
+        more.logp = np.vstack([self.logp, np.full((1, 1 << GRAM_LOG), -GRAM_LOG * np.log(2), dtype=np.float32)])
+        return more
+
 
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> LanguageModel:
     """Count over all rows with text and language; the model's size follows the languages only."""
     seen = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
-    parts = seen.mapInArrow(_count, "lang string, counts binary")
+    parts = seen.mapInArrow(_count(max_languages), "lang string, counts binary")
     found = parts.groupBy("lang").applyInPandas(_total, "lang string, counts binary").limit(max_languages + 1).collect()
     if len(found) > max_languages:
         raise ValueError(f"more than {max_languages} languages to learn")
     return LanguageModel({r["lang"]: np.frombuffer(r["counts"], np.int64) for r in found})
 
 
-def _fit(like: np.ndarray, rows: np.ndarray, share: np.ndarray, rounds: int, row_of: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """EM from ``share``: (shares, log-likelihood of the words under the last but one)."""
-    for _ in range(rounds):
-        weighted = like * share[row_of]
-        total = weighted.sum(axis=1)
-        weighted /= total[:, None]
-        share = np.add.reduceat(weighted, rows, axis=0) / counts[:, None]
-    return share, np.add.reduceat(np.log(total), rows)
+class _Words:
+    """Likelihoods of the words of some texts, a piece at a time.
+
+    Texts that fit are one piece, which is kept; a longer text is cut into
+    pieces of ``CELLS`` that are made anew for each pass.
+    """
+
+    def __init__(self, grams: np.ndarray, inside: np.ndarray, starts: np.ndarray, firsts: np.ndarray, counts: np.ndarray, model: LanguageModel):
+        self.grams, self.inside, self.starts, self.firsts, self.counts, self.model = grams, inside, starts, firsts, counts, model
+        step = max(1, CELLS // len(model.names))
+        self.cuts = [0, len(starts)] if len(starts) <= step or len(counts) > 1 else [*range(0, len(starts), step), len(starts)]
+        self.kept = self._piece(0, len(starts)) if len(self.cuts) == 2 else None
+
+    def _piece(self, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        names = len(self.model.names)
+        begin, end = self.starts[lo], self.starts[hi] if hi < len(self.starts) else len(self.grams)
+        grams, outside, starts = self.grams[begin:end], ~self.inside[begin:end], self.starts[lo:hi] - begin
+        logs = np.empty((hi - lo, names), dtype=np.float32)
+        for j in range(names):
+            one = self.model.logp[j][grams]
+            one[outside] = 0
+            logs[:, j] = np.add.reduceat(one, starts)
+        top = logs.max(axis=1, keepdims=True)
+        like = np.exp(np.maximum(logs - top, -60))
+        if len(self.cuts) == 2:
+            return like, self.firsts, np.repeat(np.arange(len(self.counts)), self.counts), top[:, 0]
+        return like, np.zeros(1, np.int64), np.zeros(hi - lo, np.int64), top[:, 0]
+
+    def pieces(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        if self.kept is not None:
+            yield self.kept
+        else:
+            for lo, hi in zip(self.cuts, self.cuts[1:]):
+                yield self._piece(lo, hi)
+
+    def step(self, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One round of EM: (new shares, log-likelihood under the old ones up to each word's own constant)."""
+        sums, fit = np.zeros(share.shape), np.zeros(len(share))
+        for like, firsts, row_of, _ in self.pieces():
+            weighted = like * share[row_of]
+            total = np.maximum(weighted.sum(axis=1), 1e-30)
+            weighted /= total[:, None]
+            sums += np.add.reduceat(weighted, firsts, axis=0)
+            fit += np.add.reduceat(np.log(total), firsts)
+        return (sums / self.counts[:, None]).astype(np.float32), fit
+
+    def chosen(self) -> np.ndarray:
+        """The shares of the best set of languages for each text."""
+        names = len(self.model.names)
+        share = np.full((len(self.counts), names), 1 / names, dtype=np.float32)
+        for _ in range(ROUNDS):
+            share, _ = self.step(share)
+        order = np.argsort(-share, axis=1, kind="stable")
+        best, best_score = None, None
+        for size in range(1, names + 1):
+            fitted = np.zeros_like(share)
+            np.put_along_axis(fitted, order[:, :size], np.maximum(np.take_along_axis(share, order[:, :size], axis=1), 1e-6), axis=1)
+            fitted /= fitted.sum(axis=1, keepdims=True)
+            if size == 1:
+                fit = self.step(fitted)[1]
+            else:
+                for _ in range(REFIT_ROUNDS):
+                    fitted, fit = self.step(fitted)
+            score = fit - 0.5 * np.log(np.maximum(self.counts, 2)) * (size - 1)
+            if best is None:
+                best, best_score, rising = fitted, score, np.ones(len(score), dtype=bool)
+                continue
+            rising &= score > best_score
+            if not rising.any():
+                break
+            best[rising], best_score[rising] = fitted[rising], score[rising]
+        return best
 
 
 def infer(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) -> np.ndarray:
     """Proportions of the languages for each row; zeros for rows without words."""
-    n, names = len(offsets) - 1, len(model.names)
-    out = np.zeros((n, names))
+    out = np.zeros((len(offsets) - 1, len(model.names)))
     grams, inside = _grams(data, offsets)
     starts = _word_starts(inside, offsets)
-    if not len(starts) or not names:
+    if not len(starts) or not model.names:
         return out
-    logs = np.empty((len(starts), names), dtype=np.float32)
-    for j in range(names):
-        one = model.logp[j][grams]
-        one[~inside] = 0
-        logs[:, j] = np.add.reduceat(one, starts)
     ranges = np.searchsorted(starts, offsets)
     words = np.diff(ranges)
     used = np.flatnonzero(words)
-    rows, counts = ranges[:-1][used], words[used]
-    row_of = np.repeat(np.arange(len(used)), counts)
-    like = np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), -60))
-    share, _ = _fit(like, rows, np.full((len(used), names), 1 / names, dtype=np.float32), ROUNDS, row_of, counts)
-    order = np.argsort(-share, axis=1, kind="stable")
-    best, best_score = None, None
-    for size in range(1, min(MAX_SET, names) + 1):
-        chosen = np.zeros_like(share)
-        np.put_along_axis(chosen, order[:, :size], np.maximum(np.take_along_axis(share, order[:, :size], axis=1), 1e-6), axis=1)
-        chosen /= chosen.sum(axis=1, keepdims=True)
-        if size == 1:
-            fitted, fit = chosen, np.add.reduceat(np.log(np.maximum((like * chosen[row_of]).sum(axis=1), 1e-30)), rows)
-        else:
-            fitted, fit = _fit(like, rows, chosen, REFIT_ROUNDS, row_of, counts)
-        score = fit - 0.5 * np.log(np.maximum(counts, 2)) * (size - 1)
-        if best is None:
-            best, best_score = fitted, score
-        else:
-            better = score > best_score
-            best[better], best_score[better] = fitted[better], score[better]
-    out[used] = best
+    out[used] = _Words(grams, inside, starts, ranges[:-1][used], words[used], model).chosen()
     return out
 
 
@@ -167,7 +223,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
         for batch in batches:
             text = batch.column(batch.schema.names.index("_q_text"))
             names, scores, shares = [], [], []
-            for lo, _, data, offsets in tk.row_blocks(text):
+            for lo, _, data, offsets in tk.row_blocks(text, min(tk.BLOCK, 4 * CELLS // max(1, len(known.names)))):
                 found = infer(data, offsets, known)
                 top = found.argmax(axis=1) if len(known.names) else np.zeros(len(found), int)
                 ascii_letter = np.add.reduceat(np.r_[(_CODE[data] > 0) & (_CODE[data] < 27), False].astype(np.int64), offsets[:-1]) if len(data) else None
@@ -197,9 +253,23 @@ def digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def keep_known(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without those that are no language: no text, or none with a letter."""
+def keep_known(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", unknown: float = MAX_UNKNOWN
+) -> DataFrame:
+    """``docs`` without those in no learned language; a null language becomes the predicted one.
+
+    A document goes if it has no letter, or if the unknown language's share of
+    its words is more than ``unknown``.  Where no language can be learned, only
+    documents without a letter go.
+    """
     model = train(docs.where(~held_out(F.col(id_col))), text_col, lang_col)
+    if not model.names:
+        return docs.where(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    model = model.with_unknown()
     aside, back = set_aside(docs, ("lang_pred", "score", "lang_shares"))
-    found = identify(aside, model, text_col).where(F.col("lang_pred") != UNKNOWN)
-    return found.select(*aside.columns).withColumnsRenamed(back)
+    entries, none = F.map_entries("lang_shares"), F.lit(model.names[-1])
+    found = identify(aside, model, text_col).where(F.size(entries) > 0)
+    kept = found.where(F.coalesce(F.try_element_at("lang_shares", none), F.lit(0.0)) <= unknown)
+    known = F.transform(F.filter(entries, lambda e: e["key"] != none), lambda e: F.struct((-e["value"]).alias("share"), e["key"].alias("lang")))
+    filled = F.coalesce(F.col(lang_col), F.array_min(known)["lang"].cast(docs.schema[lang_col].dataType))
+    return kept.withColumn(lang_col, filled).select(*aside.columns).withColumnsRenamed(back)
