@@ -99,11 +99,12 @@ def dedup_lines(
 def reduced(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """``docs``, its own columns only, with reduced texts and their lengths.
 
-    A document that loses all its lines, being wholly made of lines others
-    hold, keeps its row with an empty text.
+    A document of which nothing but blanks is left, all else being lines that
+    others hold, is dropped; so is one that had no text.
     """
     aside, back = set_aside(docs, ("n_lines", "n_dropped"))
     done = dedup_lines(aside, id_col, text_col)
     if chars_col in docs.columns:
         done = done.withColumn(chars_col, F.char_length(text_col).cast("long"))
-    return done.select(*aside.columns).withColumnsRenamed(back)
+    left = F.octet_length(F.btrim(F.col(text_col), F.lit(BLANKS))) > 0
+    return done.where(left).select(*aside.columns).withColumnsRenamed(back)
