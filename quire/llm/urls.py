@@ -193,33 +193,35 @@ def judge(pages: DataFrame, mined: DataFrame, id_col: str = "page_id", url_col:
         spark = pages.sparkSession
         table = spark.createDataFrame(
             [(index, [len(r["tokens"]) for r in rules], [r["verdict"] for r in rules], [" & ".join(r["tokens"]) for r in rules])],
-            "ix map<string, array<int>>, sizes array<int>, verdicts array<string>, names array<string>",
+            "_q_ix map<string, array<int>>, _q_sizes array<int>, _q_verdicts array<string>, _q_names array<string>",
         )
         # one row, of a size that max_rules bounds; the key is the same for all pages
         out = out.withColumn("_one", F.lit(1)).join(F.broadcast(table.withColumn("_one", F.lit(1))), "_one", "left")
-        posted = F.flatten(F.transform("_tokens", lambda t: F.coalesce(F.try_element_at("ix", t), F.array().cast("array<int>"))))
-        out = out.withColumn("_posted", posted)
-        fired = F.filter(F.array_distinct("_posted"), lambda i: F.size(F.filter("_posted", lambda j: j == i)) == F.get("sizes", i))
+        posted = F.flatten(F.transform("_tokens", lambda t: F.coalesce(F.try_element_at("_q_ix", t), F.array().cast("array<int>"))))
+        out = out.withColumn("_posted", F.array_sort(posted))
+        # in order, a rule's postings are a run: it fires if the run is as long as its antecedent
+        fired = F.filter("_posted", lambda r, i: F.coalesce(F.get("_posted", i - F.get("_q_sizes", r) + 1) == r, F.lit(False)))
         out = out.withColumn("_fired", F.array_min(fired))
-        out = out.withColumns({"_mined": F.get("verdicts", F.col("_fired")), "mined_rule": F.get("names", F.col("_fired"))})
-        out = out.drop("_one", "ix", "sizes", "verdicts", "names", "_posted", "_fired")
+        out = out.withColumns({"_mined": F.get("_q_verdicts", F.col("_fired")), "mined_rule": F.get("_q_names", F.col("_fired"))})
+        out = out.drop("_one", "_q_ix", "_q_sizes", "_q_verdicts", "_q_names", "_posted", "_fired")
     else:
         out = out.withColumns({"_mined": F.lit(None).cast("string"), "mined_rule": F.lit(None).cast("string")})
     return out.withColumns({"rule": rule, "verdict": F.coalesce(says, F.col("_mined"), F.lit("allow"))}).drop("_tokens", "_mined")
 
 
 def labelled_pages(pages: DataFrame, labels: DataFrame) -> DataFrame:
-    """(url, label): a fixed rule's verdict, or what the labels say of the page's id.
+    """(url, label): what the labels say of the pages that no fixed rule judges.
 
-    An id labelled poor or toxic is to block, another labelled one to allow.
+    A label row is taken to speak of the page with its id; an id labelled poor
+    or toxic is to block, another labelled one to allow.  Pages that a fixed
+    rule judges are left out, or the miner would only learn those rules again.
     """
     marks = labels.where("doc_id is not null and quality is not null and toxic is not null").groupBy("doc_id").agg(
         F.max(F.when((F.col("quality") == 0) | (F.col("toxic") == 1), 1).otherwise(0)).alias("bad")
     )
     _, says = fixed_rule(host_of(F.col("url")), path_of(F.col("url")))
-    met = pages.select("page_id", "url", says.alias("says")).join(marks, F.col("page_id") == F.col("doc_id"), "left")
-    marked = F.when(F.col("bad") == 1, "block").when(F.col("bad") == 0, "allow")
-    return met.select("url", F.coalesce("says", marked).alias("label")).where("label is not null")
+    met = pages.where(says.isNull()).select("page_id", "url").join(marks, F.col("page_id") == F.col("doc_id"))
+    return met.select("url", F.when(F.col("bad") == 1, "block").otherwise("allow").alias("label"))
 
 
 def digest(pages: DataFrame, labels: DataFrame) -> DataFrame:
