@@ -4,11 +4,10 @@ A k-mer of code points is a closed syncmer if the smallest of the hashed
 s-mers inside it is its first or its last one.  Whether a k-mer is chosen
 depends on nothing outside it, so two texts that share a passage choose the
 same anchors in it.  The fingerprint is all anchors of the text, each with its
-64-bit hash and position, however long the text; one shorter than a k-mer is one
-anchor of its own.  Two fingerprints are compared over all anchors: the longest
+64-bit hash and position, however long the text; one that holds no closed syncmer
+(at most a few code points more than a k-mer) is one anchor of its own.  Two fingerprints are compared over all anchors: the longest
 chain of common anchors in the order of both texts, as a share of the anchors of
-both (those of the chain counted once).  Texts of under ``SHORT`` code points
-use a shorter k beside the usual one.
+both (those of the chain counted once).
 
 A fingerprint is written as base64 of its anchors in the order of the text:
 their number (4 bytes), their hashes (8 bytes each), then a byte for each with
@@ -37,10 +36,10 @@ from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
 
-K, S = 12, 5
-SHORT, SHORT_K, SHORT_S = 64, 4, 2
+K, S = 10, 4
 ROWS_PER_BUCKET = 2000
 MAX_BUCKETS = 1 << 16
+BUCKETS_PER_TASK = 16
 OUT_BYTES = 16 << 20  # of fingerprints in one batch
 MANY = 8  # pairs for each anchor, beyond which bits are used
 _STEP = 0x9E3779B97F4A7C15
@@ -75,29 +74,19 @@ def _window_min(x: np.ndarray, size: int) -> np.ndarray:
     return np.minimum(held[:n], held[size - width : size - width + n])
 
 
-def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, positions) of the closed syncmers of a text as code points.
-
-    A text too short for many k-mers gives those of a shorter k as well.
-    """
+def anchors(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of the closed syncmers of a text as code points."""
     n = len(codes)
     if n == 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    found = [_closed(codes, K, S)] if n >= K else []
-    if n < SHORT:
-        found.append(_closed(codes, SHORT_K, SHORT_S))
-    return np.concatenate([h for h, _ in found]), np.concatenate([p for _, p in found])
-
-
-def _closed(codes: np.ndarray, k: int, s: int) -> tuple[np.ndarray, np.ndarray]:
-    n = len(codes)
-    if n < k:
-        return tk.mix(_rolling(codes, n) + np.uint64(n), 31), np.zeros(1, np.int64)
-    small = tk.mix(_rolling(codes, s), 32)
-    low = _window_min(small, k - s + 1)
-    m = n - k + 1
-    at = np.flatnonzero((small[:m] == low) | (small[k - s : k - s + m] == low))
-    return tk.mix(_rolling(codes, k)[at], 33 + k), at
+    if n >= k:
+        small = tk.mix(_rolling(codes, s), 32)
+        low = _window_min(small, k - s + 1)
+        m = n - k + 1
+        at = np.flatnonzero((small[:m] == low) | (small[k - s : k - s + m] == low))
+        if len(at):
+            return tk.mix(_rolling(codes, k)[at], 33 + k), at
+    return tk.mix(_rolling(codes, n) + np.uint64(n), 31), np.zeros(1, np.int64)
 
 
 class Fingerprint:
@@ -215,8 +204,8 @@ def _bucket(key: Column, bounds: list[int]) -> Column:
     return passed + F.size(F.filter(F.slice(whole, passed + 1, F.lit(step)), lambda b: b > key))
 
 
-def ordered_buckets(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
-    """(bucket, extra, id, text) so that each bucket, sorted, is a run of all rows by descending id.
+def ordered_buckets(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, int]:
+    """(bucket, extra, id, text) so that each bucket, sorted, is a run of all rows by descending id; how many.
 
     Row counts and bounds come from the ids alone; bounds number at most
     ``MAX_BUCKETS``.  The first row of each bucket is also dealt, as ``extra``,
@@ -245,9 +234,10 @@ def ordered_buckets(docs: DataFrame, rows_per_bucket: int = ROWS_PER_BUCKET) ->
     head = docs.sparkSession.createDataFrame(copies, "hk long, hb int, ek int")
     dealt = placed.join(F.broadcast(head.groupBy("hk").agg(F.collect_list(F.struct("hb", "ek")).alias("h"))), key == F.col("hk"), "left")
     own = F.array(F.struct(F.col("bucket").alias("hb"), F.lit(0).alias("ek")))
-    return dealt.select("id", "text", F.explode(F.concat(own, F.coalesce(F.col("h"), F.array().cast("array<struct<hb:int,ek:int>>")))).alias("d")).select(
+    out = dealt.select("id", "text", F.explode(F.concat(own, F.coalesce(F.col("h"), F.array().cast("array<struct<hb:int,ek:int>>")))).alias("d")).select(
         F.col("d.hb").alias("bucket"), F.col("d.ek").alias("extra"), "id", "text"
     )
+    return out, len(bounds) + 1
 
 
 _OUT = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -292,7 +282,9 @@ def _compare(row: tuple, following: tuple) -> tuple:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of each text, of its edited text, and likeness to that and to the next."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    placed = ordered_buckets(rows)
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    run = placed.repartition(parts, "bucket").sortWithinPartitions("bucket", "extra", F.desc_nulls_last("id"), "text")
+    placed, buckets = ordered_buckets(rows)
+    # neighbouring buckets share a task, and the number of tasks follows that of the rows
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_PER_TASK))
+    task = F.floor(F.col("bucket") * F.lit(parts) / F.lit(buckets)).cast("int")
+    run = placed.repartitionById(parts, task).sortWithinPartitions("bucket", "extra", F.desc_nulls_last("id"), "text")
     return run.mapInArrow(_pairs, _OUT).withColumnRenamed("id", id_col)
