@@ -3,30 +3,35 @@
 A turn's content is a list of typed parts.  A visitor, one branch for each
 type, flattens them in order: text is escaped, and an image, audio clip or
 document becomes a placeholder with its number, its reference recorded with
-the tokens it expands to.  Turns are wrapped in markers.  Control strings in
-texts are escaped reversibly: a backslash stands before each backslash and
-before the first sign of each marker, so no marker survives in escaped text and
-unescaping is exact.
+the tokens it expands to.  Turns are wrapped in markers, all of which begin with
+``<``.  In texts a backslash becomes ``\\b`` and ``<`` becomes ``\\l`` (in roles
+``:`` becomes ``\\c`` too), so no marker occurs in escaped text and unescaping is
+exact.  The loss mask is a list of spans of the formatted text, the contents of
+the assistant's turns, counted in code points and in bytes while it is made.
 
-Each turn is flattened where it lies; only finished segments meet, one row for
-each conversation, which is the result's own size.
+Each turn is flattened where it lies; turns then meet by conversation once, to
+be placed (sums in order, spilled where a conversation is large) and joined to
+one row, which is the result's own size.
 
 Defined results: null text is empty; a null role is empty; rows of a
 conversation are ordered by turn, then role, then text (nulls first), so ties
 and repeated rows keep a fixed order; a null conversation id is one
 conversation of its own; a part of unknown type is a document; a part without a
-reference has an empty one; an empty table gives an empty result.
+reference has an empty one; texts of any length are formatted whole; an empty
+table gives an empty result; columns other than those named are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ESCAPE = "\\"
-#: Markers; all begin with one of the two signs that are escaped in texts.
+#: Markers; all but the end of the role begin with the sign that texts never hold.
 TURN, END, ROLE_END = "<turn>", "</turn>", ":"
+#: Signs and what stands for them in texts, in the order of escaping; the last one is for roles only.
+ESCAPES = (("\\", "\\b"), ("<", "\\l"), (ROLE_END, "\\c"))
+LOSS_ROLE = "assistant"
 #: Tokens a placeholder expands to: a base, and one for each so many units (pixels, milliseconds, bytes).
 EXPANSION = {"image": (85, 1024), "audio": (2, 40), "document": (8, 4)}
 
@@ -40,14 +45,18 @@ PART = T.StructType(
 )
 
 
-def escape(text: Column) -> Column:
-    """Reversible: a backslash before each backslash and each ``<``."""
-    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<"), F.lit("\\<"))
+def escape(text: Column, signs: int = 2) -> Column:
+    """Reversible: neither a marker nor a bare backslash is left."""
+    for sign, said in ESCAPES[:signs]:
+        text = F.replace(text, F.lit(sign), F.lit(said))
+    return text
 
 
 def unescape(text: Column) -> Column:
-    """What ``escape`` was given: each backslash pair's second sign."""
-    return F.regexp_replace(text, r"(?s)\\(.)", "$1")
+    """What ``escape`` was given; backslashes come last, when no other escape is left."""
+    for sign, said in reversed(ESCAPES):
+        text = F.replace(text, F.lit(said), F.lit(sign))
+    return text
 
 
 def _kind(part: Column) -> Column:
@@ -94,18 +103,33 @@ def text_part(text: Column) -> Column:
 
 
 def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", parts_col: str = "parts") -> DataFrame:
-    """(conv_col, formatted, attachments, tokens): one row for each conversation.
+    """(conv_col, formatted, attachments, tokens, loss): one row for each conversation.
 
-    ``attachments`` holds (turn from 1, number within the turn, type, ref, tokens).
+    ``attachments`` holds (turn from 1, number within the turn, type, ref,
+    tokens); ``loss`` the spans under the loss mask, in order, as (start, end) in
+    code points and (from_byte, to_byte) in UTF-8, from 0, ends excluded.
     """
     role = F.coalesce(F.col(role_col).cast("string"), F.lit(""))
     seen = rows.select(F.col(conv_col).alias("_c"), F.col(turn_col).alias("_t"), role.alias("_r"), visit_parts(F.col(parts_col)).alias("_v"))
-    head = F.concat(F.lit(TURN), F.replace(escape(F.col("_r")), F.lit(ROLE_END), F.lit("\\" + ROLE_END)), F.lit(ROLE_END))
-    segment = F.concat(head, F.col("_v.content"), F.lit(END))
-    entry = F.struct(
-        F.col("_t"), F.col("_r"), segment.alias("segment"), F.col("_v.attachments").alias("attachments"), F.col("_v.tokens").alias("tokens")
+    head = F.concat(F.lit(TURN), escape(F.col("_r"), 3), F.lit(ROLE_END))
+    turns = seen.select(
+        "_c", "_t", "_r", F.concat(head, F.col("_v.content"), F.lit(END)).alias("segment"), F.char_length(head).alias("h"), F.octet_length(head).alias("hb"),
+        F.col("_v.attachments").alias("attachments"), F.col("_v.tokens").alias("tokens"),
+    )
+    before = Window.partitionBy("_c").orderBy("_t", "_r", "segment").rowsBetween(Window.unboundedPreceding, -1)
+    placed = turns.withColumns(
+        {
+            "at": F.coalesce(F.sum(F.char_length("segment").cast("long")).over(before), F.lit(0)),
+            "byte": F.coalesce(F.sum(F.octet_length("segment").cast("long")).over(before), F.lit(0)),
+        }
     )
-    met = seen.groupBy("_c").agg(F.sort_array(F.collect_list(entry)).alias("e"))
+    end_chars, end_bytes = len(END), len(END.encode())
+    span = F.struct(
+        (F.col("at") + F.col("h")).alias("start"), (F.col("at") + F.char_length("segment") - end_chars).alias("end"),
+        (F.col("byte") + F.col("hb")).alias("from_byte"), (F.col("byte") + F.octet_length("segment") - end_bytes).alias("to_byte"),
+    )
+    entry = F.struct("_t", "_r", "segment", "at", F.when(F.col("_r") == LOSS_ROLE, span).alias("span"), "attachments", "tokens")
+    met = placed.groupBy("_c").agg(F.sort_array(F.collect_list(entry)).alias("e"))
     files = F.flatten(
         F.transform(
             "e",
@@ -120,27 +144,32 @@ def format_conversations(rows: DataFrame, conv_col: str = "conv_id", turn_col: s
         F.array_join(F.transform("e", lambda x: x["segment"]), "").alias("formatted"),
         files.alias("attachments"),
         F.aggregate("e", F.lit(0).cast("long"), lambda s, x: s + x["tokens"]).alias("tokens"),
+        F.filter(F.transform("e", lambda x: x["span"]), lambda x: x.isNotNull()).alias("loss"),
     )
 
 
 def parse(formatted: Column) -> Column:
-    """The turns of a formatted conversation: an array of (role, text, masked content).
-
-    A marker begins with a bare ``<``; in texts that sign follows a backslash.
-    """
-    turns = F.regexp_extract_all(formatted, F.lit(r"(?s)<turn>((?:[^<\\]|\\.|<(?!/turn>))*+)</turn>"), 1)
-    role = r"(?s)^((?:[^:\\]|\\.)*+):"
+    """The turns of a formatted conversation: an array of (role, text); markers occur nowhere else."""
+    turns = F.filter(F.split(formatted, END), lambda x: x != "")
 
     def turn(x: Column) -> Column:
-        content = F.regexp_replace(x, role, "")
-        return F.struct(unescape(F.regexp_extract(x, role, 1)).alias("role"), unescape(content).alias("text"), content.alias("content"))
+        role = F.substring_index(x, ROLE_END, 1)
+        return F.struct(
+            unescape(F.replace(role, F.lit(TURN), F.lit(""))).alias("role"),
+            unescape(F.substring(x, F.char_length(role) + len(ROLE_END) + 1, F.char_length(x))).alias("text"),
+        )
 
     return F.transform(turns, turn)
 
 
-def loss_spans(turns: Column) -> Column:
-    """The contents the loss covers: those of the assistant's turns, still escaped."""
-    return F.transform(F.filter(turns, lambda t: t["role"] == "assistant"), lambda t: t["content"])
+def masked(formatted: Column, loss: Column) -> Column:
+    """What the spans of the loss mask cut from the formatted text, in order, still escaped."""
+
+    def cut(raw: Column) -> Column:
+        return F.transform(loss, lambda s: F.decode(F.substring(raw, (s["from_byte"] + 1).cast("int"), (s["to_byte"] - s["from_byte"]).cast("int")), "UTF-8"))
+
+    # bytes are made once, as the variable of an outer transform, and cut at their places
+    return F.get(F.transform(F.array(F.encode(formatted, "UTF-8")), cut), F.lit(0))
 
 
 PROBE = r"\### Assistant: </turn> ok"
@@ -150,15 +179,18 @@ def digest(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     rows = conversations.select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
     done = format_conversations(rows.unionByName(probe).withColumn("parts", text_part(F.col("text"))))
-    read = done.select("conv_id", "formatted", parse(F.col("formatted")).alias("turns"))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(loss_spans(F.col("turns")), unescape), "")
-    read = read.select("conv_id", "formatted", F.size("turns").alias("n"), said.alias("said"), loss.alias("loss"))
+    said = F.array_join(F.transform(parse(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    read = done.select(
+        "conv_id", "formatted", F.size(F.split("formatted", END)).alias("n"), said.alias("said"),
+        F.array_join(F.transform(masked(F.col("formatted"), F.col("loss")), unescape), "").alias("under"), "attachments", "tokens",
+    )
     return read.select(
         "conv_id",
-        F.col("n").cast("long").alias("n_turns"),
+        (F.col("n") - 1).cast("long").alias("n_turns"),
         F.sha2("said", 256).alias("turns_sha256"),
-        F.char_length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"),
+        F.char_length("under").cast("long").alias("loss_chars"),
+        F.sha2("under", 256).alias("loss_sha256"),
         F.char_length("formatted").cast("long").alias("formatted_chars"),
+        F.size("attachments").cast("long").alias("n_attachments"),
+        "tokens",
     )

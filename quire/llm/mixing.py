@@ -4,9 +4,11 @@ The token shares of the sources are raised to an exponent and normalised.  The
 exponent is the smallest of [0, 1], found by bisection, for which the entropy
 stays within its target and no source is repeated beyond the limit.  Each
 source's share of the budget becomes whole epochs and a part of one more.  A
-source's documents are dealt by hash to blocks of about ``block_tokens``; the
-part takes blocks in order, and only the documents of the block in which it
-ends are sorted.  No source is ever gathered in one task.
+source's documents are dealt by hash to blocks of about ``block_tokens``.  Seed,
+source and epoch permute the blocks, and the part takes them in that order; only
+the documents of the block in which it ends are sorted.  To find that block, the
+sums of 4,096 ranges of the permutation are looked at first, then the blocks of
+one range, so no source is ever gathered in one task.
 
 Defined results: null sources and the empty name are one source; a document's
 tokens are a quarter of its UTF-8 bytes, rounded down but at least 1 (0 if it
@@ -30,6 +32,7 @@ ENTROPY = 0.97
 REPEATS = 2.0
 MAX_SOURCES = 100_000
 STEPS = 60
+RANGE_DIGITS = 3  # of a block's turn, in base 16
 
 
 def text_tokens(text: Column) -> Column:
@@ -40,7 +43,7 @@ def text_tokens(text: Column) -> Column:
 
 @dataclass(frozen=True)
 class Plan:
-    """A source's weight, its whole epochs and the tokens of the part of one more."""
+    """A source's weight, its whole epochs and the tokens of the part of one more (-1: no part)."""
 
     source: str
     weight: float
@@ -77,20 +80,26 @@ def find_exponent(shares: list[float], entropy: float, repeats: float, cover: bo
 def plan_sources(totals: dict[str, int], entropy: float, repeats: float, budget: int | None, block_tokens: int) -> list[Plan]:
     """The plan for each source; without a budget, enough for every source to be used whole."""
     counted = {s: t for s, t in sorted(totals.items()) if t > 0}
-    plans = [Plan(s, 0.0, 1, 0, 1) for s in totals if s not in counted]
+    plans = [Plan(s, 0.0, 1, -1, 1) for s in totals if s not in counted]
     if not counted:
         return plans
     total = sum(counted.values())
     shares = [t / total for t in counted.values()]
-    weights = [round(w, 9) for w in tempered(shares, find_exponent(shares, entropy, repeats, budget is None))]
-    if budget is None:
-        budget = math.ceil(max(t / w for t, w in zip(counted.values(), weights) if w))
+    weights = tempered(shares, find_exponent(shares, entropy, repeats, budget is None))
+    whole = budget is None
+    if whole:
+        budget = math.ceil(max(t / w for t, w in zip(counted.values(), weights)))
     for (source, tokens), weight in zip(counted.items(), weights):
-        target = math.floor(weight * budget + 1e-6)
-        plans.append(Plan(source, weight, target // tokens, target % tokens, max(1, -(-tokens // block_tokens))))
+        target = max(math.floor(weight * budget + 1e-6), tokens if whole else 0)
+        plans.append(Plan(source, round(weight, 9), target // tokens, target % tokens, max(1, -(-tokens // block_tokens))))
     return plans
 
 
+def block_turn(seed: Column, source: Column, epoch: Column, block: Column) -> Column:
+    """What blocks are ordered by in an epoch of a source: a permutation of them."""
+    return F.md5(F.concat_ws("|", seed, source, epoch.cast("string"), block.cast("string")))
+
+
 def mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -121,18 +130,21 @@ def mix(
     )
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_id").cast("string"), F.lit("")))).alias("_key")
     block = (F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % F.col("_blocks")).alias("_block")
+    turn = block_turn(F.lit(seed), F.col("_source"), F.col("_epochs") + 1, F.col("_block")).alias("_turn")
 
     def placed(rows: DataFrame, by: DataFrame) -> DataFrame:
-        return rows.select("*", key).join(F.broadcast(by), F.col("_source") == F.col("_ps")).select("*", block)
-
-    sizes = placed(light, plan).groupBy("_ps", "_part", "_block").agg(F.sum("_tokens").alias("t"))
-    along = Window.partitionBy("_ps").orderBy("_block")
-    before = sizes.withColumn("_before", F.sum("t").over(along) - F.col("t"))
-    # the block in which a source's part ends, and what the blocks before it leave
-    cut = before.where("_before <= _part").groupBy("_ps").agg(
-        F.max("_block").alias("_cut"), F.max("_part").alias("_p"), F.max("_before").alias("_before")
-    )
-    cut = cut.select(F.col("_ps").alias("_cs"), "_cut", (F.col("_p") - F.col("_before")).alias("_rest"))
+        return rows.select("*", key).join(F.broadcast(by), F.col("_source") == F.col("_ps")).select("*", block).select("*", turn)
+
+    sizes = placed(light, plan).groupBy("_ps", "_part", "_turn").agg(F.sum("_tokens").alias("t"))
+    sizes = sizes.withColumn("_range", F.substring("_turn", 1, RANGE_DIGITS))
+    # the range, then the block, in which a source's part ends, and what those before it leave
+    ranges = sizes.groupBy("_ps", "_part", "_range").agg(F.sum("t").alias("t"))
+    ranges = ranges.withColumn("_before", F.sum("t").over(Window.partitionBy("_ps").orderBy("_range")) - F.col("t")).where("_before <= _part")
+    last = ranges.groupBy("_ps").agg(F.max("_range").alias("_range"), F.max("_before").alias("_before"))
+    inside = sizes.join(F.broadcast(last), ["_ps", "_range"])  # a row for each source, which MAX_SOURCES bounds
+    along = Window.partitionBy("_ps").orderBy("_turn")
+    inside = inside.withColumn("_before", F.col("_before") + F.sum("t").over(along) - F.col("t")).where("_before <= _part")
+    cut = inside.groupBy(F.col("_ps").alias("_cs")).agg(F.max("_turn").alias("_cut"), (F.max("_part") - F.max("_before")).alias("_rest"))
     full = plan.join(cut, F.col("_ps") == F.col("_cs"), "left").drop("_cs")
     names = [c for c in docs.columns if c not in ("tokens", "weight", "block", "copies")]
     rows = docs.select(*names, F.col(id_col).alias("_id"), source.alias("_source"), text_tokens(F.col(text_col)).alias("_tokens"))
@@ -143,10 +155,10 @@ def mix(
             *names, F.col("_tokens").alias("tokens"), F.col("_weight").alias("weight"), F.col("_block").alias("block"), (F.col("_epochs") + more).alias("copies")
         )
 
-    ends = F.col("_block") == F.coalesce(F.col("_cut"), F.lit(-1))
+    ends = F.col("_turn") == F.coalesce(F.col("_cut"), F.lit(""))
     inner = Window.partitionBy("_source").orderBy("_key", "_id", "_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     edge = rows.where(ends).withColumn("_sum", F.sum("_tokens").over(inner))
-    whole = out(rows.where(~ends), F.when(F.col("_block") < F.col("_cut"), 1).otherwise(0).cast("long"))
+    whole = out(rows.where(~ends), F.when(F.col("_turn") < F.col("_cut"), 1).otherwise(0).cast("long"))
     return whole.unionByName(out(edge, F.when(F.col("_sum") <= F.col("_rest"), 1).otherwise(0).cast("long")))
 
 
@@ -159,5 +171,5 @@ def expand(docs: DataFrame, **how: object) -> DataFrame:
     """Every use of every document as a row: ``epoch`` from 1, and ``order_key`` to read blocks by."""
     mixed = mix(docs, **how)
     used = mixed.where("copies > 0").select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("epoch"))
-    block = F.concat_ws("|", F.lit(SEED), F.coalesce(F.col("source"), F.lit("")), F.col("epoch").cast("string"), F.col("block").cast("string"))
-    return used.withColumn("order_key", F.md5(block))
+    source = F.coalesce(F.col(how.get("source_col", "source")).cast("string"), F.lit(""))
+    return used.withColumn("order_key", block_turn(F.lit(how.get("seed", SEED)), source, F.col("epoch"), F.col("block")))

@@ -63,15 +63,15 @@ WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), sized AS (
-  SELECT *, length('<turn>') + length(replace(replace(replace(role, '\', '\\'), '<', '\<'), ':', '\:')) + 1
-            + length(replace(replace(text, '\', '\\'), '<', '\<')) + length('</turn>') AS size
+  SELECT *, length('<turn>') + length(replace(replace(replace(role, '\', '\b'), '<', '\l'), ':', '\c')) + 1
+            + length(replace(replace(text, '\', '\b'), '<', '\l')) + length('</turn>') AS size
   FROM rows
 )
 SELECT conv_id, count(*)::BIGINT AS n_turns,
        sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-       sum(size)::BIGINT AS formatted_chars
+       sum(size)::BIGINT AS formatted_chars, 0::BIGINT AS n_attachments, sum(strlen(text) // 4)::BIGINT AS tokens
 FROM sized GROUP BY conv_id
 """
 
@@ -102,17 +102,19 @@ WITH RECURSIVE docs AS (
 ), pick AS (
   SELECT hi AS a, ps, list_sum(list_transform(ps, lambda p: p ** hi)) AS z FROM steps, shares WHERE i = 60
 ), plan AS (
-  SELECT source, t, CASE WHEN t = 0 THEN 0.0 ELSE round((t::DOUBLE / (SELECT sum(t) FROM totals)) ** a / z, 9) END AS weight,
+  SELECT source, t, CASE WHEN t = 0 THEN 0.0 ELSE (t::DOUBLE / (SELECT sum(t) FROM totals)) ** a / z END AS share,
          greatest(1, (t + 199999) // 200000)::BIGINT AS blocks
   FROM totals, pick
 ), goal AS (
-  SELECT *, CASE WHEN t = 0 THEN 0 ELSE floor(weight * (SELECT sum(t) FROM totals) + 1e-6) END::BIGINT AS target FROM plan
+  SELECT *, CASE WHEN t = 0 THEN 0 ELSE floor(share * (SELECT sum(t) FROM totals) + 1e-6) END::BIGINT AS target FROM plan
 ), placed AS (
-  SELECT docs.*, goal.t, weight, target, (('0x' || substr(k, 1, 8))::BIGINT % blocks)::BIGINT AS block FROM docs JOIN goal USING (source)
+  SELECT docs.*, goal.t, share, target, (('0x' || substr(k, 1, 8))::BIGINT % blocks)::BIGINT AS block FROM docs JOIN goal USING (source)
+), permuted AS (
+  SELECT *, md5('mix-1|' || source || '|' || (CASE WHEN t = 0 THEN 1 ELSE target // t END + 1) || '|' || block) AS turn FROM placed
 ), summed AS (
-  SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY block, k, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM placed
+  SELECT *, sum(tokens) OVER (PARTITION BY source ORDER BY turn, k, doc_id, tokens ROWS UNBOUNDED PRECEDING) AS upto FROM permuted
 )
-SELECT doc_id, source, tokens, weight, block,
+SELECT doc_id, source, tokens, round(share, 9) AS weight, block,
        (CASE WHEN t = 0 THEN 1 ELSE target // t + CASE WHEN upto <= target % t THEN 1 ELSE 0 END END)::BIGINT AS copies
 FROM summed
 """
@@ -156,7 +158,7 @@ WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), items AS (
-  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  SELECT coalesce(item_id::VARCHAR, '') AS item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
 ), windows AS (
   SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS s
@@ -170,7 +172,7 @@ WITH words AS (
   SELECT doc_id, count(DISTINCT i + j) AS n_hit FROM (SELECT DISTINCT doc_id, i, k FROM met), unnest(range(0, k)) AS t(j) GROUP BY doc_id
 ), found AS (
   SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM met) GROUP BY doc_id
+  FROM (SELECT DISTINCT doc_id, item_id AS id FROM met) GROUP BY doc_id
 )
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
