@@ -9,16 +9,19 @@ sets form one class before anything is joined, so copies cost one row each.
 * Pass 2 emits the prefix of each set under the first order, packed by token
   range.  Two sets that reach the threshold share a prefix token, under this
   order and under any other.  Within a token's bucket size and position filters
-  apply, and a bound from how many tokens of either set fall in each of 64 cells.  Buckets of up to ``SMALL`` sets yield all their pairs.  Larger ones
-  yield one link from each set to its neighbour in size and to an anchor, and
-  are kept for pass 3.
-* Candidates must also share enough prefix tokens under the second order to
-  leave the threshold in reach, and some under the third, before the sets are
-  intersected in full.
+  apply, and a bound from how many tokens of either set fall in each of 64 cells.
+  Buckets of up to ``SMALL`` sets yield all their pairs.  Larger ones yield one
+  link from each set to its neighbour in size and to an anchor, and are kept for
+  pass 3.  A token that a sample of the documents shows in very many prefixes is
+  dealt to several buckets by set; pass 3 then sees all of them.
+* Candidates must also share enough prefix tokens under the second order, and
+  under the third, to leave the threshold in reach.  Only pairs that pass both
+  have their sets shipped and intersected in full.
 * Pass 3 is about pairs of large buckets whose ends are not yet connected; only
   these can still add a link that matters.  Rounds that take a few random ones
-  bring large groups together; the last round takes all pairs still apart.  So a group of n near copies costs about n checks, and no link between
-  classes that lie in different components is lost.
+  bring large groups together; the last round takes all pairs still apart.  So a
+  group of n near copies costs about n checks, and no link between classes that
+  lie in different components is lost.
 
 Defined results: null or empty texts, or texts without words, have an empty set
 and link with nothing (they are their own component); fewer words than a
@@ -52,6 +55,11 @@ CELLS_LOG = 20
 SLICES = 64
 BLOOM_LOG = 25
 HISTOGRAM = 64
+CELL_MOST = 127  # a cell holds so many or more
+HOT = 1 << 20  # prefixes that hold a token, beyond which it has several buckets
+SAMPLE = 64  # one in so many ids is looked at to find such tokens
+CHUNK = 1 << 16  # entries in one row of a large bucket
+RUN = 4096  # sets of a large bucket that are put in a random order at a time
 ENTRY = np.dtype([("tok", "<u8"), ("set", "<i8"), ("size", "<i4"), ("rank", "<i4")])
 
 
@@ -90,7 +98,7 @@ def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELLS_LOG, dtype=np.int64)
         names = ["id", "n", "s1", "s2", "cells", "slice", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.int32(), pa.binary()]
         for batch in batches:
             n, s1, s2, cells, held, pending = [], [], [], [], [], 0
             for tokens in token_sets(batch.column(1), k):
@@ -98,7 +106,7 @@ def _profile(k: int):
                 n.append(len(tokens))
                 s1.append(a)
                 s2.append(b)
-                cells.append(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % HISTOGRAM, minlength=HISTOGRAM).astype(np.int32))
+                cells.append(np.minimum(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % HISTOGRAM, minlength=HISTOGRAM), CELL_MOST).astype(np.int8))
                 held.append((tokens >> np.uint64(64 - CELLS_LOG)).astype(np.int64))
                 pending += len(tokens)
                 if pending > 1 << 20:
@@ -146,13 +154,38 @@ def common_levels(profile: DataFrame) -> np.ndarray:
     return levels
 
 
-def _prefixes(k: int, percent: int, shared, parts: int):
+def _prefix_tokens(k: int, percent: int, shared, order: int):
+    """The prefix tokens of some sets, to find those that very many hold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = shared.value
+        for batch in batches:
+            for tokens in token_sets(batch.column(0), k):
+                if len(tokens):
+                    keys = np.sort(ordered(tokens, levels, order))[: prefix_size(len(tokens), percent)]
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], ["tok"])
+
+    return run
+
+
+def _prefixes(k: int, percent: int, shared, parts: int, order: int, hot: dict[int, int]):
+    hot_tokens = np.array(sorted(hot), dtype=np.uint64)
+    hot_shares = np.array([hot[int(t)] for t in hot_tokens], dtype=np.uint64)
+
+    def part_of(entries: np.ndarray) -> np.ndarray:
+        key = tk.mix(entries["tok"], 7)
+        if len(hot_tokens):
+            at = np.minimum(np.searchsorted(hot_tokens, entries["tok"]), len(hot_tokens) - 1)
+            salt = np.where(hot_tokens[at] == entries["tok"], tk.mix(entries["set"].view(np.uint64), 8) % hot_shares[at], 0)
+            key = key + salt.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (key % np.uint64(parts)).astype(np.int32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = shared.value, set()
 
         def packed(held: list[np.ndarray]) -> pa.RecordBatch:
             entries = np.concatenate(held)
-            part = (tk.mix(entries["tok"], 7) % np.uint64(parts)).astype(np.int32)
+            part = part_of(entries)
             by = np.argsort(part, kind="stable")
             entries, part = entries[by], part[by]
             firsts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
@@ -169,7 +202,7 @@ def _prefixes(k: int, percent: int, shared, parts: int):
                     continue
                 if len(seen) < 1_000_000:  # a memory of copies; past it copies only cost their rows
                     seen.add(key)
-                keys = ordered(tokens, levels, 0)
+                keys = ordered(tokens, levels, order)
                 if (keys[1:] < keys[:-1]).any():
                     keys.sort()
                 p = prefix_size(len(tokens), percent)
@@ -193,7 +226,9 @@ def _pass_filters(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (rest >= needed(na, nb, percent))
 
 
-def _bucket_pairs(percent: int):
+def _bucket_pairs(percent: int, hot: dict[int, int]):
+    hot_tokens = np.array(sorted(hot), dtype=np.uint64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["a", "b", "tok", "entries"]
         blobs = [x.as_py() for batch in batches for x in batch.column(1)]
@@ -204,6 +239,8 @@ def _bucket_pairs(percent: int):
         e = e[np.argsort(e["tok"], kind="stable")]
         same = np.r_[False, e["tok"][1:] == e["tok"][:-1]]
         shared = same | np.r_[same[1:], False]
+        if len(hot_tokens):
+            shared |= np.isin(e["tok"], hot_tokens)
         e = e[shared]  # most tokens are in one set only
         if not len(e):
             return
@@ -219,7 +256,10 @@ def _bucket_pairs(percent: int):
                 for j in range(i + 1, m):
                     left.append(at + i)
                     right.append(at + j)
-        large = [(int(f), int(f + m)) for f, m in zip(firsts[sizes > SMALL], sizes[sizes > SMALL])]
+        big = sizes > SMALL
+        if len(hot_tokens):  # what other tasks hold of the token is met in pass 3
+            big |= np.isin(e["tok"][firsts], hot_tokens)
+        large = [(int(f), int(f + m)) for f, m in zip(firsts[big], sizes[big])]
         for lo, hi in large:
             left.append(np.arange(lo, hi - 1))
             right.append(np.arange(lo + 1, hi))
@@ -236,6 +276,7 @@ def _bucket_pairs(percent: int):
             pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
             n = len(pairs)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())], names)
+        large = [(at, min(hi, at + CHUNK)) for lo, hi in large for at in range(lo, hi, CHUNK)]
         for at in range(0, len(large), 256):
             some = large[at : at + 256]
             nothing = pa.nulls(len(some), pa.int64())
@@ -265,11 +306,11 @@ def id_filter(ids: DataFrame) -> np.ndarray:
     return table
 
 
-def _sets(k: int, percent: int, shared_levels, shared_bits, whole: bool):
-    """(id, size, tokens) of rows whose id may be wanted, in the second order.
+def _sets(k: int, percent: int, shared_levels, shared_bits, orders: tuple[int, ...] | None):
+    """(id, size, tokens) of rows whose id may be wanted.
 
-    Either the whole sets, or only their prefixes, as the upper 32 bits of the
-    sort keys.
+    Without orders the whole sets, sorted; with orders their prefixes under
+    each, one after another, as the upper 32 bits of the sort keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,12 +326,10 @@ def _sets(k: int, percent: int, shared_levels, shared_bits, whole: bool):
                 return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(blobs, pa.binary())], ["id", "size", "tokens"])
 
             for i, tokens in zip(ids, token_sets(batch.column(1), k)):
-                order = ordered(tokens, levels, 1)
-                if whole:
-                    blobs.append(tokens[np.argsort(order)].tobytes())
+                if orders is None:
+                    blobs.append(tokens.tobytes())
                 else:
-                    order.sort()
-                    blobs.append((order[: prefix_size(len(order), percent)] >> np.uint64(32)).astype("<u4").tobytes())
+                    blobs.append(b"".join(prefix(tokens, levels, o, percent).tobytes() for o in orders))
                 keys.append(i)
                 sizes.append(len(tokens))
                 held += len(tokens)
@@ -303,6 +342,16 @@ def _sets(k: int, percent: int, shared_levels, shared_bits, whole: bool):
     return run
 
 
+def prefix(tokens: np.ndarray, levels: np.ndarray, order: int, percent: int) -> np.ndarray:
+    """The prefix of a set under an order, as the upper halves of its sort keys."""
+    keys = ordered(tokens, levels, order)
+    size = prefix_size(len(keys), percent)
+    if size < len(keys):
+        keys = np.partition(keys, size - 1)[:size]
+    keys.sort()
+    return (keys >> np.uint64(32)).astype("<u4")
+
+
 def within_reach(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -> bool:
     """Whether two sets may reach the threshold by their sorted prefixes of one order.
 
@@ -321,27 +370,28 @@ def within_reach(x: np.ndarray, y: np.ndarray, nx: int, ny: int, percent: int) -
     return both + min(nx - a, ny - b) >= needed(nx, ny, percent)
 
 
-def _hopeful(percent: int):
+def _hopeful(percent: int, orders: int):
+    """Pairs that every order's prefixes leave in reach of the threshold."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             u, v, nu, nv = (batch.column(i).to_pylist() for i in range(4))
-            sides = [[np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(c)] for c in (4, 5)]
-            keep = [i for i in range(len(u)) if within_reach(sides[0][i], sides[1][i], nu[i], nv[i], percent)]
+            sides = [[np.frombuffer(x.as_buffer(), "<u4").reshape(orders, -1) for x in batch.column(c)] for c in (4, 5)]
+            keep = [i for i in range(len(u)) if all(within_reach(x, y, nu[i], nv[i], percent) for x, y in zip(sides[0][i], sides[1][i]))]
             yield pa.RecordBatch.from_arrays([pa.array([u[i] for i in keep], pa.int64()), pa.array([v[i] for i in keep], pa.int64())], ["u", "v"])
 
     return run
 
 
-def _verified(percent: int, shared_levels, orders: tuple[int, ...]):
+def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = shared_levels.value
         for batch in batches:
             us, vs = [], []
             u, v = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for i in range(len(u)):
                 a = np.frombuffer(batch.column(2)[i].as_buffer(), "<u8")
                 b = np.frombuffer(batch.column(3)[i].as_buffer(), "<u8")
-                if _linked(a, b, percent, levels, orders):
+                if linked(a, b, percent):
                     us.append(u[i])
                     vs.append(v[i])
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], ["u", "v"])
@@ -349,15 +399,13 @@ def _verified(percent: int, shared_levels, orders: tuple[int, ...]):
     return run
 
 
-def _linked(a: np.ndarray, b: np.ndarray, percent: int, levels: np.ndarray, orders: tuple[int, ...]) -> bool:
-    """Exact test of two sets held in the second order; the other orders' prefixes first."""
-    if min(len(a), len(b)) * 100 < max(len(a), len(b)) * percent:
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if not len(a) or not len(b) or min(len(a), len(b)) * 100 < max(len(a), len(b)) * percent:
         return False
-    for order in orders[1:]:
-        x, y = (t if order == 1 else t[np.argsort(ordered(t, levels, order))] for t in (a, b))
-        if not np.isin(x[: prefix_size(len(x), percent)], y[: prefix_size(len(y), percent)]).any():
-            return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    at = np.searchsorted(b, a)
+    at[at == len(b)] = 0
+    both = int((b[at] == a).sum())
     return both * 100 >= percent * (len(a) + len(b) - both)
 
 
@@ -373,7 +421,7 @@ class JaccardJoin:
     def run(self) -> DataFrame:
         """(id, n, root): a row for each document row; root is null where id is."""
         profile = self.scratch.save(
-            self.docs.mapInArrow(_profile(self.k), "id long, n long, s1 long, s2 long, cells array<int>, slice int, counts binary"), "profile"
+            self.docs.mapInArrow(_profile(self.k), "id long, n long, s1 long, s2 long, cells array<tinyint>, slice int, counts binary"), "profile"
         )
         self.levels = self.spark.sparkContext.broadcast(common_levels(profile))
         rows = profile.where("slice is null").select("id", "n", "s1", "s2", "cells")
@@ -383,9 +431,11 @@ class JaccardJoin:
         total = rows.agg(F.sum("n")).first()[0] or 0
         size = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         parts = max(size, total * (100 - self.percent) // 100 * ENTRY.itemsize // (48 << 20) + 1)
-        packed = self.docs.where("id is not null").select("text").mapInArrow(_prefixes(self.k, self.percent, self.levels, 4 * parts), "part int, entries binary")
+        hot = self.hot_tokens(total)
+        run = _prefixes(self.k, self.percent, self.levels, 4 * parts, self.orders[0], hot)
+        packed = self.docs.where("id is not null").select("text").mapInArrow(run, "part int, entries binary")
         found = self.scratch.save(
-            packed.repartition(parts, "part").mapInArrow(_bucket_pairs(self.percent), "a long, b long, tok long, entries binary"), "buckets"
+            packed.repartition(parts, "part").mapInArrow(_bucket_pairs(self.percent, hot), "a long, b long, tok long, entries binary"), "buckets"
         )
         first = self.rep_pairs(found.where("tok is null").select("a", "b").distinct())
         first = self.scratch.save(first, "pairs-1")
@@ -396,6 +446,18 @@ class JaccardJoin:
         root = components(links.unionByName(copies), self.scratch, "cc-all")
         return rows.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
 
+    def hot_tokens(self, total: int) -> dict[int, int]:
+        """Tokens that more than ``HOT`` prefixes hold, by a sample, and in how many buckets each goes.
+
+        There can be no more of them than ``HOT`` goes into the prefixes' tokens.
+        """
+        if total < HOT:
+            return {}
+        some = self.docs.where((F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0) & F.col("text").isNotNull()).select("text")
+        tokens = some.mapInArrow(_prefix_tokens(self.k, self.percent, self.levels, self.orders[0]), "tok long")
+        found = tokens.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") * SAMPLE > HOT).collect()
+        return {r["tok"] % 2**64: -(-r["n"] * SAMPLE // HOT) for r in found}
+
     def rep_pairs(self, pairs: DataFrame) -> DataFrame:
         """Pairs of class keys as pairs (u, v) of class representatives, u < v."""
         c = self.classes
@@ -406,23 +468,26 @@ class JaccardJoin:
 
     def _cells_reach(self, na: Column, nb: Column, a: Column, b: Column) -> Column:
         """Whether sets may reach the threshold by how many tokens each hash cell holds of them."""
-        most = F.aggregate(F.zip_with(a, b, lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+        least = F.zip_with(a, b, lambda x, y: F.least(x, y))
+        most = F.aggregate(least, F.lit(0).cast("long"), lambda s, x: s + F.when(x == CELL_MOST, F.lit(1 << 40)).otherwise(x))
         return most * (100 + self.percent) >= (na + nb) * self.percent
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (u, v) whose sets reach the threshold; the other orders' filters first."""
-        met = self.with_sets(pairs, whole=False).select("u", "v", "nu", "nv", "tu", "tv")
-        hopeful = self.scratch.save(met.mapInArrow(_hopeful(self.percent), "u long, v long"), f"hopeful-{name}")
-        met = self.with_sets(hopeful, whole=True).select("u", "v", "tu", "tv")
-        return self.scratch.save(met.mapInArrow(_verified(self.percent, self.levels, self.orders), "u long, v long"), f"links-{name}")
-
-    def with_sets(self, pairs: DataFrame, whole: bool) -> DataFrame:
-        """The pairs with sizes and tokens of both ends."""
+        """The pairs (u, v) whose sets reach the threshold; the filters of the other orders come first."""
+        others = self.orders[1:]
+        if others:
+            met = self.with_sets(pairs, others).select("u", "v", "nu", "nv", "tu", "tv")
+            pairs = self.scratch.save(met.mapInArrow(_hopeful(self.percent, len(others)), "u long, v long"), f"hopeful-{name}")
+        met = self.with_sets(pairs, None).select("u", "v", "tu", "tv")
+        return self.scratch.save(met.mapInArrow(_verified(self.percent), "u long, v long"), f"links-{name}")
+
+    def with_sets(self, pairs: DataFrame, orders: tuple[int, ...] | None) -> DataFrame:
+        """The pairs with sizes and tokens (whole sets, or prefixes under ``orders``) of both ends."""
         ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
         bits = self.spark.sparkContext.broadcast(id_filter(ids))
         bit = F.pmod(F.xxhash64("id"), F.lit(1 << BLOOM_LOG))
         sets = self.docs.where("id is not null").select("id", "text", bit.alias("bit")).mapInArrow(
-            _sets(self.k, self.percent, self.levels, bits, whole), "id long, size long, tokens binary"
+            _sets(self.k, self.percent, self.levels, bits, orders), "id long, size long, tokens binary"
         )
         u = sets.select(F.col("id").alias("u"), F.col("size").alias("nu"), F.col("tokens").alias("tu"))
         v = sets.select(F.col("id").alias("v"), F.col("size").alias("nv"), F.col("tokens").alias("tv"))
@@ -452,7 +517,7 @@ class JaccardJoin:
                 return links
             if apart <= PARTNERS * total:
                 share = 1  # few enough to take all of them at once
-            pairs = self.pairs_apart(e, main, share) if share else self.some_pairs(e.join(main.select("tok"), "tok", "left_semi"), step)
+            pairs = self.pairs_apart(e, main, share) if share else self.some_pairs(e.join(main.select("tok", "n"), "tok"), step)
             pairs = self.scratch.save(pairs.join(known, ["u", "v"], "left_anti"), f"apart-{step}")
             links = links.unionByName(self.verify(pairs, f"apart-{step}"))
             known = known.unionByName(pairs)
@@ -469,9 +534,11 @@ class JaccardJoin:
         return (a["root"] != b["root"]) & sizes & reach & self._cells_reach(a["size"], b["size"], a["cells"], b["cells"])
 
     def some_pairs(self, e: DataFrame, step: int) -> DataFrame:
-        """A few pairs for each set: with those before it in a random order of each bucket."""
+        """A few pairs for each set: with those before it in a random order of each bucket, in runs of bounded size."""
         fields = ("rep", "root", "size", "rank", "cells")
-        w = Window.partitionBy("tok").orderBy(F.xxhash64("rep", F.lit(step)), "rep")
+        place = F.xxhash64("rep", F.lit(step))
+        run = F.pmod(place, F.floor(F.col("n") / RUN) + 1)
+        w = Window.partitionBy("tok", run).orderBy(place, "rep")
         partners = F.array(*[F.lag(F.struct(*fields), i).over(w) for i in (1, 2)])
         met = e.withColumn("_partners", partners).select(*fields, F.explode("_partners").alias("p")).where("p is not null")
         met = met.where(self._may_reach({f: F.col(f) for f in fields}, {f: F.col(f"p.{f}") for f in fields}))
