@@ -86,10 +86,26 @@ def leaks(text: str | None, items: list[tuple], window: int = 13) -> tuple[int,
         for i in range(len(w) - k + 1 if k else 0):
             if tuple(w[i : i + k]) in windows:
                 hit |= set(range(i, i + k))
-                met.add(str(item))
+                met.add("" if item is None else str(item))
     return len(w), hit, met
 
 
+def cut(text: str, items: list[tuple]) -> str:
+    """The text without runs of hit words, again and again until no word is hit."""
+    while True:
+        _, hit, _ = leaks(text, items)
+        if not hit:
+            return text
+        out, at = "", 0
+        words = list(ALNUM_WORD.finditer(text.translate(ASCII)))
+        for i, w in enumerate(words):
+            if i in hit and i - 1 not in hit:
+                out += text[at : w.start()]
+            if i in hit:
+                at = w.end()
+        text = out + text[at:]
+
+
 def places(text: str | None, phrases) -> tuple[int, list[int], set[str]]:
     w = ALNUM_WORD.findall((text or "").translate(ASCII))
     at, labels = [], set()

@@ -2,8 +2,10 @@
 
 import hashlib
 import html
+import itertools
 import random
 import re
+import time
 
 import brute
 import numpy as np
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import components, decontaminate, html_text, jaccard_join, langid, syncmers, textkit
 from quire.llm.html_blocks import leaf_blocks
+from layouts import LAYOUTS
 from quire.llm.scratch import Scratch
 
 
@@ -89,10 +92,54 @@ def test_filters_are_safe():
             continue
         both = len(np.intersect1d(a, b))
         linked = both * 100 >= 80 * (len(a) + len(b) - both)
-        x, y = (t[np.argsort(jaccard_join.ordered(t, levels, 1))] for t in (a, b))
-        assert jaccard_join._linked(x, y, 80, levels, (0, 1, 2)) == linked
-        p, q = ((np.sort(jaccard_join.ordered(t, levels, 1))[: jaccard_join.prefix_size(len(t), 80)] >> np.uint64(32)).astype(np.uint32) for t in (a, b))
-        assert jaccard_join.within_reach(p, q, len(a), len(b), 80) or not linked
+        assert jaccard_join.linked(a, b, 80) == linked
+        for order in (1, 2):
+            p, q = (jaccard_join.prefix(t, levels, order, 80) for t in (a, b))
+            assert len(p) == min(len(a), jaccard_join.prefix_size(len(a), 80)) and (p[1:] >= p[:-1]).all()
+            assert jaccard_join.within_reach(p, q, len(a), len(b), 80) or not linked
+
+
+def test_each_order_rejects():
+    """Pairs of some likeness below the threshold that one order's prefixes rule out and the other's don't."""
+    rng, levels, alone = np.random.default_rng(1), np.zeros(1 << jaccard_join.CELLS_LOG, np.uint8), {1: 0, 2: 0}
+    for _ in range(400):
+        base = np.unique(rng.integers(0, 2**63, 60, dtype=np.uint64))
+        a, b = base[:44], base[16:]
+        ok = {o: jaccard_join.within_reach(jaccard_join.prefix(a, levels, o, 80), jaccard_join.prefix(b, levels, o, 80), len(a), len(b), 80) for o in (1, 2)}
+        for o in (1, 2):
+            alone[o] += not ok[o] and ok[3 - o]
+    assert min(alone.values()) > 10
+
+
+@pytest.mark.parametrize("orders", [(0,), (2,), (1, 0), (0, 1, 2)])
+def test_any_orders(spark, orders):
+    rows = near_rows(9)[:150]
+    got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"), orders=orders)
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == brute.components(rows)
+
+
+def test_hot_tokens_have_several_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HOT", 5)
+    monkeypatch.setattr(jaccard_join, "SAMPLE", 1)
+    monkeypatch.setattr(jaccard_join, "RUN", 3)
+    monkeypatch.setattr(jaccard_join, "CHUNK", 4)
+    rows = near_rows(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(jaccard_join.JaccardJoin(df, "doc_id", "text", 5, 80, (0, 1, 2)).scratch.base)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(df).collect()}
+    assert got == brute.components(rows)
+
+
+def test_jaccard_join_long_texts(spark):
+    rng = random.Random(12)
+    words = [f"w{rng.randint(0, 10**6)}" for _ in range(120_000)]
+    near = list(words)
+    for i in range(0, len(near), 60):
+        near[i] = "x"
+    far = words[:60_000] + [f"z{i}" for i in range(60_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far)), (4, " ".join(words))]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.components(rows) == {1: 1, 2: 1, 3: 3, 4: 1}
 
 
 def test_components(spark):
@@ -129,12 +176,26 @@ def test_leaks(spark, most):
 def test_spans_are_cut(spark, none):
     b = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = spark.createDataFrame([(1, "é " * 100 + "Short item, HERE! end"), (2, "short item here"), (3, "clean")], "doc_id long, text string")
-    got = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(df, b).collect()}
-    assert got == {1: "é " * 100 + "! end", 3: "clean"}
+    for most in (500_000, 3):
+        got = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(df, b, max_windows=most).collect()}
+        assert got == {1: "é " * 100 + "! end", 3: "clean"}
     assert decontaminate.decontaminate(none, b).count() == 0
     assert decontaminate.decontaminate(df, b.limit(0)).count() == 3
 
 
+@pytest.mark.parametrize("most", [500_000, 3])
+def test_cuts_that_make_windows(spark, most):
+    """Words that a cut brings together are looked at again."""
+    b = spark.createDataFrame([(1, "one two three"), (2, "far near")], "item_id long, text string")
+    text = "w " * 200 + "one far near two, three; end"
+    df = spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "doc_id long, text string").withColumn("_leak", F.lit("clash"))
+    got = decontaminate.decontaminate(df, b, max_windows=most)
+    assert got.columns == df.columns
+    texts = [r["text"] for r in got.collect() if r["doc_id"] == 1]
+    assert texts == ["w " * 200 + "; end"] * 2
+    assert {r["doc_id"] for r in got.collect()} == {1, 2, 3}
+
+
 def test_syncmers(spark, none):
     rng = random.Random(4)
     rows = [(i, "".join(rng.choices("abcdefgh é", k=rng.choice([0, 1, 3, 9, 50, 700])))) for i in range(60)] + [(60, None), (61, "same text " * 9), (62, "same text " * 9)]
@@ -167,13 +228,87 @@ def test_syncmers_over_buckets(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def plain_anchors(text, k=syncmers.K, s=syncmers.S):
+    """The definition, with a hash of each s-mer alone: (k-mer, place) where an end holds the least."""
+    def value(piece):
+        total = 0
+        for c in piece:
+            total = (total * syncmers._STEP + ord(c)) % 2**64
+        return int(textkit.mix(np.array([total], np.uint64), 32)[0])
+
+    out = []
+    for i in range(len(text) - k + 1):
+        inner = [value(text[i + j : i + j + s]) for j in range(k - s + 1)]
+        if min(inner) in (inner[0], inner[-1]):
+            out.append((text[i : i + k], i))
+    return out or ([(text, 0)] if text else [])
+
+
+def test_anchors_by_definition():
+    rng = random.Random(15)
+    seen = {}
+    for n in [*range(0, 40), 100, 300]:
+        text = "".join(rng.choices("abcdé 数", k=n))
+        want = plain_anchors(text)
+        h, at = syncmers.anchors(syncmers.code_points(text))
+        assert at.tolist() == [p for _, p in want]
+        for (piece, _), x in zip(want, h.tolist()):  # equal pieces and only they have equal hashes
+            assert seen.setdefault(piece, x) == x
+    assert len(set(seen.values())) == len(seen)
+
+
+def test_likeness_over_lengths():
+    """A text against itself without its last sign: no length at which likeness breaks."""
+    rng = random.Random(16)
+    for n in range(1, 201):
+        text = "".join(rng.choices("abcdefgh ", k=n))
+        a, b = (syncmers.fingerprint(syncmers.code_points(t)) for t in (text, text[:-1]))
+        m = len(b.values)
+        if n > syncmers.K and m > 1:
+            assert syncmers.likeness(a, b) >= m / (m + 1)
+        assert syncmers.likeness(a, a) == 1.0
+
+
+def plain_likeness(x, y):
+    a, b = [p for p, _ in plain_anchors(x)], [p for p, _ in plain_anchors(y)]
+    if not a or not b:
+        return float(len(a) == len(b))
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1] / (len(a) + len(b) - best[-1][-1])
+
+
+def test_fingerprint_query_by_plain_code(spark):
+    rng = random.Random(17)
+    base = "".join(rng.choices("abcdefgh é", k=200))
+    rows = [(i, base[: rng.randint(0, 200)] + "".join(rng.choices("abc ", k=rng.randint(0, 60)))) for i in range(25)] + [(25, None), (26, ""), (27, "x" * 300)]
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    order = sorted(((i, t or "") for i, t in rows), reverse=True)
+    for at, (i, t) in enumerate(order):
+        following = order[(at + 1) % len(order)][1]
+        third = len(t) // 3
+        changed = t[: len(t) - third] + following[:third]
+        assert got[i]["near_edited"] == pytest.approx(plain_likeness(t, changed)) and got[i]["near_next"] == pytest.approx(plain_likeness(t, following))
+        for text, name in ((t, "fingerprint"), (changed, "edited_fingerprint")):
+            assert syncmers.unpacked(got[i][name])[1].tolist() == [p for _, p in plain_anchors(text)]
+
+
+def test_fingerprint_of_a_long_text(spark):
+    text = "".join(random.Random(18).choices("abcdefgh ", k=2_000_000))
+    rows = [(2, text), (1, text[:-1]), (None, "a"), (None, "b")]
+    got = {r["doc_id"]: r for r in syncmers.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[2]["near_next"] > 0.99999 and got[2]["n_chars"] == 2_000_000 and len(syncmers.unpacked(got[2]["fingerprint"])[0]) > 400_000
+
+
 def test_closed_syncmers_are_context_free():
     rng = random.Random(6)
     middle = "".join(rng.choices("abcdefgh", k=200))
     found = []
     for left in ("", "xyz", "hhhhhhhhhhhh"):
         codes = syncmers.code_points(left + middle + left)
-        h, at = syncmers._closed(codes, 12, 5)
+        h, at = syncmers.anchors(codes, 12, 5)
         n = len(left)
         found.append({(int(x), int(p) - n) for x, p in zip(h, at) if n <= p <= n + 200 - 12})
     assert found[0] == found[1] == found[2] and len(found[0]) > 20
@@ -241,9 +376,102 @@ def test_languages(spark, docs, none):
     assert langid.identify(docs, model).count() == len(brute.ROWS)
     assert {r["doc_id"] for r in langid.keep_known(docs).collect()}.isdisjoint({3, 4, 12})
     assert langid.keep_known(docs).columns == docs.columns
+    assert langid.keep_known(docs.withColumn("lang", F.lit(None).cast("string"))).count() == sum(any(c.isalpha() for c in r[1] or "") for r in brute.ROWS)
     assert langid.identify(odd, langid.LanguageModel({})).where("lang_pred <> 'und'").count() == 0
 
 
+def plain_shares(text, counts, names, unknown=False):
+    """EM over a text's words, one by one, with the penalised choice of the set: the operator's definition."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    grams, inside = langid._grams(data, np.array([0, len(data)]))
+    words, last = [], False
+    for g, letter in zip(grams.tolist(), inside.tolist()):
+        if letter and not last:
+            words.append([])
+        if letter:
+            words[-1].append(g)
+        last = letter
+    size = 1 << langid.GRAM_LOG
+    logs = [{n: np.log((counts[n] + langid.SMOOTH) / (counts[n].sum() + langid.SMOOTH * size)) for n in counts}][0]
+    like = []
+    for w in words:
+        one = [sum(float(np.float32(logs[n][g])) for g in w) for n in names]
+        like.append([np.exp(max(x - max(one), -60)) for x in one])
+
+    def step(share):
+        sums, fit = [0.0] * len(names), 0.0
+        for one in like:
+            total = sum(a * b for a, b in zip(one, share))
+            fit += np.log(total)
+            sums = [s + a * b / total for s, a, b in zip(sums, one, share)]
+        return [s / len(like) for s in sums], fit
+
+    share = [1 / len(names)] * len(names)
+    for _ in range(langid.ROUNDS):
+        share, _ = step(share)
+    order = sorted(range(len(names)), key=lambda j: (-share[j], j))
+    best = None
+    for k in range(1, len(names) + 1):
+        fitted = [max(share[j], 1e-6) if j in order[:k] else 0.0 for j in range(len(names))]
+        fitted = [x / sum(fitted) for x in fitted]
+        fit = step(fitted)[1]
+        for _ in range(langid.REFIT_ROUNDS if k > 1 else 0):
+            fitted, fit = step(fitted)
+        score = fit - 0.5 * np.log(max(len(like), 2)) * (k - 1)
+        if best is not None and score <= best[1]:
+            break
+        best = fitted, score
+    return best[0]
+
+
+@pytest.mark.parametrize("cells", [1 << 21, 64])
+def test_mixtures_by_plain_code(monkeypatch, cells):
+    """Texts of one to seven languages; pieces of a long text change nothing."""
+    monkeypatch.setattr(langid, "CELLS", cells)
+    rng = random.Random(21)
+    names = [f"l{i}" for i in range(7)]
+    words = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(12)] for n in names}
+    say = lambda n, k: " ".join("".join(rng.choices(words[n], k=2)) for _ in range(k))
+    counts = {}
+    for n in names:
+        data = np.frombuffer(say(n, 2000).encode(), np.uint8)
+        grams, inside = langid._grams(data, np.array([0, len(data)]))
+        counts[n] = np.bincount(grams[inside], minlength=1 << langid.GRAM_LOG)
+    model = langid.LanguageModel(counts)
+    for k in range(1, 8):
+        some = rng.sample(names, k)
+        text = " ".join(say(n, 30) for n in some)
+        data = np.frombuffer(text.encode(), np.uint8)
+        got = langid.infer(data, np.array([0, len(data)]), model)[0]
+        assert got == pytest.approx(plain_shares(text, counts, names), abs=2e-3)
+        assert {n for n, x in zip(names, got) if x > 0.05} == set(some)
+
+
+def test_unknown_languages_are_rejected(spark):
+    """The pipeline's stage: what EM says decides, and null languages are filled."""
+    rng = random.Random(22)
+    words = {"aa": ["la", "mento", "chi"], "bb": ["der", "ung", "sch"]}
+    make = lambda lang, n: " ".join("".join(rng.choices(words[lang], k=2)) for _ in range(n))
+    rows = [(i, make(lang, 40), lang) for i, lang in enumerate(["aa", "bb"] * 100)]
+    noise = " ".join("".join(rng.choices("qxzjkvw", k=6)) for _ in range(60))
+    rows += [(1000, noise, None), (1001, make("aa", 40), None), (1002, make("bb", 60) + " " + noise, None), (1003, "12", "aa"), (1004, make("aa", 5) + " " + noise, None)]
+    kept = {r["doc_id"]: r["lang"] for r in langid.keep_known(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert set(kept) == {i for i, _, _ in rows} - {1000, 1003, 1004} and (kept[1001], kept[1002]) == ("aa", "bb")
+
+
+def test_too_many_languages(spark):
+    df = spark.createDataFrame([(i, "text here", f"l{i}") for i in range(20)], "doc_id long, text string, lang string")
+    with pytest.raises(Exception, match="more than 5 languages"):
+        langid.train(df, max_languages=5)
+    assert len(langid.train(df).names) == 20
+
+
+def test_language_of_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "la mento chi " * 400_000, "aa"), (2, "der ung sch " * 1000, "bb")], "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(df, langid.train(df), keep_text=False).collect()}
+    assert got == {1: "aa", 2: "bb"}
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><p>Site name</p></header><nav><a href=/>Home</a></nav>
 <div class="cookie-notice">We use cookies</div><main><article><h1>Head &amp; line</h1><p>First <b>para</b>graph&nbsp;here, with a sentence.<p>Second
  one<br>broken.<script>var x = "<p>no</p>";</script><div class="ad">Buy now</div><ul><li>item one<li>item two</ul></article></main>
@@ -264,6 +492,68 @@ def test_field_on_new_pages():
     assert right / total > 0.98
 
 
+def test_layouts_written_by_hand():
+    """Pages that the generator didn't make; most of them wholly right, and nearly all of their blocks."""
+    field = html_text.default_field()
+    assert sum(field.text(page) == text for page, text in LAYOUTS) >= 27 and len(LAYOUTS) >= 30
+
+
+def test_viterbi_is_the_best_labelling():
+    rng = random.Random(31)
+    for _ in range(60):
+        weights = {f"size:{i}": rng.uniform(-2, 2) for i in range(6)} | {"in:p": 0.3, "in:div": rng.uniform(-1, 1), "name:x": rng.uniform(-2, 2)}
+        field = html_text.Field(weights, (rng.uniform(-1, 1), rng.uniform(-1, 1)), ((rng.uniform(-1, 1), rng.uniform(-1, 1)), (rng.uniform(-1, 1), rng.uniform(-1, 1))))
+        page = "".join(f"<div{rng.choice(['', ' class=x'])}><p>{'w ' * rng.randint(1, 60)}</p></div>" for _ in range(rng.randint(1, 9)))
+        blocks = leaf_blocks(page)
+        named = html_text.features(blocks)
+        scores = [sum(weights.get(f, 0.0) for f in x) for x in named]
+        assert field.scores(blocks) == pytest.approx(scores)
+
+        def worth(labels):
+            steps = sum(field.step[a][b] for a, b in itertools.pairwise(labels))
+            return field.start[labels[0]] + sum(s for s, y in zip(scores, labels) if y) + steps
+
+        best = max(itertools.product((0, 1), repeat=len(blocks)), key=worth)
+        assert worth(tuple(int(x) for x in field.decode(blocks))) == pytest.approx(worth(best))
+
+
+def test_gradient_by_differences():
+    known = html_text.Chains([leaf_blocks(p) for p in html_text.labelled_pages(6, 77)])
+    rng = np.random.default_rng(0)
+    theta = rng.normal(0, 0.3, len(known.names) + 6)
+    gradient = known.likelihood(theta)[1]
+    for i in [*rng.integers(0, len(known.names), 12).tolist(), *range(len(theta) - 6, len(theta))]:
+        step = np.zeros_like(theta)
+        step[i] = 1e-2
+        near = (known.likelihood(theta + step)[0] - known.likelihood(theta - step)[0]) / 2e-2
+        assert gradient[i] == pytest.approx(near, abs=0.05, rel=0.02)
+
+
+BROKEN = {
+    "<html><head><title>T</title><article><p>kept</article>": "kept", '<p title="it>hello</p>': "hello", "a, then <svg/>, then c": "a, then , then c", "<p>x<p>y": "x y",
+    "<article>a <math><mi>x</mi></math> b<object>c</object></article>": "a x b c", "<title>never closed <p>text": "never closed text", "<textarea>lost <p>text": "lost text", "<script>x <p>y": "", "<!-- x": "",
+    "a < b &#99999999999999999999; c": "a < b � c", '<a href="x"class="y">t</a> u': "t u", "<td></div>in the cell": "in the cell", "<p>x</p <p>y": "x y", "x <a href=": "x", "<b><div>x</b>y</div>z": "xy z",
+}
+
+
+@pytest.mark.parametrize("page", BROKEN)
+def test_broken_pages(page):
+    assert " ".join(b.text for b in leaf_blocks(page)) == BROKEN[page]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 700_000, "<div>x" * 300_000, "".join(f'<div class="c{i}">x' for i in range(100_000)), "<b><div>" + "<i>" * 200_000 + "</b>x" * 200_000, "<li><ul>" + "<div>" * 100_000 + "<li>a</li>" * 100_000,
+     "<title>" * 200_000, "<" * 2_000_000, "<p t='x" * 200_000 + ">", "<div>" * 100_000 + "</span>x" * 100_000],
+    ids=["cut tags", "nested", "classes", "inline", "items", "raw", "signs", "quotes", "ends"],
+)
+def test_time_is_linear(page):
+    began = time.process_time()
+    html_text.default_field().text(page)
+    assert time.process_time() - began < 60
+
+
+
 def test_shared_pages(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     got = {r["page_id"]: r["text"] for r in html_text.digest(pages).collect()}

@@ -117,6 +117,42 @@ def test_urls_all_rules(spark, max_rules):
         assert (r["verdict"], r["mined_rule"]) == ((first["verdict"], " & ".join(first["tokens"])) if first else ("allow", None))
 
 
+def test_urls_labels(spark):
+    """Only label rows teach, and only of pages outside the fixed rules; with nulls they don't."""
+    urls_ = ["http://a.net/x", "http://b.info/x", "http://c.info/y", "http://d.info/z", None, "http://e.info/q"]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").withColumn("label", F.lit("clash"))
+    labels = spark.createDataFrame([(0, 0, 0), (1, 0, 0), (2, 1, 1), (3, 1, 0), (3, 1, 0), (4, 1, 0), (5, None, 0), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    got = sorted((r["url"] or "", r["label"]) for r in urls.labelled_pages(pages, labels).collect())
+    assert got == [("", "allow"), ("http://b.info/x", "block"), ("http://c.info/y", "block"), ("http://d.info/z", "allow")]
+
+
+def test_urls_held_out(spark):
+    """Rules mined from half of the labelled URLs, held against the other half."""
+    rng = random.Random(5)
+    rows = []
+    for i in range(4000):
+        bad = rng.random() < 0.25
+        host = rng.choice(["casino-x", "pills-y"]) if bad and rng.random() < 0.8 else f"site{rng.randint(0, 60)}"
+        tail = "?sid=%d" % i if bad and rng.random() < 0.5 else rng.choice(["", "#top", "?page=2"])
+        rows.append((i, f"http://{host}.info/{rng.choice(['a', 'b', 'c'])}/{i}{tail}", "block" if bad else "allow"))
+    df = spark.createDataFrame(rows, "page_id long, url string, label string")
+    mined = urls.mine_rules(df.where("page_id % 2 = 0"), "url", "label")
+    got = urls.judge(df.where("page_id % 2 = 1"), mined).collect()
+    blocked = [r for r in got if r["verdict"] == "block"]
+    assert sum(r["label"] == "block" for r in blocked) / len(blocked) > 0.95
+    assert sum(r["label"] == "block" for r in blocked) / sum(r["label"] == "block" for r in got) > 0.8
+
+
+def test_urls_odd_pages(spark):
+    rows = [("http://s.bad.info/x", "block")] * 30 + [(f"http://s{i}.good.info/x", "allow") for i in range(60)]
+    mined = urls.mine_rules(spark.createDataFrame(rows, "url string, label string"), "url", "label")
+    long = "http://s.bad.info/" + "/".join(f"seg{i}x" for i in range(20_000))
+    pages = spark.createDataFrame([(1, long), (1, long), (2, None), (None, "http://s.bad.info/")], "page_id long, url string").withColumns({"ix": F.lit(1), "verdicts": F.lit(2)})
+    got = urls.judge(pages, mined)
+    assert sorted((r["page_id"] or -1, r["verdict"]) for r in got.collect()) == [(-1, "block"), (1, "block"), (1, "block"), (2, "allow")]
+    assert urls.judge(pages.limit(0), mined).count() == 0 and "Python" not in plan(got)
+
+
 def test_urls_sure_rules_leave_room(spark):
     """Twelve tokens that only blocked URLs hold make 4,095 sure rules; a rule of 0.9 stays all the same."""
     rows = [("http://h.info/" + "/".join("abcdefghi"), "block")] * 30 + [("ftp://de.net/de", "block")] * 36 + [("ftp://de.net/de", "allow")] * 4
@@ -132,18 +168,22 @@ def test_urls_learn_from_all_tokens(spark):
     assert (["query=sid"], "block", 1.0) in [(r["tokens"], r["verdict"], r["confidence"]) for r in got]
 
 
-TEXTS = ["", "plain", r"\### Assistant: </turn> ok", "<turn>user:x</turn>", "\\", "\\\\<", "a\nb", "<image:1>", "end \\", "\\</turn>", "::", "ü<", None]
+TEXTS = ["", "plain", r"\### Assistant: </turn> ok", "<turn>user:x</turn>", "\\", "\\\\<", "a\nb", "<image:1>", "end \\", "\\</turn>", "::", "ü<", None, "\\b\\l\\c", "</turn", "数字 😀 <", "long < \\ text é " * 60_000]
 
 
 def test_chat_round_trip(spark):
     rows = [(c, t, role, TEXTS[(c + t) % len(TEXTS)]) for c in range(len(TEXTS)) for t, role in enumerate(("system", "user", "assistant", "assistant"))]
-    rows += [(100, 0, None, "x"), (100, 0, "a:b<\\", "y"), (None, 1, "user", "z"), (100, 0, None, "x")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    rows += [(100, 0, None, "x"), (100, 0, "a:b<\\", "y"), (None, 1, "user", "z"), (100, 0, None, "x"), (101, 0, "assistant", "x"), (101, 0, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumns({"segment": F.lit(1), "formatted": F.lit("clash")})
     done = chat.format_conversations(df.withColumn("parts", chat.text_part(F.col("text"))))
-    read = done.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("t"), chat.loss_spans(chat.parse(F.col("formatted"))).alias("l"))
+    read = done.select("conv_id", "formatted", chat.parse(F.col("formatted")).alias("t"), "loss", chat.masked(F.col("formatted"), F.col("loss")).alias("m"))
     for r in read.collect():
         own = sorted((x[1], x[2] or "", x[3] or "") for x in rows if x[0] == r["conv_id"])
         assert [(x["role"], x["text"]) for x in r["t"]] == [(b, c) for _, b, c in own]
+        under = [r["formatted"][s["start"] : s["end"]] for s in r["loss"]]
+        assert under == r["m"] == [r["formatted"].encode()[s["from_byte"] : s["to_byte"]].decode() for s in r["loss"]]
+        back = [x.replace("\\c", ":").replace("\\l", "<").replace("\\b", "\\") for x in under]
+        assert back == [c for _, b, c in own if b == "assistant"]
     assert "Python" not in plan(done)
     assert chat.format_conversations(df.limit(0).withColumn("parts", chat.text_part(F.col("text")))).count() == 0
 
@@ -152,9 +192,9 @@ def test_chat_parts(spark):
     parts = [("text", "see <", None, None), ("image", None, "i.png", 2048), ("text", " and ", None, None), ("audio", None, "a.wav", 80), ("pdf", None, None, 40), (None, "t", None, None)]
     df = spark.createDataFrame([(1, 0, "user", parts), (1, 1, "assistant", None)], f"conv_id long, turn long, role string, parts array<{chat.PART.simpleString()}>")
     r = chat.format_conversations(df).first()
-    assert r["formatted"] == "<turn>user:see \\<<image:1> and <audio:2><document:3>t</turn><turn>assistant:</turn>"
+    assert r["formatted"] == "<turn>user:see \\l<image:1> and <audio:2><document:3>t</turn><turn>assistant:</turn>"
     assert [tuple(a) for a in r["attachments"]] == [(1, 1, "image", "i.png", 87), (1, 2, "audio", "a.wav", 4), (1, 3, "document", "", 18)]
-    assert r["tokens"] == 1 + 87 + 1 + 4 + 18
+    assert r["tokens"] == 1 + 87 + 1 + 4 + 18 and [tuple(x) for x in r["loss"]] == [(len(r["formatted"]) - 7, len(r["formatted"]) - 7) * 2]
 
 
 def test_licenses_base(spark):
@@ -247,7 +287,8 @@ def brute_mix(rows, plans, seed=mixing.SEED):
         own = [(i, t) for i, s, t in rows if s == p.source]
         key = {i: hashlib.md5(f"{seed}|{i}".encode()).hexdigest() for i, _ in own}
         upto = 0
-        for i, t in sorted(own, key=lambda x: (int(key[x[0]][:8], 16) % p.blocks, key[x[0]])):
+        turn = {b: hashlib.md5(f"{seed}|{p.source}|{p.epochs + 1}|{b}".encode()).hexdigest() for b in range(p.blocks)}
+        for i, t in sorted(own, key=lambda x: (turn[int(key[x[0]][:8], 16) % p.blocks], key[x[0]])):
             upto += t
             out[i] = p.epochs + (upto <= p.part)
     return out
@@ -269,6 +310,21 @@ def test_mixing(spark, budget):
         assert mixing.expand(df, block_tokens=200).select("doc_id").distinct().count() == 300
 
 
+def test_mixing_tiny_and_empty_sources(spark):
+    plans = {p.source: p for p in mixing.plan_sources({"big": 7_000_000_000, "one": 1, "three": 3, "none": 0}, 0.97, 2.0, None, 1000)}
+    assert plans["one"].epochs >= 1 and plans["three"].epochs >= 1 and (plans["none"].epochs, plans["none"].part) == (1, -1)
+    df = spark.createDataFrame([(1, "x" * 400, "a"), (2, None, "b"), (3, "", "b"), (4, "y" * 40, "c")], "doc_id long, text string, source string")
+    got = {r["doc_id"]: r["copies"] for r in mixing.mix(df, budget="total").collect()}
+    assert got[2] == got[3] == 1
+
+
+def test_blocks_are_permuted(spark):
+    """Other seeds and epochs take other blocks into the part."""
+    df = spark.createDataFrame([(i, "x" * 40, "a" if i % 4 else "b") for i in range(800)], "doc_id long, text string, source string")
+    taken = [{r["block"] for r in mixing.mix(df, budget=3000, block_tokens=100, seed=s).where("copies > 0 and source = 'a'").collect()} for s in ("s1", "s2")]
+    assert taken[0] != taken[1] and all(0 < len(t) < 60 for t in taken)
+
+
 def test_mixing_odd_rows(docs, none):
     got = mixing.mix(docs)
     assert got.count() == len(brute.ROWS) and got.where("copies < 1").count() == 0
