@@ -14,27 +14,47 @@ from quire.llm.scratch import Scratch
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are text in some language; those without a letter go."""
+    """Documents in a known language; a null ``lang`` becomes the predicted one.
+
+    The languages are those of ``lang`` itself.  Null, empty and letterless
+    texts go, and so do those of which the mixture puts more than 3/4 in no
+    learned language.  Repeated rows are judged alike; without any ``lang`` only
+    texts without a letter go.
+    """
     return langid.keep_known(docs)
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without lines that a document of smaller id holds; ``n_chars`` follows."""
+    """Texts without lines that a document of smaller id holds; ``n_chars`` follows.
+
+    Documents of which only blanks are left go.  Rows without an id keep all
+    their lines; rows that repeat an id are one document, each with its lines.
+    """
     return line_dedup.reduced(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of each group of near duplicates."""
+    """The document of smallest id of each group of near duplicates.
+
+    Texts without words and rows without an id are no one's duplicates; rows
+    that repeat the smallest id all stay.
+    """
     return jaccard_join.keep_one(docs)
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """No contaminated documents; benchmark spans are cut from the others."""
+    """No contaminated documents; benchmark spans are cut from the others and ``n_chars`` follows.
+
+    Null and empty texts hold no window and stay; an empty benchmark changes nothing.
+    """
     return decontaminate.cleaned(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each use of each document, weighted by source; every document is used."""
+    """A row for each use of each document, weighted by source; every document is used.
+
+    Documents without a source are one source; those without tokens are used once.
+    """
     return mixing.expand(docs)
 
 
