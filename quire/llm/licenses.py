@@ -2,14 +2,14 @@
 
 A text becomes its lower-cased words parted by single spaces.  Rows without any
 gate word skip all rules; in the others a rule is tried only if its keyword
-occurs.  Matches become word intervals.  They are resolved in one ordered scan:
-an interval inside one already kept is dropped, and so is one that overlaps the
-last one kept with a lower priority; base phrases are never dropped.
+occurs.  Matches become word intervals.  They are taken by priority, then length,
+then place, and one that overlaps an interval already taken, inside it or not,
+is dropped; base phrases are never dropped and drop nothing.
 
 Everything is a column expression on the row itself: nothing is shuffled.
 
 Defined results: null or empty text has no words and no labels; repeated rows
-get equal answers; an empty table gives an empty result; columns named like an
+get equal answers; of intervals alike in all, the earlier rule's is taken; an empty table gives an empty result; columns named like an
 output are replaced, others pass through.
 """
 
@@ -22,7 +22,11 @@ from quire.llm.license_rules import BASE, Rule, rules
 from quire.llm.nativetext import ascii_lower
 
 #: One of these occurs wherever any rule can match.
-GATES = ("licen", "copyright", "spdx", "public domain", "rights reserved", " cc ", "permission ", "redistribut", "under the ", "released ", "reproduced", "confidential", "altered source", "endorse", "distributed ", "published ", "available ", "provided ", "covered ", "governed ", "shared ")
+GATES = (
+    "licen", "copyright", "spdx", "public domain", "rights reserved", " cc ", " cc0 ", "creative commons", "permission ", "redistribut", "under the ", "released ", "reproduced", "confidential", "altered source",
+    "endorse", "advertising", "misrepresented", "trade secret", "unauthori", "restriction", "in no event", "supplied as is", "product includes", "based in part", " mulan ", "fuck", " beer ", " wtfpl ", " org ",
+    "distributed ", "published ", "available ", "provided ", "covered ", "governed ", "shared ", "subject to ", "joinup ", "governed by ",
+)
 _SPAN = "struct<start:int,end:int,priority:int,rule:int,label:string,confidence:double>"
 
 
@@ -77,25 +81,19 @@ def _rule_array(all_rules: list[Rule]) -> Column:
 
 
 def resolve(spans: Column) -> Column:
-    """The intervals that stay, in order of start, longer and then higher ones first."""
+    """The intervals that stay: base phrases, then by priority, length, place and rule what overlaps none taken before."""
+    others = F.filter(spans, lambda s: s["priority"] < 100)
     keyed = F.sort_array(
-        F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), (-s["priority"]).alias("p"), s["rule"].alias("r"), s.alias("s")))
+        F.transform(others, lambda s: F.struct((-s["priority"]).alias("p"), (s["start"] - s["end"]).alias("n"), s["start"].alias("a"), s["rule"].alias("r"), s.alias("s")))
     )
-    start = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("priority"), F.array().cast(f"array<{_SPAN}>").alias("kept"))
 
-    def step(state: Column, x: Column) -> Column:
+    def step(kept: Column, x: Column) -> Column:
         s = x["s"]
-        inside = s["end"] <= state["end"]
-        beaten = (s["start"] < state["end"]) & (s["priority"] < state["priority"])
-        keep = (s["priority"] == 100) | ~(inside | beaten)
-        grown = F.struct(
-            F.greatest(state["end"], s["end"]).alias("end"),
-            F.when(inside, state["priority"]).otherwise(s["priority"]).alias("priority"),
-            F.concat(state["kept"], F.array(s)).alias("kept"),
-        )
-        return F.when(keep, grown).otherwise(state)
+        met = F.exists(kept, lambda k: (k["start"] < s["end"]) & (s["start"] < k["end"]))
+        return F.when(met, kept).otherwise(F.concat(kept, F.array(s)))
 
-    return F.aggregate(keyed, start, step, lambda s: s["kept"])
+    taken = F.aggregate(keyed, F.array().cast(f"array<{_SPAN}>"), step)
+    return F.sort_array(F.concat(F.filter(spans, lambda s: s["priority"] == 100), taken))
 
 
 def scan(docs: DataFrame, text_col: str = "text", all_rules: list[Rule] | None = None) -> DataFrame:
