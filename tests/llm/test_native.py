@@ -250,21 +250,53 @@ def examples(pattern, rng):
 def test_license_keywords_are_in_all_that_rules_match():
     rng = random.Random(9)
     for rule in license_rules.rules():
-        for _ in range(400):
-            words = f" {examples(rule.regex, rng)} "
-            assert re.fullmatch(rule.regex, words[1:-1])
+        regex, _, tag = rule.regex.partition("(?<=")
+        for _ in range(300):
+            words = " spdx license identifier " * bool(tag) + f" {examples(regex, rng)} "
+            assert re.fullmatch(regex, words.removeprefix(" spdx license identifier ").strip())
             assert rule.keyword in words and any(g in words for g in licenses.GATES), (rule.label, rule.keyword, words)
 
 
-def test_license_names_without_their_keyword_as_a_word(spark):
+def test_license_wordings(spark):
     want = {
         "released under the FreeBSD license": "bsd-2", "SPDX-License-Identifier: 0BSD": "0bsd", "licensed under the 0BSD license": "0bsd", "provided under the GPL3": "gpl-3", "released under LGPL2": "lgpl-2",
         "released under the GNU Library General Public License version 2": "lgpl-2", "distributed under the GPL2 license": "gpl-2", "covered by the AGPL3": "agpl-3", "released under LGPL3": "lgpl-3",
-        "licensed under the terms below": "license", "licenced under the terms below": "license",
+        "licensed under the terms below": "license", "licenced under the terms below": "license", "Licensed under the GPLv2": "gpl-2", "available under LGPLv3": "lgpl-3", "released under the MPLv2": "mpl-2",
+        "0BSD license": "0bsd", "FreeBSD license": "bsd-2", "Licensed under the terms of X": "license", "License: GPL-3": "gpl-3", "SPDX-License-Identifier: (MIT OR Apache-2.0)": "apache-2,mit",
+        "SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0 OR BSD-3-Clause": "bsd-3,gpl-2", "see the python license plate": "", "used by MIT students": "", "a ruby license plate": "",
+        "https://opensource.org/licenses/MIT": "mit", "see http://www.apache.org/licenses/LICENSE-2.0 for more": "apache-2", "https://creativecommons.org/licenses/by-nc-sa/4.0/": "cc-by-nc-sa",
+        "This is free and unencumbered software released into the public domain.": "unlicense", "it is in the public domain": "public-domain", "Eclipse Public License v2.0": "epl-2",
+        "under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License": "gpl-2", "Creative Commons Attribution-ShareAlike 4.0 International": "cc-by-sa",
     }
-    rows = list(enumerate(want))
+    rows = list(enumerate(want)) + [(0, next(iter(want)))]
     got = {r["doc_id"]: r["labels"] for r in licenses.with_labels(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
-    assert {text: got[i] for i, text in rows} == want
+    assert {text: got[i] for i, text in enumerate(want)} == want
+
+
+def test_license_spans_of_a_long_text(spark):
+    text = "word " * 200_000 + "licensed under the gpl v3 " + "Under the MIT License. " * 300 + "x " * 200_000
+    r = licenses.with_labels(licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    n, at, _ = brute.places(text, license_rules.BASE)
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["labels"]) == (n, len(at), at[0], at[-1], "gpl-3,mit")
+
+
+def test_resolve_by_plain_code(spark):
+    rng = random.Random(14)
+    rows = []
+    for i in range(60):
+        spans = []
+        for rule in range(rng.randint(0, 14)):
+            start = rng.randint(0, 30)
+            spans.append((start, start + rng.randint(1, 9), rng.choice([40, 70, 80, 85, 100]), rule, f"l{rule}", 0.5))
+        rows.append((i, spans))
+    kind = "array<struct<start:int,end:int,priority:int,rule:int,label:string,confidence:double>>"
+    got = spark.createDataFrame(rows, f"i int, spans {kind}").select("i", licenses.resolve(F.col("spans")).alias("kept")).collect()
+    for r in got:
+        kept = []
+        for s in sorted((s for s in rows[r["i"]][1] if s[2] < 100), key=lambda s: (-s[2], s[0] - s[1], s[0], s[3])):
+            if not any(k[0] < s[1] and s[0] < k[1] for k in kept):
+                kept.append(s)
+        assert [tuple(s) for s in r["kept"]] == sorted(kept + [s for s in rows[r["i"]][1] if s[2] == 100])
 
 
 def test_hundreds_of_rules():
