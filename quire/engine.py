@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions.jsonvals import endpoint_scope
-from quire.functions.text import stable_id, strip_fences, text_hash
-from quire.operators import blocks, pack, relations, replay, revindex, search, segment
+from quire.functions.text import stable_id, text_hash
+from quire.operators import blocks, pack, postings, relations, replay, revindex, search, segment
+from quire.plans import book, checking, extraction, packet, planner, verify
 from quire.plans import compile as layers
-from quire.plans import planner, verify
+from quire.plans import roles as role_layer
 from quire.sources import importer
-from quire.sources.provider import Provider, Request
+from quire.sources.audit import Audit, Recorder
+from quire.sources.provider import Provider
 from quire.sources.settings import Settings
 from quire.sources.store import Store
 
+#: What full-text search looks at: table, its key and text columns, and the most hits.
+SEARCHED = {
+    "paragraphs": ("id", ["text"], 20), "scene_cards": ("scene_id", ["title", "summary"], 10), "summaries": ("record_id", ["summary", "themes", "unresolved"], 5),
+    "entities": ("id", ["canonical_name", "aliases", "type"], 10),
+}
+
 
 class InsufficientEvidence(ValueError):
     """Nothing was found that an answer could rest on."""
@@ -47,26 +54,18 @@ class Engine:
         if self.store.generation() is not None and not replace:
             raise FileExistsError("there is a manuscript already; replace it explicitly")
         chapters, warnings = importer.plan_folder(files, manifest)
-        self._store(chapters)
+        self._store(chapters, warnings)
         return warnings
 
-    def import_document(self, docs: DataFrame, name: str, level: int = 1, regex: str | None = None, replace: bool = False) -> list[str]:
+    def import_document(self, docs: DataFrame, name: str, level: int = 1, regex: str | None = None, single: bool = False, replace: bool = False) -> list[str]:
         """Chapters from one continuous document, a row (id, text) named ``name``."""
         if self.store.generation() is not None and not replace:
             raise FileExistsError("there is a manuscript already; replace it explicitly")
-        marked = importer.boundaries(docs.select(F.lit(name).alias("id"), "text"), "id", "text", level, regex)
-        problems = importer.boundary_problems(marked, "id").orderBy("pos").limit(1).collect()
-        if problems:
-            raise importer.AmbiguousOrder(f"{name}, line {problems[0]['pos'] + 1}: {problems[0]['problem']}")
-        parts = importer.continuous_split(marked, "id")
-        order = F.col("chapter_no").cast("int")
-        self._store(
-            parts.select(F.format_string("ch-%04d", order).alias("id"), order.alias("ordinal"), "title", F.format_string("ch-%04d.md", order).alias("file"), "source_key", "content")
-        )
-        front = importer.front_matter(marked, "id").where("has_front_matter").count()
-        return [f"{name}: text before the first chapter was left out"] * front
+        chapters, warnings = importer.plan_file(docs, name, level, regex, single)
+        self._store(chapters, warnings, name)
+        return warnings
 
-    def _store(self, chapters: DataFrame) -> None:
+    def _store(self, chapters: DataFrame, warnings: list[str], source: str = "") -> None:
         found = blocks.parse_blocks(chapters.select(F.col("id").alias("chapter_id"), F.col("content").alias("text")), "chapter_id", markers=self.settings.scene_breaks)
         own = F.when(blocks.citable(F.col("block_type")), stable_id("p", F.col("chapter_id"), F.col("ordinal")))
         b = found.withColumn("paragraph_id", own)
@@ -74,13 +73,31 @@ class Engine:
             "id", "chapter_id", "ordinal", "block_ordinal", "block_type", "text", text_hash(F.col("text")).alias("text_hash"),
             F.col("line_start").alias("source_line_start"), F.col("line_end").alias("source_line_end"),
         )
-        self.store.rebuild({"chapters": chapters.drop("content"), "blocks": b, "paragraphs": p})
+        kept = {n: self.store.read(n) for n in ("imports", "runs", "tasks") if self.store.has(n)}
+        self.store.rebuild({"chapters": chapters.drop("content"), "blocks": b, "paragraphs": p} | kept)
+        record = importer.import_record(self.store.read("chapters"), self.store.read("paragraphs"), source, warnings)
+        self.store.append({"imports": record})
+        self._index("paragraphs")
 
     def _keep(self, **fresh: DataFrame) -> None:
-        """A new generation: what there is, with some tables new."""
-        known = ("chapters", "blocks", "paragraphs", "scenes", "scene_cards", "index_refs", "index_terms", "entities", "occurrences", "roles", "summaries")
-        tables = {n: self.store.read(n) for n in known if n not in fresh and self.store.has(n)}
-        self.store.rebuild(tables | fresh)
+        """New versions of some tables and, where they are searched, of their indexes."""
+        self.store.update(fresh)
+        for name in fresh:
+            if name in SEARCHED:
+                self._index(name)
+
+    def _index(self, name: str) -> None:
+        """Postings and statistics of one table's texts."""
+        key, cols, _ = SEARCHED[name]
+        rows = self._searchable(name)
+        buckets = postings.buckets_for(rows, cols)
+        self.store.update({f"fts_{name}": postings.build(rows, [key], cols, buckets)})
+        self.store.update({f"fts_{name}_stats": postings.statistics(rows, self.store.read(f"fts_{name}"), buckets)})
+
+    def _searchable(self, name: str) -> DataFrame:
+        rows = self.store.read(name)
+        listed = [f.name for f in rows.schema.fields if f.dataType.simpleString() == "array<string>"]
+        return rows.withColumns({c: F.array_join(c, " ") for c in SEARCHED[name][1] if c in listed})
 
     # --- compile ----------------------------------------------------------
 
@@ -101,6 +118,48 @@ class Engine:
         refs = revindex.refs(self.store.read("scene_cards"))
         self._keep(index_refs=refs, index_terms=revindex.terms(refs))
 
+    def compile_entities(self, provider: Provider, model: str = "", force: bool = False) -> None:
+        """Entities and occurrences of chapters without a snapshot (all, if forced)."""
+        scenes, refs = self.store.read("scenes"), self.store.read("index_refs")
+        if self.store.has("entity_snapshots") and not force:
+            scenes = replay.pending(scenes, self.store.read("entity_snapshots"), ["chapter_id"])
+            refs = refs.join(scenes.select("chapter_id").distinct(), "chapter_id", "left_semi")
+        entities, occurrences, snapshots = extraction.compile_entities(refs, scenes, provider, model)
+        fresh = {"entities": entities, "occurrences": occurrences, "entity_snapshots": snapshots}
+        if self.store.has("entities"):
+            gone = snapshots.select("chapter_id")
+            fresh = {n: pack.without(self.store.read(n), gone, ["chapter_id"]).unionByName(df) for n, df in fresh.items()}
+        self._keep(**fresh)
+
+    def compile_roles(self, provider: Provider, model: str = "", prompt_version: str = "roles-v1", force: bool = False) -> bool:
+        """Roles of the whole book; whether anything was asked."""
+        entities, occurrences, cards = (self.store.read(n) for n in ("entities", "occurrences", "scene_cards"))
+        missing = replay.pending(self.store.read("chapters").select(F.col("id").alias("chapter_id")), self.store.read("entity_snapshots"), ["chapter_id"])
+        if not missing.isEmpty():
+            raise role_layer.RoleError("roles need the entities of every chapter")
+        found = role_layer.sources(entities, occurrences)
+        hashed = role_layer.input_hash(found, role_layer.context(found, cards))
+        if not force and role_layer.is_current(self.store.note("roles"), hashed, model, prompt_version):
+            return False
+        before = self.store.read("roles") if self.store.has("roles") else None
+        roles, snapshot = role_layer.compile_roles(entities, occurrences, cards, provider, model, before)
+        self.store.update({"roles": roles}, roles=snapshot | {"prompt_version": prompt_version})
+        return True
+
+    def compile_book(self, provider: Provider, model: str = "") -> None:
+        """The book's summary beside those of its chapters."""
+        s = self.store.read("summaries").where("record_type = 'chapter_summary'")
+        chapters = s.join(self.store.read("chapters").select(F.col("id").alias("chapter_id"), "ordinal"), "chapter_id").select("chapter_id", "ordinal", "summary")
+        roles = self.store.read("roles") if self.store.has("roles") else self.spark.createDataFrame([], "character_id string, canonical_name string, classification string")
+        done = book.compile_book(chapters, roles, provider, model, (self.store.note("roles") or {}).get("artifact_hash", ""))
+        self._keep(summaries=s.unionByName(done, allowMissingColumns=True))
+
+    def compile_verification(self, provider: Provider, mode: str | None = None, model: str = "", force: bool = False) -> None:
+        """Cards checked by a second model, with the status that follows."""
+        how = verify.effective_mode(mode, self.settings.verification)
+        cards = checking.check_cards(self.store.read("scene_cards"), self.store.read("paragraphs"), provider, how, self.settings.auto_accept, model, force)
+        self._keep(scene_cards=cards)
+
     def compile_summaries(self, provider: Provider, model: str = "") -> None:
         p = self.store.read("paragraphs")
         windows = segment.token_windows(p, self.settings.window_tokens, self.settings.window_overlap)
@@ -112,80 +171,121 @@ class Engine:
         self._keep(summaries=out)
 
     def cards_to_verify(self, mode: str | None = None) -> DataFrame:
-        how = verify.effective_mode(mode, self.settings.verification)
-        c = self.store.read("scene_cards")
-        none = F.array().cast("array<string>")
-        return c.where(verify.should_verify(how, verify.is_recovered(F.col("action")), verify.is_suspicious(F.col("evidence"), F.col("summary"), none, none)))
+        """Cards that a mode selects and no verdict covers."""
+        return checking.selected(self.store.read("scene_cards"), verify.effective_mode(mode, self.settings.verification))
 
     # --- questions --------------------------------------------------------
 
     def status(self) -> dict[str, int]:
-        names = ("chapters", "paragraphs", "scenes", "scene_cards", "summaries", "entities", "occurrences", "index_terms")
+        names = ("chapters", "paragraphs", "scenes", "scene_cards", "summaries", "entities", "occurrences", "roles", "index_terms")
         return {n: self.store.read(n).count() if self.store.has(n) else 0 for n in names}
 
     def inspect(self, table: str, value: str, column: str = "id") -> DataFrame:
         return relations.by_id(self.store.read(table), value, column)
 
-    def search(self, query: str, chapter: str | None = None) -> dict[str, DataFrame]:
-        """Best rows of paragraphs, cards and summaries, each under its own limit."""
-        where = F.col("chapter_id") == chapter if chapter else None
-        out = {"paragraphs": self._hits("paragraphs", query, "id", ["text"], where, 20)}
-        if self.store.has("scene_cards"):
-            allowed = relations.with_status(self.store.read("scene_cards"), self.settings.card_policy).select("scene_id")
-            found = self._hits("scene_cards", query, "scene_id", ["title", "summary"], where, None)
-            out["scene_cards"] = found.join(allowed, "scene_id", "left_semi").orderBy("score", "scene_id").limit(10)
-        if self.store.has("summaries"):
-            s = self.store.read("summaries").withColumns({c: F.array_join(c, " ") for c in ("themes", "unresolved")})
-            hits = search.score(s, query, ["record_id"], ["summary", "themes", "unresolved"], where, 5)
-            out["summaries"] = hits.join(self.store.read("summaries"), "record_id").orderBy("score", "record_id")
+    def search(self, query: str, chapter: str | None = None, most: int = SEARCHED["paragraphs"][2]) -> dict[str, DataFrame]:
+        """Best rows of paragraphs, cards, summaries and entities, each under its own limit."""
+        out = {}
+        for name, (key, _, limit) in SEARCHED.items():
+            if not self.store.has(f"fts_{name}"):
+                continue
+            rows = self.store.read(name)
+            let = rows.where(F.col("chapter_id") == chapter) if chapter else None
+            if name == "scene_cards":
+                let = relations.with_status(rows if let is None else let, self.settings.card_policy)
+            index, stats = self.store.read(f"fts_{name}"), self.store.read(f"fts_{name}_stats")
+            hits = postings.search(index, stats, query, [key], let, most if name == "paragraphs" else limit)
+            out[name] = hits.join(rows, key).orderBy("score", key)
         return out
 
-    def _hits(self, table: str, query: str, key: str, cols: list[str], where: Column | None, limit: int | None) -> DataFrame:
-        rows = self.store.read(table)
-        return search.score(rows, query, [key], cols, where, limit).join(rows, key).orderBy("score", key)
+    def ranked(self, query: str, chapter: str | None = None) -> DataFrame:
+        """(source, rank, id, score): one listing of all hits."""
+        return search.search_sources({n: (hits.select(SEARCHED[n][0], "score"), SEARCHED[n][0], SEARCHED[n][2]) for n, hits in self.search(query, chapter).items()})
 
-    def packet(self, question: str, mode: str = "recall", chapter: str = "") -> tuple[str, DataFrame, DataFrame | None]:
-        """(intent, paragraphs (position, id, text), summaries) that an answer rests on."""
-        one = self.spark.range(1).select(planner.intent(F.lit(question), F.lit(mode), F.lit(chapter)).alias("i"))
-        kind = one.first()["i"]
-        hits = self.search(question, chapter or None)
-        found = hits["paragraphs"].select("id", "chapter_id", "text", F.col("score").alias("o"))
+    def _cards(self, chapter: str) -> DataFrame:
+        return relations.cards_in_order(self.store.read("scene_cards"), self.store.read("scenes"), self.store.read("chapters"), self.settings.card_policy, chapter or None)
+
+    def packet(self, question: str, mode: str = "recall", chapter: str = "", provider: Provider | None = None, model: str = "") -> packet.Packet:
+        """All that an answer may rest on, and what it was made of."""
+        most = self.settings.max_evidence
+        kind, wide = self.spark.range(1).select(
+            planner.intent(F.lit(question), F.lit(mode), F.lit(chapter)).alias("i")
+        ).select("i", planner.paragraph_limit(F.col("i"), F.lit(most))).first()
+        hits = self.search(question, chapter or None, wide)
         p = self.store.read("paragraphs")
         p = p.where(F.col("chapter_id") == chapter) if chapter else p
-        cited = None
-        if self.store.has("scene_cards"):
-            cards = hits["scene_cards"]
-            if found.isEmpty() and cards.isEmpty():
-                every = relations.cards_in_order(
-                    self.store.read("scene_cards"), self.store.read("scenes"), self.store.read("chapters"), self.settings.card_policy, chapter or None
-                )
-                cards = planner.fallback_cards(every, kind)
-            cited = relations.evidence_rows(cards.select("scene_id", "evidence"), p).select("id", "chapter_id", "text", F.col("position").cast("double").alias("o"))
-        parts = [found, *([cited] if cited is not None else [])]
+        found = hits["paragraphs"].select("id", "chapter_id", "text", F.col("score").alias("o"))
+        cards, by_score = hits.get("scene_cards"), [F.col("score"), F.col("scene_id")]
+        if cards is not None and found.isEmpty() and cards.isEmpty():
+            cards = planner.fallback_cards(self._cards(chapter), kind).withColumn("score", F.col("chapter_ordinal") * 10.0**6 + F.col("scene_ordinal"))
+        summaries = planner.summaries_for(self.store.read("summaries"), kind, chapter) if self.store.has("summaries") else None
+        has_summaries = summaries is not None and not summaries.isEmpty()
+
+        # paragraphs: what summaries cite comes first, but for the ending, where it comes last
+        parts = [found]
+        if cards is not None:
+            cited = relations.evidence_rows(cards.select("scene_id", "evidence", "score"), p)
+            order = cards.select("scene_id", F.dense_rank().over(Window.orderBy(*by_score)).alias("_card"))
+            parts.append(cited.join(order, "scene_id").select("id", "chapter_id", "text", (F.col("_card") * 10.0**6 + F.col("position")).alias("o")))
+        if has_summaries:
+            refs = relations.unresolved_summary_refs(self.store.read("summaries"))
+            refs = refs.join(summaries.select("record_id"), "record_id", "left_semi").groupBy("id").agg(F.min(F.struct("record_id", "position", "inner")).alias("r"))
+            rank = F.row_number().over(Window.orderBy("r", "id"))  # the evidence of a few summaries
+            parts.insert(len(parts) if kind == "ending" else 0, refs.join(p, "id").select("id", "chapter_id", "text", rank.cast("double").alias("o")))
         rows = pack.ordered_union(parts, "id", "o")
         fallback = rows.isEmpty()
         if fallback:
             c = self.store.read("chapters").select(F.col("id").alias("chapter_id"), F.col("ordinal").alias("_c"))
-            rows = p.join(c, "chapter_id").select("id", "chapter_id", "text", (F.col("_c") * 10**6 + F.col("ordinal")).cast("double").alias("o"), F.lit(0).alias("source_rank"))
+            rows = p.join(c, "chapter_id").select("id", "chapter_id", "text", (F.col("_c") * 10.0**6 + F.col("ordinal")).alias("o"), F.lit(0).alias("source_rank"))
         # at most the limits of the searches, or one manuscript's paragraphs
         placed = rows.withColumn("position", F.row_number().over(Window.orderBy("source_rank", "o", "id"))).withColumn("_q", F.lit(1))
-        packed = planner.pack_paragraphs(placed, ["_q"], self.settings.max_evidence, F.lit(kind), F.lit(fallback)).drop("_q")
-        summaries = planner.summaries_for(self.store.read("summaries"), kind, chapter) if self.store.has("summaries") else None
-        return kind, packed.select("position", "id", "chapter_id", "text"), summaries
+
+        if cards is not None and planner.wants_coverage_cards(kind, has_summaries, not cards.isEmpty()):
+            more = planner.coverage_cards(self._cards(chapter), kind).withColumn("score", 10.0**9 + F.col("chapter_ordinal") * 10.0**6 + F.col("scene_ordinal"))
+            columns = ["scene_id", "chapter_id", "title", "summary", "score"]
+            cards = pack.ordered_union([cards.select(columns), more.select(columns)], "scene_id", "score")
+            by_score = [F.col("source_rank"), F.col("score"), F.col("scene_id")]
+        has_cards = cards is not None and not cards.isEmpty()
+        sections = [summaries] if has_summaries else []
+        sections = [packet.summary_rows(s) for s in sections]
+        entities = None
+        if self.store.has("entities"):
+            matched = [r["id"] for r in hits["entities"].select("id").collect()] if "entities" in hits else []
+            every = relations.entities_in_order(self.store.read("entities"), chapter or None)
+            entities = planner.top_entities(every, question, mode, kind, matched)
+            if self.store.has("roles"):
+                sections.append(packet.role_rows(planner.top_roles(self.store.read("roles"), entities, question, mode, kind)))
+            sections.append(packet.entity_rows(entities))
+        n = placed.count()
+        if provider is not None and packet.wants_digests(kind, n, most, has_summaries, has_cards):
+            made = packet.digests(placed, ["_q"], most, provider, model)
+            made = self.spark.createDataFrame(made.collect(), made.schema)  # a few rows, asked for once
+            if not made.where("summary = ''").isEmpty():
+                raise ValueError("a digest has no summary")
+            sections.append(packet.rows_of(made, "digest", F.col("digest_id"), F.col("summary"), [F.col("digest_id")], sources=F.col("support")))
+        if has_cards:
+            sections.append(packet.card_rows(cards, by_score))
+        packed = planner.pack_paragraphs(placed, ["_q"], most, F.lit(kind), F.lit(fallback))
+        sections.append(packet.rows_of(packed, "paragraph", F.col("id"), F.col("text"), [F.col("position")], F.col("chapter_id")))
+        out = packet.Packet(kind)
+        for part in sections:
+            for r in part.orderBy("position").collect():
+                row = r.asDict()
+                out.sources[row["record_id"]] = row.pop("sources")
+                out.rows.append(row)
+        return out
 
     def ask(self, question: str, provider: Provider, mode: str = "recall", chapter: str = "", model: str = "") -> Answer:
-        """An answer whose citations are all in the packet it was given."""
-        kind, rows, summaries = self.packet(question, mode, chapter)
-        given = rows.orderBy("position").collect()
-        if not given and (summaries is None or summaries.isEmpty()):
-            raise InsufficientEvidence("no paragraph, card or summary bears on the question")
-        text = "\n".join(f"[{r['id']}] {r['text']}" for r in given)
-        reply = provider.generate(Request("answer", "Answer from the evidence as JSON: answer, evidence.", f"{question}\n\n{text}", model, 0.2))
-        body = self.spark.range(1).select(strip_fences(F.lit(reply.content)).alias("b")).first()["b"]
-        raw = json.loads(body) if body else {}
-        known = {r["id"] for r in given}
-        cited = [i for i in raw.get("evidence", []) if i in known]
-        return Answer(kind, str(raw.get("answer", "")), cited, list(dict.fromkeys(cited)), raw)
+        """An answer whose citations and records are all in the packet it was given; the call is kept."""
+        audit = Audit(self.store)
+        with audit.run("query") as run_id:
+            recorder = Recorder(provider, run_id)
+            given = self.packet(question, mode, chapter, provider, model)
+            if given.is_empty():
+                raise InsufficientEvidence("no paragraph, card or summary bears on the question")
+            text, cited, used, raw = packet.answered(given, question, recorder, mode, model)
+            audit.calls(recorder)
+        return Answer(given.intent, text, cited, used, raw)
 
     @staticmethod
     def endpoint(url: str) -> str:

@@ -1,4 +1,4 @@
-"""Phrase tables that tell what a question asks.  Fixed values."""
+"""Phrase tables that tell what a question asks.  Fixed values, in plain English as users type them."""
 
 from __future__ import annotations
 
@@ -42,6 +42,7 @@ CHARACTER = (
     "character", "characters", "protagonist", "antagonist", "narrator", "pov", "point of view", "who is", "who are", "relationship", "relationships",
     "know", "knows", "believe", "believes", "want", "wants", "motivation", "motivations", "arc", "arcs",
 )
+# fixed values: words that ask for a chapter, and modes that ask for characters or themes
 CHAPTER = ("chapter", "chapter by chapter")
 CHARACTER_MODES = ("continuity", "development")
 THEME_MODES = ("interpretation", "style")

@@ -182,3 +182,19 @@ def normalize_support(value: Column, supported: Column) -> Column:
 def redact_ids(text: Column) -> Column:
     """Paragraph ids out of a text, with the brackets they stood in."""
     return collapse(F.regexp_replace(text, r"\s*[\[(]?\bp-[0-9A-HJKMNP-TV-Z]{26}\b[\])]?", ""))
+
+
+def rfc3339(time: Column) -> Column:
+    """A timestamp as RFC 3339 text in UTC, whole seconds; the session's zone must be UTC."""
+    return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def parse_time(text: Column) -> Column:
+    """RFC 3339 text as a timestamp; null where it isn't one."""
+    shape = r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$"
+    return F.when(F.trim(text).rlike(shape), F.try_to_timestamp(F.upper(F.trim(text))))
+
+
+def elapsed_ms(start: Column, end: Column) -> Column:
+    """Milliseconds between two times, 0 if they are the wrong way round."""
+    return F.greatest(F.lit(0).cast("long"), F.unix_millis(end) - F.unix_millis(start))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,21 @@ def chapter_overview(chapters: DataFrame, paragraphs: DataFrame, chapter: str |
     return joined.withColumn("paragraph_count", F.coalesce("paragraph_count", F.lit(0)))
 
 
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """One row: how many rows each table has."""
+    each = [df.agg(F.count("*").alias(name)) for name, df in tables.items()]
+    return reduce(DataFrame.crossJoin, each)  # one row each
+
+
+def chapters_in_order(chapters: DataFrame) -> DataFrame:
+    return chapters.orderBy("ordinal", "id")
+
+
+def paragraphs_of(paragraphs: DataFrame, chapter: str) -> DataFrame:
+    """A chapter's paragraphs in order."""
+    return paragraphs.where(F.col("chapter_id") == chapter).orderBy("ordinal")
+
+
 def by_id(df: DataFrame, value: str, column: str = "id") -> DataFrame:
     return df.where(F.col(column) == value.strip())
 

@@ -17,6 +17,11 @@ SCENE = "id string, chapter_id string, paragraph_start string, paragraph_end str
 CARD = "scene_id string, title string, summary string, evidence array<string>, status string, generation struct<run_id: string, model: string, prompt_version: string>"
 ENTITY = "id string, chapter_id string, type string, canonical_name string, aliases array<string>, evidence array<string>, status string, generation struct<run_id: string, model: string, prompt_version: string>"
 OCCURRENCE = "entity_id string, chapter_id string, scene_id string, surface_texts array<string>, source_fields array<string>, confidence double, status string"
+SUMMARY = (
+    "chapter_id string, chapter_title string, summary string, themes array<string>, unresolved array<string>, evidence array<string>, source_records array<string>,"
+    " character_final_states array<struct<character_id:string,state:string>>, status string,"
+    " generation struct<run_id:string,model:string,prompt_version:string,generated_at:string,character_roles_hash:string>"
+)
 SNAPSHOT = "chapter_id string, scene_count int, entity_count int, occurrence_count int, mention_count int, committed_at string"
 
 
@@ -189,23 +194,66 @@ def occurrence_count_violations(found: DataFrame, entity_log: DataFrame) -> Data
     return declared.join(counted, "chapter_id", "left").where(F.col("declared") != F.coalesce("n", F.lit(0))).select("chapter_id", "declared", F.coalesce("n", F.lit(0)).alias("found"))
 
 
+def summaries(log: DataFrame, chapters: DataFrame, paragraphs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(last summary of each record, violations (seq, problem)) from a summary log.
+
+    A chapter's summary may cite paragraphs of that chapter only, the book's
+    only chapters; both need a text.
+    """
+    both = [records(log, kind, SUMMARY).withColumn("record_type", F.lit(kind)) for kind in ("chapter_summary", "book_summary")]
+    none = F.array().cast("array<string>")
+    rows = both[0].unionByName(both[1]).withColumns(
+        {
+            "chapter_id": F.trim(F.coalesce("chapter_id", F.lit(""))),
+            "summary": F.trim(F.coalesce("summary", F.lit(""))),
+            "status": F.coalesce(F.when(F.trim("status") != "", F.trim("status")), F.lit("generated")),
+            **{c: clean_list(F.coalesce(c, none)) for c in ("themes", "unresolved", "evidence", "source_records")},
+        }
+    )
+    is_book = F.col("record_type") == "book_summary"
+    rows = rows.withColumn("record_id", F.when(is_book, F.lit("book_summary")).otherwise(F.concat(F.lit("chapter_summary:"), "chapter_id")))
+    known = chapters.select(F.col("id").alias("_c")).distinct()
+    place = paragraphs.select(F.col("id").alias("_ref"), F.col("chapter_id").alias("_pc"))
+    own = rows.where(
+        (F.col("summary") == "") | (is_book & (F.col("chapter_id") != "")) | (~is_book & (F.col("chapter_id") == ""))
+    ).select("seq", F.when(F.col("summary") == "", "no summary").when(is_book, "a book's summary with a chapter").otherwise("no chapter").alias("problem"))
+    lost = rows.where(~is_book & (F.col("chapter_id") != "")).join(known, F.col("chapter_id") == F.col("_c"), "left_anti").select("seq", F.lit("missing chapter").alias("problem"))
+    cited = rows.where(~is_book).select("seq", "chapter_id", F.explode("evidence").alias("_ref")).join(place, "_ref", "left")
+    foreign = cited.where(F.coalesce(F.col("_pc") != F.col("chapter_id"), F.lit(True))).select("seq", F.lit("evidence isn't of the chapter").alias("problem"))
+    named = rows.where(is_book).select("seq", F.explode(F.concat("evidence", "source_records")).alias("_ref")).join(known, F.col("_ref") == F.col("_c"), "left_anti")
+    rest = [c for c in rows.columns if c != "record_id"]
+    last = rows.groupBy("record_id").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("record_id", "r.*")
+    bad = own.unionByName(lost).unionByName(foreign).unionByName(named.select("seq", F.lit("names a missing chapter").alias("problem")))
+    return last, bad.distinct()
+
+
 def roles(log: DataFrame) -> DataFrame:
     """Raw role lines that the last fitting snapshot of the whole log committed."""
     rows = log.where(F.col("record_type").isin("character_role", "character_roles_snapshot"))
     count = F.get_json_object("line", "$.role_count").cast("int")
-    marked = rows.withColumns({"_all": F.lit(1), "_mark": (F.col("record_type") == "character_roles_snapshot").cast("int")})
-    marks = marked.where("_mark = 1").select(F.col("seq").alias("_until"), count.alias("_count"))
-    # a snapshot log is small: one row for each compile of a book
-    bounds = marks.withColumn("_from", F.coalesce(F.lag("_until").over(Window.orderBy("_until")), F.lit(-(2**62))))
-    joined = bounds.join(marked.where("_mark = 0"), (F.col("seq") > F.col("_from")) & (F.col("seq") < F.col("_until")), "left")
-    fitting = joined.groupBy("_from", "_until", "_count").agg(F.count("seq").alias("_n")).where("_n = _count")
-    last = fitting.agg(F.max_by(F.struct("_from", "_until"), "_until").alias("b")).select("b.*").where("_until is not null")
-    return last.join(marked.where("_mark = 0"), (F.col("seq") > F.col("_from")) & (F.col("seq") < F.col("_until"))).select("seq", "line")
-
-
-def pending(items: DataFrame, current: DataFrame, key: list[str], force: bool = False) -> DataFrame:
-    """Items that no current row covers; all of them if forced."""
-    return items if force else items.join(current.select(*key).distinct(), key, "left_anti")
+    mark = F.col("record_type") == "character_roles_snapshot"
+    # a role belongs to the snapshot after it: their number from the front is the same
+    marks = rows.where(mark).select("seq", count.alias("_count"))
+    bounds = [(r["seq"], r["_count"]) for r in marks.orderBy("seq").collect()]  # one for each compile of a book
+    edges = F.array(*[F.lit(s).cast("long") for s, _ in bounds]) if bounds else F.array().cast("array<bigint>")
+    placed = rows.where(~mark).withColumn("_epoch", F.size(F.filter(edges, lambda e: e < F.col("seq"))))
+    sizes = {r["_epoch"]: r["n"] for r in placed.groupBy("_epoch").agg(F.count("*").alias("n")).collect()}
+    fitting = [i for i, (_, n) in enumerate(bounds) if sizes.get(i, 0) == n]
+    return placed.where(F.col("_epoch") == F.lit(fitting[-1] if fitting else -1)).select("seq", "line")
+
+
+def pending(items: DataFrame, current: DataFrame, key: list[str], force: bool = False, same: Column | None = None) -> DataFrame:
+    """Items that no current row covers; all of them if forced.
+
+    ``same`` says which current rows still count, by prompt version, model or hash.
+    """
+    held = current if same is None else current.where(F.coalesce(same, F.lit(False)))
+    return items if force else items.join(held.select(*key).distinct(), key, "left_anti")
+
+
+def is_current_summary(version: str) -> Column:
+    """Whether a summary has a text and was made with this prompt."""
+    return (F.trim(F.coalesce("summary", F.lit(""))) != "") & (F.trim(F.coalesce("prompt_version", F.lit(""))) == version.strip())
 
 
 def committed_prefix(results: DataFrame, seq: str = "seq", failed: Column | None = None) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Full-text search: postings, BM25, word and boolean queries, several sources.
+"""Full-text search: BM25, word and boolean queries, several sources.
 
 Statistics are of the whole corpus; filters come after scoring and before the
-limit.  The query's tokens are few and known, so postings are made only of
-them, in one pass over the texts, without an exploded index.
+limit.  ``score`` scans texts that have no index, counting only the query's
+tokens; ``postings`` holds the index that a store keeps.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ import math
 import re
 import unicodedata
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import MARKED, PLAIN, tokens
@@ -154,14 +155,14 @@ def score(
     return ranked.orderBy("score", *key).limit(limit) if limit else ranked
 
 
-def search_sources(sources: dict[str, tuple[DataFrame, list[str], Column | None, int]], query: str, id_cols: dict[str, str]) -> DataFrame:
-    """(source, rank, id, score) of one query over several sources, each with its own limit."""
-    from pyspark.sql import Window
+def search_sources(found: dict[str, tuple[DataFrame, str, int]]) -> DataFrame:
+    """(source, rank, id, score) of one query's hits in several sources, each under its own limit.
 
-    out = None
-    for name, (df, text_cols, where, limit) in sources.items():
-        hits = score(df, query, [id_cols[name]], text_cols, where, limit)
-        rank = F.row_number().over(Window.orderBy("score", id_cols[name]))  # at most ``limit`` rows
-        part = hits.select(F.lit(name).alias("source"), rank.alias("rank"), F.col(id_cols[name]).cast("string").alias("id"), "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    ``found`` gives for each source its scored hits, their key and the limit.
+    """
+    parts = []
+    for name, (hits, key, limit) in found.items():
+        best = hits.orderBy("score", key).limit(limit)
+        rank = F.row_number().over(Window.orderBy("score", key))  # at most ``limit`` rows
+        parts.append(best.select(F.lit(name).alias("source"), rank.alias("rank"), F.col(key).cast("string").alias("id"), "score"))
+    return reduce(DataFrame.unionByName, parts)

@@ -162,6 +162,18 @@ def partition_violations(scenes: DataFrame, paragraphs: DataFrame) -> DataFrame:
     return seen.select("chapter_id", "ordinal", F.explode(F.filter(why, lambda x: x.isNotNull())).alias("problem"))
 
 
+def full_span(scenes: DataFrame, paragraphs: DataFrame) -> DataFrame:
+    """(chapter_id, id): scenes that cover their whole chapter."""
+    ends = paragraphs.groupBy("chapter_id").agg(F.min_by("id", "ordinal").alias("_a"), F.max_by("id", "ordinal").alias("_b"))
+    met = scenes.join(ends, "chapter_id")
+    return met.where((F.col("paragraph_start") == F.col("_a")) & (F.col("paragraph_end") == F.col("_b"))).select("chapter_id", "id")
+
+
+def oversized(sized: DataFrame, target: int, tokens: str = "tokens") -> DataFrame:
+    """Rows whose prompt has more tokens than the target; none without a target."""
+    return sized.where(F.col(tokens) > target) if target > 0 else sized.limit(0)
+
+
 def token_windows(paragraphs: DataFrame, target: int, overlap: int = 3, by: str = "chapter_id") -> DataFrame:
     """(by, window from 1, first, last, tokens): paragraphs packed greedily, by 1-based position.
 

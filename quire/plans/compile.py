@@ -9,11 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions.jsonvals import flexible_list, json_evidence, json_text, salvage
+from quire.functions.jsonvals import flexible_list, json_evidence, json_list, json_text, salvage
 from quire.functions.text import clamp_unit, clean_list, cut_at_word, derived_title, excluding, first_sentence, normalize_entity_type, source_key, stable_id, strip_fences
 from quire.operators import pack
 from quire.operators.relations import scene_paragraphs
 from quire.plans.planner import role_priority
+from quire.sources.aside import Aside
 from quire.sources.provider import Provider, attempt, generate
 
 CARD_SYSTEM = "Describe the scene as one JSON object: title, summary, evidence, themes, entities, participants, pov, locations, unresolved."
@@ -56,16 +57,26 @@ def parse_cards(answers: DataFrame) -> DataFrame:
     )
 
 
-def scene_cards(scenes: DataFrame, paragraphs: DataFrame, provider: Provider, model: str = "") -> DataFrame:
+class ExtractionError(ValueError):
+    """A strict run met a scene whose card couldn't be made."""
+
+
+def scene_cards(scenes: DataFrame, paragraphs: DataFrame, provider: Provider, model: str = "", on_failure: str = "fallback") -> DataFrame:
     """(scene_id, chapter_id, title, summary, evidence, status, action) for every scene.
 
-    Evidence must lie in the scene; an answer without any is asked for once
-    more, then the first sentence of the scene's text stands in.
+    Evidence must lie in the scene.  An answer without any is asked for once
+    more, with a compact prompt if the model timed out.  A scene that fails
+    again gets a card of its first sentence ("fallback"), one that is marked
+    skipped ("skip"), or is an error ("strict").
     """
     member = scene_paragraphs(scenes, paragraphs).select("scene_id", "id", "ordinal", "text")
 
-    def ask(items: DataFrame, number: int) -> DataFrame:
-        prompts = scene_prompts(items, paragraphs, compact=number > 1)
+    def ask(items: DataFrame, number: int, last: DataFrame | None) -> DataFrame:
+        prompts = scene_prompts(items, paragraphs).withColumn("action", F.lit("none" if number == 1 else "retry"))
+        if last is not None:
+            late = last.where(F.col("error").startswith("timeout")).select("scene_id")
+            short = scene_prompts(items.join(late, "scene_id", "left_semi"), paragraphs, compact=True).withColumn("action", F.lit("compact-retry"))
+            prompts = prompts.join(late, "scene_id", "left_anti").unionByName(short)
         return supported(parse_cards(generate(prompts, provider, "scene-card", CARD_SYSTEM, model)), member)
 
     def fallback(items: DataFrame) -> DataFrame:
@@ -77,8 +88,16 @@ def scene_cards(scenes: DataFrame, paragraphs: DataFrame, provider: Provider, mo
     items = scenes.withColumn("scene_id", F.col("id"))
     good = (F.size("evidence") > 0) & (F.trim("summary") != "")
     done = attempt(items, ["scene_id"], ask, good, fallback)
+    failed = F.col("action") == "fallback"
+    if on_failure == "strict":
+        bad = done.where(failed).select("scene_id").orderBy("scene_id").limit(1).collect()
+        if bad:
+            raise ExtractionError(f"no card of {bad[0]['scene_id']}")
     title = F.when(F.trim(F.coalesce("title", F.lit(""))) != "", F.trim("title")).otherwise(derived_title(F.col("summary"), F.concat(F.lit("Scene "), F.col("scene_id"))))
-    return done.select("scene_id", "chapter_id", title.alias("title"), "summary", "evidence", F.lit("generated").alias("status"), "action", "raw_json")
+    status = F.when(failed, "skipped").otherwise("generated") if on_failure == "skip" else F.lit("generated")
+    fields = {n: json_list(F.to_json(F.try_variant_get(F.try_parse_json("raw_json"), f"$.{n}", "variant"))) for n in ("participants", "unresolved")}
+    made = done.withColumns({n: F.coalesce(v, F.array().cast("array<string>")) for n, v in fields.items()})
+    return made.select("scene_id", "chapter_id", title.alias("title"), "summary", "evidence", "participants", "unresolved", status.alias("status"), "action", "raw_json")
 
 
 def supported(cards: DataFrame, member: DataFrame, by: str = "scene_id") -> DataFrame:
@@ -146,12 +165,13 @@ def chapter_summaries(windows: DataFrame, paragraphs: DataFrame, provider: Provi
     placed = paragraphs.withColumn("_pos", F.row_number().over(w))
     inside = windows.join(placed, "chapter_id").where(F.col("_pos").between(F.col("first"), F.col("last")))
     prompts = joined_lines(inside, ["chapter_id", "window"], "_pos", F.concat(F.lit("["), F.col("id"), F.lit("] "), F.col("text")))
-    part = generate(prompts, provider, "chapter-window", SUMMARY_SYSTEM, model)
+    aside = Aside(paragraphs.sparkSession, "windows")
+    part = aside.keep(generate(prompts, provider, "chapter-window", SUMMARY_SYSTEM, model))
     body = strip_fences(F.col("content"))
     part = part.select("chapter_id", "window", json_text(F.to_json(F.try_variant_get(F.try_parse_json(body), "$.summary", "variant"))).alias("summary"), flexible_list(body, "$.themes").alias("themes"), flexible_list(body, "$.unresolved").alias("unresolved"), flexible_list(body, "$.evidence").alias("evidence"))
     part = supported(part.withColumn("_w", F.concat_ws("|", "chapter_id", "window")), inside.select(F.concat_ws("|", "chapter_id", "window").alias("_w"), "id"), "_w").drop("_w")
 
-    def ask(items: DataFrame, number: int) -> DataFrame:
+    def ask(items: DataFrame, number: int, last: DataFrame | None) -> DataFrame:
         said = part.where("trim(summary) <> ''").join(items.select("chapter_id"), "chapter_id")
         text = joined_lines(said, ["chapter_id"], "window", F.col("summary"))
         answers = generate(text, provider, "chapter-summary", SUMMARY_SYSTEM, model)

@@ -9,7 +9,7 @@ from quire.functions import phrases
 from quire.functions.text import contains_any, contains_phrase, normalize_question, uni_trim
 from quire.operators import pack
 
-BROAD_INTENTS = ("story_summary", "chapter_summary", "character_inventory", "character_arc", "theme_style", "ending", "broad")
+BROAD_INTENTS = ("whole_summary", "chapter_summary", "character_inventory", "character_arc", "theme_style", "ending", "broad")
 MAX_EVIDENCE = 20
 ENTITY_LIMIT, ENTITY_INVENTORY_LIMIT = 6, 24
 ROLE_LIMIT, ROLE_INVENTORY_LIMIT = 8, 24
@@ -37,7 +37,7 @@ def intent(question: Column, mode: Column, chapter: Column) -> Column:
         .when(contains_any(q, phrases.INVENTORY), "character_inventory")
         .when(arc, "character_arc")
         .when(summary & of_chapter, "chapter_summary")
-        .when(summary, "story_summary")
+        .when(summary, "whole_summary")
         .when(_mode(mode).isin(*phrases.THEME_MODES) | contains_any(q, phrases.THEME), "theme_style")
         .when(contains_any(q, phrases.BROAD), "broad")
         .when(is_character_question(q, mode), "character_question")
@@ -125,7 +125,7 @@ def summaries_for(summaries: DataFrame, kind: str, chapter: str) -> DataFrame:
     chapters = seen.where("record_type = 'chapter_summary'")
     book = seen.where("record_type = 'book_summary'").orderBy("record_id").limit(1)
     has_book = not book.isEmpty()
-    if kind == "story_summary":
+    if kind == "whole_summary":
         return book if has_book else chapters
     prefer_chapters = kind == "chapter_summary" or bool(chapter)
     if prefer_chapters and not chapters.isEmpty():
@@ -139,7 +139,7 @@ def wants_coverage_cards(kind: str, has_summary: bool, has_cards: bool) -> bool:
     """Whether cards spread over the whole are added to those that were found."""
     if kind not in BROAD_INTENTS or has_summary:
         return False
-    return not has_cards or kind in ("character_inventory", "story_summary", "broad")
+    return not has_cards or kind in ("character_inventory", "whole_summary", "broad")
 
 
 def coverage_cards(cards: DataFrame, kind: str) -> DataFrame:

@@ -26,6 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> dict[str, tuple[Query, str | None]]:
     """All queries, after their modules have been imported."""
-    from quire.queries import plans, relations, replays, search, segments, texts  # noqa: F401
+    from quire.queries import layers, plans, relations, replays, search, segments, texts  # noqa: F401
 
     return REGISTRY

@@ -10,11 +10,11 @@ from quire.functions import text as tx
 from quire.plans import planner, verify
 from quire.queries import query, table
 from quire.queries.texts import LINES_SQL, lines
-from quire.sources.provider import attempt
+from quire.sources.provider import FakeProvider, attempt, generate
 
 #: Question texts that each conversation turn asks, by turns; the last is its own text.
 QUESTIONS = (
-    "How does the story end?", "Who are the characters?", "How does Mara change?", "Give me a summary of this chapter.", "Summarize it!",
+    "How does the book end?", "Who are the characters?", "How does Mara change?", "Give me a summary of this chapter.", "Summarize it!",
     "What are the themes?", "Overall, what happens in the whole book?", "Who is the narrator?", "Where is the door?",
 )
 
@@ -39,7 +39,7 @@ q AS (SELECT *, ' ' || trim(regexp_replace(translate(lower(question), '?.,!;:-_/
 )
 _INTENT_SQL = f"""CASE WHEN {_any(phrases.ENDING)} THEN 'ending' WHEN {_any(phrases.INVENTORY)} THEN 'character_inventory'
   WHEN {_any(phrases.GENERIC_ARC)} OR ({_any(phrases.CHANGE)} AND ({_any(phrases.HOW_DOES)} OR {_any(phrases.CHARACTER)})) THEN 'character_arc'
-  WHEN {_any(phrases.SUMMARY)} AND {_any(phrases.CHAPTER)} THEN 'chapter_summary' WHEN {_any(phrases.SUMMARY)} THEN 'story_summary'
+  WHEN {_any(phrases.SUMMARY)} AND {_any(phrases.CHAPTER)} THEN 'chapter_summary' WHEN {_any(phrases.SUMMARY)} THEN 'whole_summary'
   WHEN mode IN ('interpretation', 'style') OR {_any(phrases.THEME)} THEN 'theme_style' WHEN {_any(phrases.BROAD)} THEN 'broad'
   WHEN {_any(phrases.CHARACTER)} OR mode IN ('continuity', 'development') THEN 'character_question' ELSE 'narrow_recall' END"""
 
@@ -55,7 +55,7 @@ def pl_intent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("paragraph_limit", planner.paragraph_limit(F.col("intent"), F.lit(20)))
 
 
-_NAMES = (("mara", "character", ("the narrator",)), ("door", "object", ()), ("the end", "unknown", ("story",)), ("les", "group", ("der", "and")))
+_NAMES = (("mara", "character", ("the narrator",)), ("door", "object", ()), ("the end", "unknown", ("book",)), ("les", "group", ("der", "and")))
 
 
 def _by_name(spark: SparkSession, sf_dir: str, score, pick: Column) -> DataFrame:  # noqa: ANN001
@@ -142,10 +142,12 @@ def ver_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def fake_llm_retry_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the rows is answered at once, a third when asked again, the rest from its own text."""
+    first, second = FakeProvider((("ask 0", "first"),), default="!no"), FakeProvider((("ask 1", "second"),), default="!no")
 
-    def ask(items: DataFrame, number: int) -> DataFrame:
-        good = F.col("doc_id") % 3 < number
-        return items.select("doc_id", F.when(good, F.lit(("first", "second")[number - 1])).alias("answer"))
+    def ask(items: DataFrame, number: int, last: DataFrame | None) -> DataFrame:
+        prompts = items.select("doc_id", F.concat(F.lit("ask "), F.col("doc_id") % 3).alias("user"))
+        return generate(prompts, (first, second)[number - 1], "test", "").select("doc_id", F.col("content").alias("answer"), "error")
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return attempt(docs, ["doc_id"], ask, F.col("answer").isNotNull(), lambda left: left.select("doc_id", F.substring("text", 1, 20).alias("answer")))
+    done = attempt(docs, ["doc_id"], ask, F.col("error") == "", lambda left: left.select("doc_id", F.substring("text", 1, 20).alias("answer")))
+    return done.select("doc_id", "answer", "action")

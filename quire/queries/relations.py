@@ -11,6 +11,12 @@ from quire.queries import query, table
 from quire.queries.texts import LINES_SQL, lines
 
 
+def _listed(ordered: DataFrame) -> DataFrame:
+    """``position`` from 1: where a listing has each row, in the order the operator gave it."""
+    placed = ordered.withColumn("_m", F.monotonically_increasing_id())
+    return placed.withColumn("position", F.row_number().over(Window.orderBy("_m")).cast("long"))  # one listing, one task
+
+
 @query(
     "WITH "
     + LINES_SQL
@@ -18,9 +24,7 @@ from quire.queries.texts import LINES_SQL, lines
 )
 def q_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = lines(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select(F.lit(1).alias("c"), F.lit(0).alias("p"), F.lit(0).alias("l"))
-    rows = p.select(F.lit(0).alias("c"), F.lit(1).alias("p"), (F.char_length("line") > 200).cast("int").alias("l"))
-    return docs.unionByName(rows).agg(F.sum("c").alias("chapters"), F.sum("p").alias("paragraphs"), F.sum("l").alias("long_paragraphs"))
+    return relations.counts({"chapters": table(spark, sf_dir, "documents"), "paragraphs": p, "long_paragraphs": p.where(F.char_length("line") > 200)})
 
 
 @query("WITH " + LINES_SQL + " SELECT d.doc_id AS id, d.lang AS title, count(l.pos) AS paragraph_count FROM documents d LEFT JOIN lines l USING (doc_id) GROUP BY 1, 2")
@@ -39,8 +43,7 @@ def q_last_import(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_entities_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     e = s.select(F.col("s_suppkey").alias("id"), F.col("n_name").alias("type"), F.col("s_name").alias("canonical_name"), F.lit("x").alias("chapter_id"))
-    w = Window.orderBy(F.lower("type"), F.lower("canonical_name"), "id")  # a listing of all rows: one order, one task
-    return relations.entities_in_order(e).select(F.lower("canonical_name").alias("name"), "id", F.row_number().over(w).cast("long").alias("position"))
+    return _listed(relations.entities_in_order(e)).select(F.lower("canonical_name").alias("name"), "id", "position")
 
 
 @query(
@@ -68,8 +71,7 @@ def jn_left_summary_order(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("record_id"), F.col("doc_id").alias("chapter_id"), F.when(F.col("toxic") == 1, "book_summary").otherwise("chapter_summary").alias("record_type")
     )
     ordered = relations.summaries_in_order(s.join(chapters.withColumnRenamed("id", "chapter_id"), "chapter_id", "left"), chapters.select("id", "ordinal"))
-    w = Window.orderBy(F.when(F.col("record_type") == "book_summary", 0).otherwise(1), F.coalesce("ordinal", F.lit(999999)), "record_id")
-    return ordered.select("record_id", F.row_number().over(w).cast("long").alias("position"))
+    return _listed(ordered).select("record_id", "position")
 
 
 @query("SELECT count(*) AS total, count(*) FILTER (quality = 1) AS chapters, count(*) FILTER (quality = 0) AS books FROM labels")
@@ -84,10 +86,17 @@ def jn_semi_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("SELECT doc_id, lang FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
-def jn_anti_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+def jn_anti_without(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.without(table(spark, sf_dir, "documents").select("doc_id", "lang"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
+@query("SELECT doc_id AS id, lang FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def jn_anti_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as entities, labels as occurrences: those that never occur go."""
+    entities = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
+    return relations.drop_orphans(entities, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity_id")))
+
+
 @query(
     """WITH l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS n, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem)
     SELECT o_orderkey AS scene_id, n AS ordinal, l_partkey AS id FROM orders JOIN l ON l_orderkey = o_orderkey
@@ -115,11 +124,47 @@ def jn_evidence_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relations.evidence_rows(cards, table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name")))
 
 
-@query("SELECT l_orderkey AS chapter_id, count(DISTINCT l_partkey) AS occurrences, count(DISTINCT l_suppkey) AS entities FROM lineitem GROUP BY 1")
-def agg_occurrences_by_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("chapter_id")).agg(
-        F.count_distinct("l_partkey").alias("occurrences"), F.count_distinct("l_suppkey").alias("entities")
-    )
+@query(
+    """WITH refs AS (SELECT n_nationkey AS r, unnest([' p-' || n_nationkey, 'ch-' || n_regionkey, 'p-' || n_nationkey, 'x']) AS ref, generate_subscripts([1, 2, 3, 4], 1) - 1 AS position FROM nation),
+    own AS (SELECT r, position, 0 AS i, trim(ref) AS id FROM refs WHERE starts_with(trim(ref), 'p-')),
+    chapters AS (SELECT 'ch-' || r_regionkey AS ref, unnest(['p-a' || r_regionkey, 'p-b' || r_regionkey]) AS id, generate_subscripts([1, 2], 1) - 1 AS i FROM region),
+    every AS (SELECT * FROM own UNION ALL SELECT r, position, i, chapters.id FROM refs JOIN chapters USING (ref))
+    SELECT 's' || r AS record_id, id, arg_min(position, position * 100 + i)::INTEGER AS position, arg_min(i, position * 100 + i)::INTEGER AS inner_position FROM every GROUP BY r, id
+    UNION ALL SELECT 'c' || r_regionkey, unnest(['p-a' || r_regionkey, 'p-b' || r_regionkey]), unnest([0, 1]), 0 FROM region"""
+)
+def jn_summary_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What summaries cite: paragraphs themselves, and chapters through their summaries' paragraphs."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    p = F.concat(F.lit("p-"), "n_nationkey")
+    book = n.select(
+        F.concat(F.lit("s"), "n_nationkey").alias("record_id"), F.lit("book_summary").alias("record_type"), F.lit(None).cast("string").alias("chapter_id"),
+        F.array(F.concat(F.lit(" "), p), F.concat(F.lit("ch-"), "n_regionkey"), p, F.lit("x")).alias("evidence"),
+    )
+    own = r.select(
+        F.concat(F.lit("c"), "r_regionkey").alias("record_id"), F.lit("chapter_summary").alias("record_type"), F.concat(F.lit("ch-"), "r_regionkey").alias("chapter_id"),
+        F.array(F.concat(F.lit("p-a"), "r_regionkey"), F.concat(F.lit("p-b"), "r_regionkey")).alias("evidence"),
+    )
+    return relations.unresolved_summary_refs(book.unionByName(own)).select("record_id", "id", "position", F.col("inner").alias("inner_position"))
+
+
+@query("WITH " + LINES_SQL + " SELECT doc_id AS chapter_id, pos::INTEGER AS ordinal, line FROM lines WHERE doc_id = (SELECT min(doc_id) FROM documents WHERE n_chars > 2000)")
+def q_paragraphs_by_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = table(spark, sf_dir, "documents").where("n_chars > 2000").agg(F.min("doc_id")).first()[0]
+    p = lines(spark, sf_dir).select(F.col("doc_id").alias("chapter_id"), F.col("pos").alias("ordinal"), "line")
+    return relations.paragraphs_of(p, first)
+
+
+@query("SELECT c_custkey AS id, c_nationkey AS ordinal, row_number() OVER (ORDER BY c_nationkey, c_custkey) AS position FROM customer")
+def q_all_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("ordinal"))
+    return _listed(relations.chapters_in_order(c)).select("id", "ordinal", "position")
+
+
+@query("WITH " + LINES_SQL + ", f AS (SELECT min(doc_id) AS d FROM documents WHERE n_chars > 2000) SELECT doc_id AS chapter_id, pos::INTEGER AS ordinal FROM lines, f WHERE doc_id = d AND pos BETWEEN 2 AND 5")
+def q_paragraphs_in_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first = table(spark, sf_dir, "documents").where("n_chars > 2000").agg(F.min("doc_id")).first()[0]
+    p = lines(spark, sf_dir).select(F.col("doc_id").alias("chapter_id"), F.col("pos").alias("ordinal"))
+    return relations.paragraphs_in_range(p, first, 2, 5)
 
 
 @query(

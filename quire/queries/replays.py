@@ -9,6 +9,7 @@ from quire.operators import pack, replay
 from quire.plans import metrics
 from quire.queries import query, table
 from quire.sources import logs
+from quire.sources.aside import Aside
 
 
 @query("SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS seq FROM events GROUP BY 1, 2")
@@ -91,11 +92,15 @@ def src_log_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.lenient(log).select("seq", "record_type")
 
 
-@query("SELECT row_number() OVER (ORDER BY event_id) + 9 AS seq, event_id FROM events")
+@query("SELECT row_number() OVER (ORDER BY event_id) + 9 AS seq, event_id, 'event' AS record_type FROM events")
 def snk_log_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records numbered on from a given place, in order."""
-    out = logs.to_log(table(spark, sf_dir, "events").select("event_id", "event_type"), "event", 10, ["event_id"])
-    return out.select("seq", F.get_json_object("line", "$.event_id").cast("long").alias("event_id"))
+    """Records appended to a log in two goes, numbered on, and read back."""
+    path = f"{Aside(spark, 'log').base}/log"
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    middle = e.agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY event_id)")).first()[0]
+    logs.append(logs.to_log(e.where(F.col("event_id") <= middle), "event", 10, ["event_id"]), path)
+    logs.append(logs.to_log(e.where(F.col("event_id") > middle), "event", logs.next_seq(logs.read_log(spark, path)), ["event_id"]), path)
+    return logs.read_log(spark, path).select("seq", F.get_json_object("line", "$.event_id").cast("long").alias("event_id"), "record_type")
 
 
 @query("SELECT l_orderkey AS sequence, 'lines' AS layer FROM (SELECT DISTINCT l_orderkey FROM lineitem) WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 3 = 0)")

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
 from quire.functions.jsonvals import flexible_list
-from quire.operators import revindex, search
+from quire.operators import postings, revindex, search
 from quire.queries import query, table
 from quire.queries.texts import LINES_SQL, lines
+from quire.sources.aside import shared_folder
+from quire.sources.store import Store
 
 _TOKENS = "regexp_extract_all(strip_accents(lower(coalesce({0}, ''))), '[\\p{{L}}\\p{{N}}]+')"
 
@@ -26,20 +30,66 @@ def bm25_sql(source: str, key: str, text: str, words: list[str], where: str = "T
     SELECT {key}, round(-({part}), 6) AS score FROM c, s WHERE {need} AND {where} ORDER BY round(-({part}), 6), {key} LIMIT {limit}"""
 
 
+_SOURCES = {
+    "lines": (lines, ["doc_id", "pos"], "line"),
+    "documents": (lambda spark, sf_dir: table(spark, sf_dir, "documents"), ["doc_id"], "text"),
+    "benchmark": (lambda spark, sf_dir: table(spark, sf_dir, "benchmark"), ["item_id"], "text"),
+}
+
+
+def _version(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """What tells one state of a table's files from another: names, lengths, times."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listStatus(path)
+    return hashlib.sha256("|".join(sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files)).encode()).hexdigest()[:24]
+
+
+def index(spark: SparkSession, sf_dir: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(postings, statistics) of a source, built when its tables are first searched and kept beside them in the shared folder."""
+    source, key, text = _SOURCES[name]
+    version = _version(spark, sf_dir, "benchmark" if name == "benchmark" else "documents")
+    store = Store(spark, f"{shared_folder(spark)}/quire-index/{spark.sparkContext.applicationId}/{name}-{version}")
+    if not store.has("statistics"):
+        docs = source(spark, sf_dir)
+        buckets = postings.buckets_for(docs, [text])
+        store.update({"postings": postings.build(docs, key, [text], buckets)})
+        store.update({"statistics": postings.statistics(docs, store.read("postings"), buckets)})
+    return store.read("postings"), store.read("statistics")
+
+
+def _found(spark: SparkSession, sf_dir: str, name: str, words: str, where: DataFrame | None = None) -> DataFrame:
+    return postings.search(*index(spark, sf_dir, name), words, _SOURCES[name][1], where, None)
+
+
 def _rounded(df: DataFrame, key: list[str], limit: int = 20) -> DataFrame:
     """Scores to six places, then the limit, so that ties break alike everywhere."""
     return df.withColumn("score", F.round("score", 6)).orderBy("score", *key).limit(limit)
 
 
-@query("WITH " + LINES_SQL + ", " + bm25_sql("lines", "doc_id, pos::INTEGER AS pos", "line", ["the", "of"]).replace("ORDER BY round", "ORDER BY round").replace(", doc_id, pos::INTEGER AS pos LIMIT", ", doc_id, pos LIMIT"))
+BM25_LINES_SQL = "WITH " + LINES_SQL + ", " + bm25_sql("lines", "doc_id, pos::INTEGER AS pos", "line", ["the", "of"]).replace(", doc_id, pos::INTEGER AS pos LIMIT", ", doc_id, pos LIMIT")
+
+
+@query(BM25_LINES_SQL)
 def fts_bm25_top20(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_found(spark, sf_dir, "lines", "the of"), ["doc_id", "pos"])
+
+
+@query(BM25_LINES_SQL)
+def fts_bm25_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same without an index, for frames that have none."""
     return _rounded(search.score(lines(spark, sf_dir), "the of", ["doc_id", "pos"], ["line"], limit=None), ["doc_id", "pos"])
 
 
+@query("WITH " + LINES_SQL + ", t AS (SELECT doc_id, pos, " + _TOKENS.format("line") + " AS ts FROM lines), u AS (SELECT doc_id, pos, len(ts) AS dl, unnest(ts) AS token FROM t) SELECT token, doc_id, pos::INTEGER AS pos, count(*) AS tf, any_value(dl)::BIGINT AS dl FROM u GROUP BY ALL")
+def fts_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir, "lines")[0].drop("bucket")
+
+
 @query("WITH " + bm25_sql("documents", "doc_id", "text", ["the", "of"], "lang = 'en' AND n_chars > 500"))
 def fts_bm25_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = (F.col("lang") == "en") & (F.col("n_chars") > 500)
-    return _rounded(search.score(table(spark, sf_dir, "documents"), "The, OF!", ["doc_id"], ["text"], where, None), ["doc_id"])
+    let = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & (F.col("n_chars") > 500))
+    return _rounded(_found(spark, sf_dir, "documents", "The, OF!", let), ["doc_id"])
 
 
 def _and_sql(key: str, source: str, text: str, test: str) -> str:
@@ -49,28 +99,25 @@ def _and_sql(key: str, source: str, text: str, test: str) -> str:
 @query(_and_sql("doc_id", "documents", "text", "list_contains(ts, 'etre') AND list_contains(ts, 'une')"))
 def fts_and_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Diacritics and case don't matter."""
-    return search.score(table(spark, sf_dir, "documents"), "Étre une", ["doc_id"], ["text"], limit=None).select("doc_id")
+    return _found(spark, sf_dir, "documents", "Étre une").select("doc_id")
 
 
 @query(_and_sql("doc_id", "documents", "text", "(list_contains(ts, 'stupid') AND list_contains(ts, 'the')) OR (list_contains(ts, 'der') AND NOT list_contains(ts, 'die'))"))
 def fts_boolean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.score(table(spark, sf_dir, "documents"), "stupid AND the OR der NOT die", ["doc_id"], ["text"], limit=None).select("doc_id")
+    return _found(spark, sf_dir, "documents", "stupid AND the OR der NOT die").select("doc_id")
 
 
 @query(
-    "SELECT source, id, score FROM (WITH "
-    + bm25_sql("documents", "doc_id", "text", ["and", "in"]).replace("SELECT doc_id,", "SELECT 'documents' AS source, doc_id::VARCHAR AS id,")
-    + ") UNION ALL SELECT source, id, score FROM (WITH "
-    + bm25_sql("benchmark", "item_id", "text", ["and", "in"], limit=10).replace("SELECT item_id,", "SELECT 'benchmark' AS source, item_id::VARCHAR AS id,")
-    + ")"
+    "SELECT source, rank, id, score FROM (SELECT *, row_number() OVER (ORDER BY score, k) AS rank FROM (WITH "
+    + bm25_sql("documents", "doc_id", "text", ["and", "in"]).replace("SELECT doc_id,", "SELECT 'documents' AS source, doc_id AS k, doc_id::VARCHAR AS id,")
+    + ")) UNION ALL SELECT source, rank, id, score FROM (SELECT *, row_number() OVER (ORDER BY score, k) AS rank FROM (WITH "
+    + bm25_sql("benchmark", "item_id", "text", ["and", "in"], limit=10).replace("SELECT item_id,", "SELECT 'benchmark' AS source, item_id AS k, item_id::VARCHAR AS id,")
+    + "))"
 )
 def fts_multi_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = None
-    for name, key, limit in (("documents", "doc_id", 20), ("benchmark", "item_id", 10)):
-        hits = _rounded(search.score(table(spark, sf_dir, name), "and in", [key], ["text"], limit=None), [key], limit)
-        part = hits.select(F.lit(name).alias("source"), F.col(key).cast("string").alias("id"), "score")
-        out = part if out is None else out.unionByName(part)
-    return out
+    found = {name: (_rounded(_found(spark, sf_dir, name, "and in"), _SOURCES[name][1], most), _SOURCES[name][1][0], most) for name, most in (("documents", 20), ("benchmark", 10))}
+    ranked = search.search_sources(found)
+    return ranked.select("source", F.col("rank").cast("long").alias("rank"), "id", "score")
 
 
 @query(_and_sql("conv_id, turn", "conversations", "text", "list_contains(ts, 'la')").replace("SELECT conv_id, turn FROM", "SELECT DISTINCT conv_id, turn, len(ts)::BIGINT AS tokens FROM"))

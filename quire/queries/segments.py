@@ -120,7 +120,21 @@ def seg_greedy_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.token_windows(_lines(spark, sf_dir), 400, 0)
 
 
-@query()
+OVERLAP_SQL = (
+    "WITH RECURSIVE "
+    + LINES_SQL
+    + """, t AS (SELECT doc_id, list(CASE WHEN strlen(line) = 0 THEN 0 ELSE greatest(1, strlen(line) // 4) END ORDER BY pos) AS ts FROM lines GROUP BY doc_id),
+walk(doc_id, ts, s, e, total, w) AS (
+  SELECT doc_id, ts, 0, 1, ts[1], 1 FROM t
+  UNION ALL
+  SELECT doc_id, ts, CASE WHEN grow THEN s ELSE nxt END, CASE WHEN grow THEN e + 1 ELSE nxt + 1 END, CASE WHEN grow THEN total + ts[e + 1] ELSE ts[nxt + 1] END, CASE WHEN grow THEN w ELSE w + 1 END
+  FROM (SELECT *, total + ts[e + 1] <= 400 AS grow, greatest(e - 3, s + 1) AS nxt FROM walk WHERE e < len(ts))
+)
+SELECT doc_id AS chapter_id, w::INTEGER AS "window", (s + 1)::INTEGER AS first, max(e)::INTEGER AS last, max(total)::BIGINT AS tokens FROM walk GROUP BY doc_id, w, s"""
+)
+
+
+@query(OVERLAP_SQL)
 def seg_overlap_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.token_windows(_lines(spark, sf_dir), 400, 3)
 

@@ -83,7 +83,27 @@ def blk_line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.line_ranges(decorated(spark, sf_dir), "doc_id").select("doc_id", "ordinal", "line_start", "line_end")
 
 
-@query()
+BLOCKS_SQL = (
+    "WITH "
+    + LINES_SQL
+    + r""", said AS (SELECT doc_id, pos, line, regexp_replace(line, '[ \t]+$', '') AS text, regexp_matches(line, '^#\s+.*\S\s*$') AS h1 FROM lines WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''),
+first AS (SELECT doc_id, min(pos) AS pos FROM said WHERE h1 GROUP BY doc_id),
+blocks AS (
+  SELECT doc_id, pos, text, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS block_ordinal, CASE WHEN regexp_matches(text, '^#{1,6}\s+') THEN 'heading'
+    WHEN regexp_replace(text, '^\s+|\s+$', '', 'g') IN ('***', '---', '* * *', '#') THEN 'scene_break' WHEN starts_with(regexp_replace(text, '^\s+', ''), '>') THEN 'blockquote'
+    WHEN regexp_matches(text, '^\s*([-*+]|[0-9]+[.)])\s+') THEN 'list' ELSE 'paragraph' END AS block_type
+  FROM said WHERE NOT EXISTS (SELECT 1 FROM first WHERE first.doc_id = said.doc_id AND first.pos = said.pos)
+), named AS (
+  SELECT *, block_type IN ('paragraph', 'blockquote', 'list') AS citable, 'p-' || upper(substr(sha256(doc_id || chr(0) || block_ordinal), 1, 26)) AS id FROM blocks
+)"""
+)
+
+
+@query(
+    BLOCKS_SQL
+    + """ SELECT doc_id, id, (row_number() OVER (PARTITION BY doc_id ORDER BY pos))::INTEGER AS ordinal, block_ordinal::INTEGER AS block_ordinal, block_type, 'sha256:' || sha256(text) AS text_hash,
+      (2 * pos + 1)::INTEGER AS line_start, (2 * pos + 1)::INTEGER AS line_end FROM named WHERE citable"""
+)
 def blk_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blank-line blocks of whole documents, lines of odd position made blank-separated."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
@@ -180,14 +200,18 @@ def imp_order_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "WITH "
-    + LINES_SQL
-    + """, firsts AS (SELECT lower(trim(line)) AS title, min(doc_id) AS first_doc, count(*) AS n FROM lines WHERE pos = 0 GROUP BY 1)
-    SELECT title, first_doc, n FROM firsts WHERE n > 1"""
+    """WITH t AS (SELECT user_id, event_id, event_type = 'click' AS h, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
+    s AS (SELECT *, lower(event_type_) AS l FROM (SELECT t.*, CASE WHEN event_id % 2 = 0 THEN 'A' ELSE 'a' || event_id END AS event_type_ FROM t WHERE h))
+    SELECT user_id, -1 AS pos, 'no chapter boundary' AS problem FROM (SELECT DISTINCT user_id FROM t) WHERE user_id NOT IN (SELECT user_id FROM s)
+    UNION ALL SELECT user_id, max(pos)::INTEGER, 'duplicate title' FROM s GROUP BY user_id, l HAVING count(*) > 1"""
 )
-def imp_dup_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = lines(spark, sf_dir).where("pos = 0").select("doc_id", F.lower(tx.uni_trim(F.col("line"))).alias("title"))
-    return first.groupBy("title").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1")
+def imp_boundary_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users as lines: clicks are headings, every other one of the same title but for its case."""
+    k = F.col("event_id")
+    line = F.when(F.col("event_type") == "click", F.concat(F.lit("# "), F.when(k % 2 == 0, F.lit("A")).otherwise(F.concat(F.lit("a"), k)))).otherwise(F.lit("text"))
+    docs = table(spark, sf_dir, "events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", line.alias("l")))).alias("b"))
+    docs = docs.select("user_id", F.array_join(F.transform("b", lambda x: x["l"]), "\n").alias("text"))
+    return importer.boundary_problems(importer.boundaries(docs, "user_id", "text"), "user_id").select("user_id", "pos", "problem")
 
 
 def _continuous(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,6 +236,18 @@ def imp_continuous_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importer.continuous_split(importer.boundaries(_continuous(spark, sf_dir), "conv_id", "text"), "conv_id")
 
 
+@query(
+    r"""
+WITH flat AS (SELECT conv_id, turn, role, replace(coalesce(text, ''), chr(10), ' ') AS t FROM conversations),
+starts AS (SELECT conv_id, turn, trim(t) AS title FROM flat WHERE role = 'user' AND trim(t) <> '')
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS chapter_no, title FROM starts
+"""
+)
+def imp_boundary_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = importer.boundaries(_continuous(spark, sf_dir), "conv_id", "text", regex=r"^# (.*\S.*)$")
+    return importer.continuous_split(marked, "conv_id").select("conv_id", "chapter_no", "title")
+
+
 @query(
     """
 WITH firsts AS (SELECT conv_id, min(turn) FILTER (role = 'user' AND trim(replace(coalesce(text, ''), chr(10), ' ')) <> '') AS f FROM conversations GROUP BY conv_id)
@@ -223,7 +259,12 @@ def imp_front_matter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importer.front_matter(importer.boundaries(_continuous(spark, sf_dir), "conv_id", "text"), "conv_id")
 
 
-@query()
+@query(
+    BLOCKS_SQL
+    + """ SELECT doc_id::VARCHAR AS chapter_id, block_ordinal::INTEGER AS ordinal, block_type, CASE WHEN citable THEN id END AS paragraph_id, text,
+      (3 + coalesce(sum(2 + citable::INT) OVER w, 0) + citable::INT)::INTEGER AS line_start, (3 + coalesce(sum(2 + citable::INT) OVER w, 0) + citable::INT)::INTEGER AS line_end, NULL::VARCHAR AS problem
+    FROM named WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+)
 def snk_render_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks written to canonical text and read again, by document."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))
@@ -232,3 +273,41 @@ def snk_render_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     chapters = docs.select(F.col("doc_id").alias("id"), F.concat(F.lit("Document "), "doc_id").alias("title"))
     files = blocks.render(named.withColumnRenamed("doc_id", "chapter_id"), chapters)
     return blocks.load_canonical(files).select("chapter_id", "ordinal", "block_type", "paragraph_id", "text", "line_start", "line_end", "problem")
+
+
+@query(
+    NAMES_SQL
+    + """ SELECT file_name, (row_number() OVER (ORDER BY file_name DESC))::INTEGER AS "order", 'Title of ' || file_name AS manifest_title FROM (SELECT DISTINCT file_name FROM names) ORDER BY file_name DESC LIMIT 20"""
+)
+def imp_manifest_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last twenty names, as a manifest lists them; the others are strays."""
+    files = _names(spark, sf_dir).distinct()
+    listed = [r["file_name"] for r in files.orderBy(F.desc("file_name")).limit(20).collect()]
+    return importer.manifest_order(files, importer.Manifest([(f, f"Title of {f}") for f in listed]))[0].select("file_name", "order", "manifest_title")
+
+
+@query(
+    """WITH f AS (SELECT s_suppkey AS k, s_suppkey || '_part-one.md' AS file_name, row_number() OVER (ORDER BY s_suppkey) AS o FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey % 11 <> 0)
+    SELECT 'ch-' || lpad(o::VARCHAR, 4, '0') AS id, o::INTEGER AS ordinal, CASE WHEN k % 4 = 1 THEN 'Chapter of ' || k ELSE 'Part One' END AS title, 'ch-' || lpad(o::VARCHAR, 4, '0') || '.md' AS file, file_name AS source_key FROM f"""
+)
+def imp_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chapters of numbered files: titles from headings, else from file names."""
+    k = F.col("s_suppkey")
+    content = F.when(k % 4 == 1, F.concat(F.lit("Front\n# Chapter of "), k, F.lit("\nText"))).otherwise("Text only")
+    files = table(spark, sf_dir, "supplier").where((k % 2 == 1) & (k % 11 != 0)).select(F.concat(k, F.lit("_part-one.md")).alias("file_name"), content.alias("content"))
+    chapters, _ = importer.plan_folder(files)
+    return chapters.select("id", "ordinal", "title", "file", "source_key")
+
+
+@query(
+    """WITH t AS (SELECT event_id, make_timestamp(2024, 1, (event_id % 28 + 1)::INTEGER, (event_id % 24)::INTEGER, 0, 0.0) AS t FROM events)
+    SELECT event_id, CASE event_id % 3 WHEN 0 THEN epoch_ms(t) WHEN 1 THEN epoch_ms(t) - 7200000 END AS millis, CASE event_id % 3 WHEN 0 THEN greatest(0, epoch_ms(t) - 1705276800000) WHEN 1 THEN greatest(0, epoch_ms(t) - 7200000 - 1705276800000) END AS elapsed FROM t"""
+)
+def txt_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RFC 3339 texts in two zones, and texts that aren't; time passed since 2024-01-15."""
+    k = F.col("event_id")
+    two = lambda x: F.lpad(x.cast("string"), 2, "0")
+    text = F.concat(F.lit(" 2024-01-"), two(k % 28 + 1), F.lit("T"), two(k % 24), F.lit(":00:00"), F.when(k % 3 == 0, "Z").when(k % 3 == 1, "+02:00").otherwise(" o'clock"))
+    t = tx.parse_time(text)
+    since = F.when(t.isNotNull(), tx.elapsed_ms(tx.parse_time(F.lit("2024-01-15T00:00:00Z")), t))
+    return table(spark, sf_dir, "events").select("event_id", F.unix_millis(t).alias("millis"), since.alias("elapsed"))

@@ -60,7 +60,7 @@ ROLE_CLASSES = ("principal", "major_supporting", "supporting", "minor", "uncerta
 TRUSTED = ("verified", "accepted")
 QUERY_MODES = ("recall", "continuity", "interpretation", "style", "development")
 INTENTS = (
-    "ending", "character_inventory", "character_arc", "chapter_summary", "story_summary", "theme_style", "broad", "character_question", "narrow_recall",
+    "ending", "character_inventory", "character_arc", "chapter_summary", "whole_summary", "theme_style", "broad", "character_question", "narrow_recall",
 )
 #: Term type and the scene-card field it is read from.
 TERM_FIELDS = (

@@ -7,8 +7,10 @@ ambiguous is a row of a problems frame; ``plan_folder`` raises on it.
 from __future__ import annotations
 
 import tomllib
+import uuid
 from dataclasses import dataclass, field
-from pathlib import PurePosixPath
+from datetime import UTC, datetime
+from pathlib import Path, PurePosixPath
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -173,6 +175,45 @@ def front_matter(marked: DataFrame, id_col: str) -> DataFrame:
     return before.groupBy(id_col).agg(F.max(hit).alias("has_front_matter"))
 
 
+def find_manifest(folder: str, named: str | None = None) -> str | None:
+    """Path of the manifest to use: the one named, which must be there, else the first usual one in a local folder."""
+    places = [named] if named else [f"{folder.rstrip('/')}/{m}" for m in MANIFESTS]
+    found = next((p for p in places if Path(p).is_file()), None)
+    if named and found is None:
+        raise FileNotFoundError(f"no manifest at {named}")
+    return found
+
+
+def plan_file(docs: DataFrame, name: str, level: int = 1, regex: str | None = None, single: bool = False) -> tuple[DataFrame, list[str]]:
+    """(chapters, warnings) of one continuous document (id, text): split at its boundaries, or whole."""
+    if single:
+        title = F.coalesce(F.when(F.regexp_extract("text", r"(?m)^# +(\S.*)$", 1) != "", F.trim(F.regexp_extract("text", r"(?m)^# +(\S.*)$", 1))), title_from_filename(F.lit(name)))
+        one = docs.select(F.lit("ch-0001").alias("id"), F.lit(1).alias("ordinal"), title.alias("title"), F.lit("ch-0001.md").alias("file"), F.lit(name).alias("source_key"), F.col("text").alias("content"))
+        return one, []
+    marked = boundaries(docs.select(F.lit(name).alias("id"), "text"), "id", "text", level, regex)
+    problems = boundary_problems(marked, "id").orderBy("pos").limit(1).collect()
+    if problems:
+        raise AmbiguousOrder(f"{name}, line {problems[0]['pos'] + 1}: {problems[0]['problem']}")
+    order = F.col("chapter_no").cast("int")
+    parts = continuous_split(marked, "id").select(F.format_string("ch-%04d", order).alias("id"), order.alias("ordinal"), "title", F.format_string("ch-%04d.md", order).alias("file"), "source_key", "content")
+    front = front_matter(marked, "id").where("has_front_matter").count()
+    return parts, [f"{name}: text before the first chapter was left out"] * front
+
+
+def import_record(chapters: DataFrame, paragraphs: DataFrame, source: str = "", warnings: list[str] | None = None) -> DataFrame:
+    """One row (run_id, type, source_path, imported_at, chapters, paragraphs, status, warnings) on an import that is done."""
+    spark = chapters.sparkSession
+    row = [(f"import-{uuid.uuid4().hex[:26]}", "markdown", source, datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ"), chapters.count(), paragraphs.count(), "completed", list(warnings or []))]
+    return spark.createDataFrame(row, "run_id string, type string, source_path string, imported_at string, chapters int, paragraphs int, status string, warnings array<string>")
+
+
+def contents(chapters: DataFrame, title: str = "") -> str:
+    """The table of contents of chapters in order, as TOML that ``parse_manifest`` reads."""
+    quoted = lambda v: '"' + v.replace("\\", "\\\\").replace('"', '\\"') + '"'
+    rows = chapters.select("file", "title").orderBy("ordinal").collect()  # one for each chapter of a book
+    return f"version = 1\ntitle = {quoted(title)}\n" + "".join(f"\n[[chapter]]\nfile = {quoted(r['file'])}\ntitle = {quoted(r['title'])}\n" for r in rows)
+
+
 def eligible(name: str) -> bool:
     """Whether one file name may be a chapter, for callers without a session."""
     return not name.startswith(".") and PurePosixPath(name).stem.lower() not in NOT_CHAPTERS

@@ -3,7 +3,9 @@
 A provider turns a request to a response.  ``generate`` runs one over a
 DataFrame in ``mapInPandas``; ``attempt`` adds checks, retries and fallbacks as
 frames: rows that fail a check are asked again, those that fail again take what
-is derived from the text itself.
+is derived from the text itself.  The answers of each try are written before
+anything reads them, so a row is asked once in a try, however often its answer
+is looked at (but again if its task is lost).
 """
 
 from __future__ import annotations
@@ -20,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.sources.aside import Aside
+
 
 @dataclass(frozen=True)
 class Request:
@@ -126,23 +130,30 @@ def generate(prompts: DataFrame, provider: Provider, task_type: str, system: str
 def attempt(
     items: DataFrame,
     key: list[str],
-    ask: Callable[[DataFrame, int], DataFrame],
+    ask: Callable[[DataFrame, int, DataFrame | None], DataFrame],
     valid: Column,
     fallback: Callable[[DataFrame], DataFrame],
     tries: int = 2,
+    actions: tuple[str, ...] = ("none", "retry"),
 ) -> DataFrame:
     """(key, answer columns, action): first valid answers, then retried ones, then fallbacks.
 
-    ``ask`` turns items and the try's number to answers, one for each item;
-    ``valid`` judges an answer row.
+    ``ask`` turns items, the try's number and the answers of the try before to
+    answers, one for each item, which may say their ``action`` themselves;
+    ``valid`` judges an answer row.  An item without an answer is left for the
+    next try; with several, all of them count.
     """
-    done, left = None, items
+    aside = Aside(items.sparkSession, "answers")
+    done, left, last = None, items, None
     for number in range(1, tries + 1):
-        answers = ask(left, number)
-        action = "none" if number == 1 else "retry"
-        good = answers.where(valid).withColumn("action", F.lit(action))
+        asked = ask(left, number, last)
+        named = asked if "action" in asked.columns else asked.withColumn("action", F.lit(actions[min(number, len(actions)) - 1]))
+        last = aside.keep(named.withColumn("_valid", F.coalesce(valid, F.lit(False))))
+        good = last.where("_valid").drop("_valid")
         done = good if done is None else done.unionByName(good, allowMissingColumns=True)
         left = left.join(good.select(*key), key, "left_anti")
+        if number < tries and left.isEmpty():
+            return done
     return done.unionByName(fallback(left).withColumn("action", F.lit("fallback")), allowMissingColumns=True)
 
 

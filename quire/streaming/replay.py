@@ -21,21 +21,33 @@ def read_stream(spark: SparkSession, path: str, max_files: int = 100) -> DataFra
     return spark.readStream.schema(LOG).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
+#: Versions of a table beyond which it is merged to one.
+MOST_PARTS = 20
+
+
 def merge_latest(store: Store, table: str, key: list[str]):
-    """A ``foreachBatch`` function that keeps the newest row of each key in a table."""
+    """A ``foreachBatch`` function that adds each batch's newest rows to a table, once.
+
+    A batch is appended, not merged with what there is; ``read_latest`` picks
+    the newest row of each key.  The batch's id is committed with its rows.
+    """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        name, seen = table, f"{table}__batches"
-        old = store.read(name) if store.has(name) else None
-        if old is not None and not store.read(seen).where(F.col("batch_id") == batch_id).isEmpty():
+        last = store.note(f"{table}.batch")
+        if last is not None and batch_id <= last:
             return
-        merged = latest(batch if old is None else old.unionByName(batch, allowMissingColumns=True), key)
-        done = batch.sparkSession.createDataFrame([(batch_id,)], "batch_id long")
-        store.rebuild({name: merged, seen: done if old is None else store.read(seen).unionByName(done)})
+        store.append({table: latest(batch, key)}, **{f"{table}.batch": batch_id})
+        if store.parts(table) > MOST_PARTS:
+            store.update({table: read_latest(store, table, key)})
 
     return apply
 
 
+def read_latest(store: Store, table: str, key: list[str]) -> DataFrame:
+    """The newest row of each key."""
+    return latest(store.read(table), key)
+
+
 def start_latest(stream: DataFrame, store: Store, table: str, key: list[str], checkpoint: str) -> StreamingQuery:
     """Run ``merge_latest`` over all that is there, then stop."""
     writer = stream.writeStream.foreachBatch(merge_latest(store, table, key)).option("checkpointLocation", checkpoint)
