@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import textkit as tk
-from quire.llm.scratch import Scratch
+from quire.llm.scratch import Scratch, bound_batches
 
 WINDOW = 13
 MIN_SHARE = 20  # a document with 1/20 of its words hit is contaminated
@@ -154,11 +154,12 @@ def _scan(docs: DataFrame, text_col: str, table: WindowTable, out: str, keep_tex
             arrays = [batch.column(batch.schema.names.index(c)) for c in columns] + [pa.array(rows, kind)]
             yield pa.RecordBatch.from_arrays(arrays, [*columns, out])
 
-    return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(run, schema)
+    return docs.select(*dict.fromkeys([*columns, text_col])).mapInArrow(tk.tidy(run), schema)
 
 
 def _items(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
     """(item, text, n) of the items that have words, and how many windows each has."""
+    bound_batches(benchmark.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -340,7 +341,7 @@ def _spliced(found: DataFrame, text_col: str) -> DataFrame:
             texts = [t if t is None else without(t, x["cuts"]) for t, x in zip(batch.column(at).to_pylist(), leaks)]
             yield batch.set_column(at, text_col, pa.array(texts, pa.string()))
 
-    return found.mapInArrow(run, found.schema)
+    return found.mapInArrow(tk.tidy(run), found.schema)
 
 
 def _cut(docs: DataFrame, text_col: str, table: WindowTable, min_share: int) -> DataFrame:
@@ -368,7 +369,7 @@ def _cut(docs: DataFrame, text_col: str, table: WindowTable, min_share: int) ->
                 batch = batch.set_column(at, text_col, pa.array(texts, pa.string()))
             yield batch if all(keep) else batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tk.tidy(run), docs.schema)
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quire.llm import textkit as tk
-from quire.llm.scratch import set_aside
+from quire.llm.scratch import bound_batches, set_aside
 
 GRAM_LOG = 16
 SMOOTH = 0.1
@@ -112,7 +112,8 @@ class LanguageModel:
 def train(rows: DataFrame, text_col: str = "text", lang_col: str = "lang", max_languages: int = MAX_LANGUAGES) -> LanguageModel:
     """Count over all rows with text and language; the model's size follows the languages only."""
     seen = rows.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col), F.col(lang_col).cast("string"))
-    parts = seen.mapInArrow(_count(max_languages), "lang string, counts binary")
+    bound_batches(rows.sparkSession)
+    parts = seen.mapInArrow(tk.tidy(_count(max_languages)), "lang string, counts binary")
     found = parts.groupBy("lang").applyInPandas(_total, "lang string, counts binary").limit(max_languages + 1).collect()
     if len(found) > max_languages:
         raise ValueError(f"more than {max_languages} languages to learn")
@@ -209,6 +210,7 @@ def infer(data: np.ndarray, offsets: np.ndarray, model: LanguageModel) -> np.nda
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with ``lang_pred``, ``score`` and ``lang_shares`` (language to proportion)."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     new = [
         T.StructField("lang_pred", T.StringType()),
@@ -223,7 +225,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
         for batch in batches:
             text = batch.column(batch.schema.names.index("_q_text"))
             names, scores, shares = [], [], []
-            for lo, _, data, offsets in tk.row_blocks(text, min(tk.BLOCK, 4 * CELLS // max(1, len(known.names)))):
+            for lo, _, data, offsets in tk.row_blocks(text, min(tk.BLOCK // 2, 4 * CELLS // max(1, len(known.names)))):
                 found = infer(data, offsets, known)
                 top = found.argmax(axis=1) if len(known.names) else np.zeros(len(found), int)
                 ascii_letter = np.add.reduceat(np.r_[(_CODE[data] > 0) & (_CODE[data] < 27), False].astype(np.int64), offsets[:-1]) if len(data) else None
@@ -239,7 +241,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", keep
             arrays += [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(shares, pa.map_(pa.string(), pa.float64()))]
             yield pa.RecordBatch.from_arrays(arrays, [*columns, *(f.name for f in new)])
 
-    return docs.select(*columns, F.col(text_col).alias("_q_text")).mapInArrow(run, schema)
+    return docs.select(*columns, F.col(text_col).alias("_q_text")).mapInArrow(tk.tidy(run), schema)
 
 
 def held_out(id_col: Column) -> Column:

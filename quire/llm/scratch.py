@@ -7,17 +7,22 @@ tests) does a temporary folder stand in for it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
     """Folder for scratch tables: the configured one, or a local one if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        chosen = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = chosen.get() if chosen.isDefined() else None
     if root:
         return root.rstrip("/")
     app = spark.sparkContext.applicationId
@@ -28,6 +33,19 @@ def shared_root(spark: SparkSession) -> str:
     return _LOCAL_ROOTS[app]
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to what tasks that hold whole texts can afford; never raises them.
+
+    Rows and bytes of a batch bound what the JVM's writer, the Python worker
+    and the JVM's reader each hold of a task's texts at a time.
+    """
+    for name, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(re.sub(r"\D+$", "", spark.conf.get(key)) or 0)
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
+
+
 def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with columns of these names renamed, and how to name them back."""
     back = {f"_in_{n}": n for n in names if n in df.columns}
@@ -48,9 +66,9 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(schema).parquet(path)
 
-    def drop(self, name: str) -> None:
-        """Delete a table that no later plan reads."""
+    def drop(self, name: str = "") -> None:
+        """Delete a table that no later plan reads, or all of them."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         fs.delete(path, True)

@@ -35,12 +35,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
+from quire.llm.scratch import bound_batches
 
 K, S = 10, 4
 ROWS_PER_BUCKET = 2000
 MAX_BUCKETS = 1 << 16
 BUCKETS_PER_TASK = 16
-OUT_BYTES = 16 << 20  # of fingerprints in one batch
+OUT_BYTES = 4 << 20  # of fingerprints in one batch
 MANY = 8  # pairs for each anchor, beyond which bits are used
 _STEP = 0x9E3779B97F4A7C15
 
@@ -282,9 +283,10 @@ def _compare(row: tuple, following: tuple) -> tuple:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of each text, of its edited text, and likeness to that and to the next."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    bound_batches(docs.sparkSession)
     placed, buckets = ordered_buckets(rows)
     # neighbouring buckets share a task, and the number of tasks follows that of the rows
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-buckets // BUCKETS_PER_TASK))
     task = F.floor(F.col("bucket") * F.lit(parts) / F.lit(buckets)).cast("int")
     run = placed.repartitionById(parts, task).sortWithinPartitions("bucket", "extra", F.desc_nulls_last("id"), "text")
-    return run.mapInArrow(_pairs, _OUT).withColumnRenamed("id", id_col)
+    return run.mapInArrow(tk.tidy(_pairs), _OUT).withColumnRenamed("id", id_col)

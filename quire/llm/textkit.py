@@ -8,7 +8,8 @@ table, so no lower-cased copy of the text is made.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,20 @@ ALNUM_WORDS[0x80:] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` for ``mapInArrow``; afterwards the worker, which waits for its next task, gives back what it doesn't use."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library keeps its own counsel
+            return
+
+    return wrapped
+
+
 def _power_table(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64, kept and grown by doubling."""
     table = _powers.get(base)
