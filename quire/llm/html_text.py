@@ -26,7 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quire.llm import textkit as tk
 from quire.llm.html_blocks import Block, Node, leaf_blocks
+from quire.llm.scratch import bound_batches
 
 _HOLDERS = ("article", "main")
 
@@ -195,7 +197,7 @@ def fit(pages: list[str], rounds: int = 150, ridge: float = 0.02, rate: float =
 
 #: What holds the main text: elements, and words that their classes and ids are made of.
 _HOLDER_TAGS = ("div", "div", "div", "section", "main", "td")
-_HOLDER_WORDS = ("content", "post", "article", "body", "entry", "story", "text", "main", "single", "prose", "page", "hentry", "detail", "markdown", "document", "news", "blog")
+_HOLDER_WORDS = ("content", "post", "article", "body", "entry", "column", "text", "main", "single", "prose", "page", "hentry", "detail", "markdown", "document", "news", "blog")
 _NAV = (
     "<nav>{ul}</nav>", '<div class="menu">{ul}</div>', '<ul class="nav navbar">{li}</ul>', '<div id="navigation">{ul}</div>', '<div role="navigation">{ul}</div>',
     '<nav class="breadcrumb">{a}</nav>', '<div class="breadcrumbs">{a}</div>', '<div class="topbar menu">{a}</div>', '<div class="pagination pager">{a}</div>',
@@ -352,6 +354,7 @@ def default_field() -> Field:
 
 def extract(pages: DataFrame, html_col: str = "html", trained: Field | None = None, keep_html: bool = True) -> DataFrame:
     """``pages`` with the main ``text`` and its length ``n_chars`` in code points."""
+    bound_batches(pages.sparkSession)
     shared = pages.sparkSession.sparkContext.broadcast(trained or default_field())
     new = [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     columns = [c for c in pages.columns if c not in ("text", "n_chars") and (keep_html or c != html_col)]
@@ -365,7 +368,7 @@ def extract(pages: DataFrame, html_col: str = "html", trained: Field | None = No
             arrays += [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, [*columns, "text", "n_chars"])
 
-    return pages.select(*columns, F.col(html_col).alias("_q_html")).mapInArrow(run, schema)
+    return pages.select(*columns, F.col(html_col).alias("_q_html")).mapInArrow(tk.tidy(run), schema)
 
 
 def digest(pages: DataFrame) -> DataFrame:

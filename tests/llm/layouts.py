@@ -35,7 +35,7 @@ LAYOUTS = [
      "Pruning Cut above a bud, in late winter, with a clean blade. Never cut in frost."),
     ("<main id=main><article class=hentry><h1 class=entry-title>Budget vote</h1><div class=entry-meta><a href=/au>Staff</a> <a href=/d>3 May</a></div><div class=entry-content><p>The council passed the budget, nine to six, after a long debate.</p></div></article></main><div class=widget-area><div class=widget><p>Follow us everywhere.</p></div></div>",
      "Budget vote The council passed the budget, nine to six, after a long debate."),
-    ("<div class='modal popup'><p>Subscribe now for one coin a week.</p></div><div class=story><h1>Lost cat found</h1><p>After eleven days the cat walked in, thin and loud.</p></div>",
+    ("<div class='modal popup'><p>Subscribe now for one coin a week.</p></div><div class=column><h1>Lost cat found</h1><p>After eleven days the cat walked in, thin and loud.</p></div>",
      "Lost cat found After eleven days the cat walked in, thin and loud."),
     ("<article><h1>Results</h1><table><tr><th>Team<th>Points<tr><td>North<td>12<tr><td>South<td>9</table><p>North lead the table with two games left.</p></article>",
      "Results Team Points North 12 South 9 North lead the table with two games left."),
@@ -49,8 +49,8 @@ LAYOUTS = [
      "Film night The film shows a river, seen from a bridge. Bring a chair, and a coat."),
     ("<ul class=menu><li><a href=1>World</a><li><a href=2>Sport</a></ul><div class=content><p>By the time the rain stopped, half the field had left, and the judges with it.</p><p>The race was run again on Sunday.</p></div><div class=copyright>© 2020</div>",
      "By the time the rain stopped, half the field had left, and the judges with it. The race was run again on Sunday."),
-    ("<article><section><h2>First part</h2><p>It begins with a letter that nobody opened.</p></section><section><h2>Second part</h2><p>It ends with a fire, as such stories do.</p></section></article><aside><h3>Also by this author</h3><ul><li><a href=b>The Well</a></ul></aside>",
-     "First part It begins with a letter that nobody opened. Second part It ends with a fire, as such stories do."),
+    ("<article><section><h2>First part</h2><p>It begins with a letter that nobody opened.</p></section><section><h2>Second part</h2><p>It ends with a fire, as such tales do.</p></section></article><aside><h3>Also by this author</h3><ul><li><a href=b>The Well</a></ul></aside>",
+     "First part It begins with a letter that nobody opened. Second part It ends with a fire, as such tales do."),
     ("<form class=search><label>Search</label><input><select><option>All<option>Books</select></form><article><h1>Stars</h1><p>Some are older than the rest, by far, and redder.</p></article>",
      "Stars Some are older than the rest, by far, and redder."),
     ("<div style='display:none'><p>Hidden words for machines only.</p></div><article><h1>Visible</h1><p>These words can be read, and should be kept.</p></article>",
