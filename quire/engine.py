@@ -115,8 +115,8 @@ class Engine:
         self.rebuild_index()
 
     def rebuild_index(self) -> None:
-        refs = revindex.refs(self.store.read("scene_cards"))
-        self._keep(index_refs=refs, index_terms=revindex.terms(refs))
+        self._keep(index_refs=revindex.refs(self.store.read("scene_cards")))
+        self._keep(index_terms=revindex.terms(self.store.read("index_refs"), distinct=True))
 
     def compile_entities(self, provider: Provider, model: str = "", force: bool = False) -> None:
         """Entities and occurrences of chapters without a snapshot (all, if forced)."""

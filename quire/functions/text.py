@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,9 +56,13 @@ def contains_phrase(normalized: Column, phrase: Column) -> Column:
 
 
 def contains_any(normalized: Column, phrases: tuple[str, ...]) -> Column:
-    """Whether any of fixed phrases occurs; the phrases are already normal."""
-    padded = F.concat(F.lit(" "), normalized, F.lit(" "))
-    return F.exists(F.array(*[F.lit(f" {p} ") for p in phrases]), lambda p: F.contains(padded, p))
+    """Whether any of fixed phrases occurs; the phrases are already normal.  One pass of one expression."""
+    return F.concat(F.lit(" "), normalized, F.lit(" ")).rlike(" (?:" + "|".join(re.escape(p) for p in phrases) + ") ")
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def approx_tokens(text: Column) -> Column:

@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.text import once
 from quire.schemas import TERM_FIELDS
 
 REF_KEY = ["term_type", "term", "scene_id", "source_field", "raw_value"]
 
 
-def literal_strings(raw: Column, field: str) -> Column:
-    """The string values of a field of a JSON object: itself, or the strings of its array."""
-    value = F.try_variant_get(F.try_parse_json(raw), f"$.{field}", "variant")
+def literal_strings(parsed: Column, field: str) -> Column:
+    """The string values of a field of a parsed JSON object: itself, or the strings of its array."""
+    value = F.try_variant_get(parsed, f"$.{field}", "variant")
     one = F.when(F.schema_of_variant(value) == "STRING", F.array(F.try_variant_get(value, "$", "string")))
     items = F.try_variant_get(value, "$", "array<variant>")
     many = F.transform(
@@ -26,23 +27,24 @@ def literal_strings(raw: Column, field: str) -> Column:
 
 
 def refs(cards: DataFrame, scene_col: str = "scene_id", chapter_col: str = "chapter_id", raw_col: str = "raw_json") -> DataFrame:
-    """One row for each distinct (type, term, scene, field, value)."""
+    """One row for each distinct (type, term, scene, field, value); each card is parsed once."""
 
-    def of_field(kind: str, field: str) -> Column:
+    def of_field(parsed: Column, kind: str, field: str) -> Column:
         return F.transform(
-            literal_strings(F.col(raw_col), field),
+            literal_strings(parsed, field),
             lambda x: F.struct(F.lit(kind).alias("term_type"), x.alias("term"), F.lit(field).alias("source_field"), x.alias("raw_value")),
         )
 
-    found = F.flatten(F.array(*[of_field(kind, field) for kind, field in TERM_FIELDS]))
+    found = once(F.try_parse_json(raw_col), lambda v: F.flatten(F.array(*[of_field(v, kind, field) for kind, field in TERM_FIELDS])))
     rows = cards.select(F.col(scene_col).alias("scene_id"), F.col(chapter_col).alias("chapter_id"), F.explode(found).alias("r"))
     out = rows.select("r.term_type", "r.term", "scene_id", "chapter_id", "r.source_field", F.lit(1.0).alias("weight"), "r.raw_value")
     return out.dropDuplicates(REF_KEY)
 
 
-def terms(index: DataFrame) -> DataFrame:
-    """(term_type, term, occurrence_count) of distinct references."""
-    return index.dropDuplicates(REF_KEY).groupBy("term_type", "term").agg(F.count("*").alias("occurrence_count"))
+def terms(index: DataFrame, distinct: bool = False) -> DataFrame:
+    """(term_type, term, occurrence_count) of distinct references; ``distinct`` says that they are already."""
+    rows = index if distinct else index.dropDuplicates(REF_KEY)
+    return rows.groupBy("term_type", "term").agg(F.count("*").alias("occurrence_count"))
 
 
 def find_terms(all_terms: DataFrame, prefix: str = "", term_type: str | None = None, limit: int = 50) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import phrases
-from quire.functions.text import contains_any, contains_phrase, normalize_question, uni_trim
+from quire.functions.text import contains_any, contains_phrase, normalize_question, once, uni_trim
 from quire.operators import pack
 
 BROAD_INTENTS = ("whole_summary", "chapter_summary", "character_inventory", "character_arc", "theme_style", "ending", "broad")
@@ -26,23 +26,26 @@ def is_character_question(q: Column, mode: Column) -> Column:
 
 def intent(question: Column, mode: Column, chapter: Column) -> Column:
     """What a question asks; the first rule that holds."""
-    q = normalize_question(question)
-    arc = contains_any(q, phrases.GENERIC_ARC) | (
-        contains_any(q, phrases.CHANGE) & (contains_any(q, phrases.HOW_DOES) | contains_any(q, phrases.CHARACTER))
-    )
-    of_chapter = (F.trim(F.coalesce(chapter, F.lit(""))) != "") | contains_any(q, phrases.CHAPTER)
-    summary = contains_any(q, phrases.SUMMARY)
-    return (
-        F.when(contains_any(q, phrases.ENDING), "ending")
-        .when(contains_any(q, phrases.INVENTORY), "character_inventory")
-        .when(arc, "character_arc")
-        .when(summary & of_chapter, "chapter_summary")
-        .when(summary, "whole_summary")
-        .when(_mode(mode).isin(*phrases.THEME_MODES) | contains_any(q, phrases.THEME), "theme_style")
-        .when(contains_any(q, phrases.BROAD), "broad")
-        .when(is_character_question(q, mode), "character_question")
-        .otherwise("narrow_recall")
-    )
+
+    def rules(q: Column) -> Column:
+        arc = contains_any(q, phrases.GENERIC_ARC) | (
+            contains_any(q, phrases.CHANGE) & (contains_any(q, phrases.HOW_DOES) | contains_any(q, phrases.CHARACTER))
+        )
+        of_chapter = (F.trim(F.coalesce(chapter, F.lit(""))) != "") | contains_any(q, phrases.CHAPTER)
+        summary = contains_any(q, phrases.SUMMARY)
+        return (
+            F.when(contains_any(q, phrases.ENDING), "ending")
+            .when(contains_any(q, phrases.INVENTORY), "character_inventory")
+            .when(arc, "character_arc")
+            .when(summary & of_chapter, "chapter_summary")
+            .when(summary, "whole_summary")
+            .when(_mode(mode).isin(*phrases.THEME_MODES) | contains_any(q, phrases.THEME), "theme_style")
+            .when(contains_any(q, phrases.BROAD), "broad")
+            .when(is_character_question(q, mode), "character_question")
+            .otherwise("narrow_recall")
+        )
+
+    return once(normalize_question(question), rules)
 
 
 def is_broad(kind: Column) -> Column:

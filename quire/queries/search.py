@@ -150,12 +150,12 @@ def rix_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(REFS_SQL + " SELECT term_type, term, count(*) AS occurrence_count FROM refs GROUP BY 1, 2")
 def rix_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revindex.terms(revindex.refs(_cards(spark, sf_dir)))
+    return revindex.terms(revindex.refs(_cards(spark, sf_dir)), distinct=True)
 
 
 @query(REFS_SQL + " SELECT term_type, term, count(*) AS occurrence_count FROM refs WHERE term_type = 'theme' AND starts_with(term, 'Brand') GROUP BY 1, 2 ORDER BY 1, 2 LIMIT 50")
 def rix_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return revindex.find_terms(revindex.terms(revindex.refs(_cards(spark, sf_dir))), "Brand", "theme")
+    return revindex.find_terms(revindex.terms(revindex.refs(_cards(spark, sf_dir)), distinct=True), "Brand", "theme")
 
 
 @query(REFS_SQL + " SELECT term_type, term, scene_id, source_field FROM refs WHERE term = (SELECT min(p_brand) FROM part)")

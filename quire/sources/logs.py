@@ -15,12 +15,18 @@ class MalformedLog(ValueError):
 def read_foreign(spark: SparkSession, path: str) -> DataFrame:
     """(seq, record_type, line) of a JSONL file that another program wrote.
 
-    Lines are numbered within the file, which is read whole for that; logs of
-    one's own carry ``seq`` and are read with ``read_log``.
+    Lines are numbered within their file, blank ones too.  A file is read in
+    splits; a line's number is its place in the split and the lines of the
+    splits before it, so only the counts of splits meet.
     """
-    text = spark.read.text(path, wholetext=True)
-    rows = text.select(F.posexplode(F.split("value", "\r?\n")).alias("pos", "line")).where(F.trim("line") != "")
-    return rows.select((F.col("pos") + 1).cast("long").alias("seq"), F.get_json_object("line", "$.record_type").alias("record_type"), "line")
+    rows = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"), F.regexp_replace("value", "\r$", "").alias("line")
+    )
+    counts = rows.groupBy("_f", "_b").agg(F.count("*").alias("_n"), F.min("_i").alias("_min"))
+    before = F.sum("_n").over(Window.partitionBy("_f").orderBy("_b")) - F.col("_n")
+    placed = rows.join(F.broadcast(counts.select("_f", "_b", "_min", before.alias("_off"))), ["_f", "_b"])
+    numbered = placed.select((F.col("_off") + F.col("_i") - F.col("_min") + 1).alias("seq"), "line").where(F.trim("line") != "")
+    return numbered.select("seq", F.get_json_object("line", "$.record_type").alias("record_type"), "line")
 
 
 def strict(log: DataFrame) -> DataFrame:
