@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import textkit as tk
 from quire.llm.components import components
-from quire.llm.scratch import Scratch
+from quire.llm.scratch import Scratch, bound_batches
 
 SHINGLE = 5
 PERCENT = 80
@@ -73,18 +73,51 @@ def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int) -> np.ndarray
     return (percent * (a + b) + 99 + percent) // (100 + percent)
 
 
+def in_rows(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The order of values by row, then value: one sort of both in 64 bits, made exact where the bits left out matter."""
+    bits = np.uint64(max(1, int(n).bit_length()))
+    by = np.argsort((rows.astype(np.uint64) << (np.uint64(64) - bits)) | (values >> bits))
+    v, r = values[by], rows[by]
+    if ((v[1:] < v[:-1]) & (r[1:] == r[:-1])).any():
+        by = np.lexsort((values, rows))
+    return by
+
+
+def block_sets(column: pa.Array, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, tokens, bounds) of blocks of rows: each row's distinct shingle hashes, sorted, lie between its bounds."""
+    for lo, hi, data, offsets in tk.row_blocks(column):
+        starts, ends, ranges = tk.word_bounds(data, offsets, tk.SPACE_WORDS)
+        words, counts, n = tk.word_hashes(data, starts, ends), np.diff(ranges), hi - lo
+        row_of = np.repeat(np.arange(n), counts)
+        runs = tk.run_hashes(words, k)
+        inside = row_of[: len(runs)] == row_of[len(row_of) - len(runs) :]
+        tokens, rows = runs[inside], row_of[: len(runs)][inside]
+        short = np.flatnonzero((counts > 0) & (counts < k))
+        if len(short):
+            few = [tk.run_hashes(words[ranges[i] : ranges[i + 1]], int(counts[i])) for i in short]
+            tokens, rows = np.concatenate([tokens, *few]), np.concatenate([rows, short])
+        by = in_rows(tokens, rows, n)
+        tokens, rows = tokens[by], rows[by]
+        first = np.ones(len(tokens), dtype=bool)
+        first[1:] = (tokens[1:] != tokens[:-1]) | (rows[1:] != rows[:-1])
+        yield lo, hi, tokens[first], np.searchsorted(rows[first], np.arange(n + 1))
+
+
 def token_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each row."""
-    for _, _, data, offsets in tk.row_blocks(column):
-        starts, ends, ranges = tk.word_bounds(data, offsets, tk.SPACE_WORDS)
-        for runs in tk.row_runs(tk.word_hashes(data, starts, ends), ranges, k):
-            yield np.unique(runs)
+    for _, _, tokens, bounds in block_sets(column, k):
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+            yield tokens[a:b]
 
 
-def class_key(tokens: np.ndarray) -> tuple[int, int]:
-    """128 bits that equal sets share."""
-    with np.errstate(over="ignore"):
-        return (int(tk.mix(tokens, 11).sum(dtype=np.uint64).astype(np.int64)), int(tk.mix(tokens, 12).sum(dtype=np.uint64).astype(np.int64)))
+def class_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits that equal sets share, for each row."""
+    out = []
+    for seed in (11, 12):
+        sums = np.zeros(len(tokens) + 1, dtype=np.uint64)
+        np.cumsum(tk.mix(tokens, seed), out=sums[1:])
+        out.append((sums[bounds[1:]] - sums[bounds[:-1]]).view(np.int64))
+    return out[0], out[1]
 
 
 def ordered(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
@@ -100,25 +133,18 @@ def _profile(k: int):
         names = ["id", "n", "s1", "s2", "cells", "slice", "counts"]
         kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.int32(), pa.binary()]
         for batch in batches:
-            n, s1, s2, cells, held, pending = [], [], [], [], [], 0
-            for tokens in token_sets(batch.column(1), k):
-                a, b = class_key(tokens)
-                n.append(len(tokens))
-                s1.append(a)
-                s2.append(b)
-                cells.append(np.minimum(np.bincount((tokens >> np.uint64(20)).astype(np.int64) % HISTOGRAM, minlength=HISTOGRAM), CELL_MOST).astype(np.int8))
-                held.append((tokens >> np.uint64(64 - CELLS_LOG)).astype(np.int64))
-                pending += len(tokens)
-                if pending > 1 << 20:
-                    counts += np.bincount(np.concatenate(held), minlength=len(counts))
-                    held, pending = [], 0
-            if pending:
-                counts += np.bincount(np.concatenate(held), minlength=len(counts))
-            rows = len(n)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(cells, kinds[4]), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                names,
-            )
+            ids = batch.column(0).cast(pa.int64())
+            for lo, hi, tokens, bounds in block_sets(batch.column(1), k):
+                n, rows = np.diff(bounds), hi - lo
+                s1, s2 = class_keys(tokens, bounds)
+                row_of = np.repeat(np.arange(rows), n)
+                cell = ((tokens >> np.uint64(20)) % np.uint64(HISTOGRAM)).astype(np.int64)
+                cells = np.minimum(np.bincount(row_of * HISTOGRAM + cell, minlength=rows * HISTOGRAM), CELL_MOST).astype(np.int8)
+                counts += np.bincount((tokens >> np.uint64(64 - CELLS_LOG)).astype(np.int64), minlength=len(counts))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * HISTOGRAM), pa.array(cells))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(lo, rows), pa.array(n), pa.array(s1), pa.array(s2), lists, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names
+                )
         # 16 bits are enough to know a cell as common, as one task reads one split
         parts = np.minimum(counts, 65535).astype("<u2").reshape(SLICES, -1)
         used = [i for i in range(SLICES) if parts[i].any()]
@@ -194,22 +220,27 @@ def _prefixes(k: int, percent: int, shared, parts: int, order: int, hot: dict[in
 
         held, pending = [], 0
         for batch in batches:
-            for tokens in token_sets(batch.column(0), k):
-                if not len(tokens):
-                    continue
-                key = class_key(tokens)
-                if key in seen:
-                    continue
-                if len(seen) < 1_000_000:  # a memory of copies; past it copies only cost their rows
-                    seen.add(key)
-                keys = ordered(tokens, levels, order)
-                if (keys[1:] < keys[:-1]).any():
-                    keys.sort()
-                p = prefix_size(len(tokens), percent)
-                rows = np.zeros(p, ENTRY)
-                rows["tok"], rows["set"], rows["size"], rows["rank"] = keys[:p], key[0], len(tokens), np.arange(p)
+            for _, _, tokens, bounds in block_sets(batch.column(0), k):
+                sizes = np.diff(bounds)
+                s1, s2 = class_keys(tokens, bounds)
+                fresh = sizes > 0
+                for i, key in enumerate(zip(s1.tolist(), s2.tolist())):
+                    if key in seen:
+                        fresh[i] = False
+                    elif len(seen) < 1_000_000:  # a memory of copies; past it copies only cost their rows
+                        seen.add(key)
+                row_of = np.repeat(np.arange(len(sizes)), sizes)
+                mine = fresh[row_of]
+                row_of, keys = row_of[mine], ordered(tokens[mine], levels, order)
+                by = in_rows(keys, row_of, len(sizes))
+                row_of, keys = row_of[by], keys[by]
+                rank = np.arange(len(keys)) - np.searchsorted(row_of, np.arange(len(sizes)))[row_of]
+                first = rank < prefix_size(sizes, percent)[row_of]
+                row_of = row_of[first]
+                rows = np.zeros(len(row_of), ENTRY)
+                rows["tok"], rows["set"], rows["size"], rows["rank"] = keys[first], s1[row_of], sizes[row_of], rank[first]
                 held.append(rows)
-                pending += p
+                pending += len(rows)
                 if pending > 1 << 20:
                     yield packed(held)
                     held, pending = [], 0
@@ -416,12 +447,13 @@ class JaccardJoin:
         self.spark: SparkSession = docs.sparkSession
         self.docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
         self.k, self.percent, self.orders = k, percent, orders
-        self.scratch = Scratch(self.spark, "jaccard")
+        self.scratch, self.bits = Scratch(self.spark, "jaccard"), []
+        bound_batches(self.spark)
 
     def run(self) -> DataFrame:
         """(id, n, root): a row for each document row; root is null where id is."""
         profile = self.scratch.save(
-            self.docs.mapInArrow(_profile(self.k), "id long, n long, s1 long, s2 long, cells array<tinyint>, slice int, counts binary"), "profile"
+            self.docs.mapInArrow(tk.tidy(_profile(self.k)), "id long, n long, s1 long, s2 long, cells array<tinyint>, slice int, counts binary"), "profile"
         )
         self.levels = self.spark.sparkContext.broadcast(common_levels(profile))
         rows = profile.where("slice is null").select("id", "n", "s1", "s2", "cells")
@@ -433,9 +465,9 @@ class JaccardJoin:
         parts = max(size, total * (100 - self.percent) // 100 * ENTRY.itemsize // (48 << 20) + 1)
         hot = self.hot_tokens(total)
         run = _prefixes(self.k, self.percent, self.levels, 4 * parts, self.orders[0], hot)
-        packed = self.docs.where("id is not null").select("text").mapInArrow(run, "part int, entries binary")
+        packed = self.docs.where("id is not null").select("text").mapInArrow(tk.tidy(run), "part int, entries binary")
         found = self.scratch.save(
-            packed.repartition(parts, "part").mapInArrow(_bucket_pairs(self.percent, hot), "a long, b long, tok long, entries binary"), "buckets"
+            packed.repartition(parts, "part").mapInArrow(tk.tidy(_bucket_pairs(self.percent, hot)), "a long, b long, tok long, entries binary"), "buckets"
         )
         first = self.rep_pairs(found.where("tok is null").select("a", "b").distinct())
         first = self.scratch.save(first, "pairs-1")
@@ -477,17 +509,20 @@ class JaccardJoin:
         others = self.orders[1:]
         if others:
             met = self.with_sets(pairs, others).select("u", "v", "nu", "nv", "tu", "tv")
-            pairs = self.scratch.save(met.mapInArrow(_hopeful(self.percent, len(others)), "u long, v long"), f"hopeful-{name}")
+            pairs = self.scratch.save(met.mapInArrow(tk.tidy(_hopeful(self.percent, len(others))), "u long, v long"), f"hopeful-{name}")
         met = self.with_sets(pairs, None).select("u", "v", "tu", "tv")
-        return self.scratch.save(met.mapInArrow(_verified(self.percent), "u long, v long"), f"links-{name}")
+        links = self.scratch.save(met.mapInArrow(tk.tidy(_verified(self.percent)), "u long, v long"), f"links-{name}")
+        while self.bits:  # what they filtered is written
+            self.bits.pop().unpersist()
+        return links
 
     def with_sets(self, pairs: DataFrame, orders: tuple[int, ...] | None) -> DataFrame:
         """The pairs with sizes and tokens (whole sets, or prefixes under ``orders``) of both ends."""
         ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
-        bits = self.spark.sparkContext.broadcast(id_filter(ids))
+        self.bits.append(self.spark.sparkContext.broadcast(id_filter(ids)))
         bit = F.pmod(F.xxhash64("id"), F.lit(1 << BLOOM_LOG))
         sets = self.docs.where("id is not null").select("id", "text", bit.alias("bit")).mapInArrow(
-            _sets(self.k, self.percent, self.levels, bits, orders), "id long, size long, tokens binary"
+            tk.tidy(_sets(self.k, self.percent, self.levels, self.bits[-1], orders)), "id long, size long, tokens binary"
         )
         u = sets.select(F.col("id").alias("u"), F.col("size").alias("nu"), F.col("tokens").alias("tu"))
         v = sets.select(F.col("id").alias("v"), F.col("size").alias("nv"), F.col("tokens").alias("tv"))
