@@ -127,10 +127,16 @@ class Engine:
         entities, occurrences, snapshots = extraction.compile_entities(refs, scenes, provider, model)
         fresh = {"entities": entities, "occurrences": occurrences, "entity_snapshots": snapshots}
         if self.store.has("entities"):
-            gone = snapshots.select("chapter_id")
-            fresh = {n: pack.without(self.store.read(n), gone, ["chapter_id"]).unionByName(df) for n, df in fresh.items()}
+            done = snapshots.select("chapter_id")
+            fresh["entities"], fresh["occurrences"] = relations.replace_chapters(self.store.read("entities"), self.store.read("occurrences"), entities, occurrences, done)
+            fresh["entity_snapshots"] = pack.replace_group(self.store.read("entity_snapshots"), snapshots, "chapter_id")
         self._keep(**fresh)
 
+    def delete_scenes(self, gone: DataFrame) -> None:
+        """Scenes (scene_id) with all that hangs on them; the reverse index is to be rebuilt after."""
+        names = [n for n in ("scenes", "scene_cards", "occurrences", "entities", "index_refs", "index_terms") if self.store.has(n)]
+        self._keep(**relations.without_scenes({n: self.store.read(n) for n in names}, gone))
+
     def compile_roles(self, provider: Provider, model: str = "", prompt_version: str = "roles-v1", force: bool = False) -> bool:
         """Roles of the whole book; whether anything was asked."""
         entities, occurrences, cards = (self.store.read(n) for n in ("entities", "occurrences", "scene_cards"))

@@ -121,6 +121,28 @@ def drop_orphans(entities: DataFrame, occurrences: DataFrame) -> DataFrame:
     return entities.join(occurrences.select(F.col("entity_id").alias("id")).distinct(), "id", "left_semi")
 
 
+def without_scenes(tables: dict[str, DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """The tables after scenes (scene_id) were deleted: their cards and occurrences go, entities left without any, and the whole reverse index."""
+    ids = gone.select("scene_id").distinct()
+    out = {name: tables[name].join(ids, "scene_id", "left_anti") for name in ("scene_cards", "occurrences") if name in tables}
+    if "scenes" in tables:
+        out["scenes"] = tables["scenes"].join(ids, F.col("id") == F.col("scene_id"), "left_anti")
+    if "entities" in tables and "occurrences" in out:
+        out["entities"] = drop_orphans(tables["entities"], out["occurrences"])
+    for name in ("index_refs", "index_terms"):
+        if name in tables:
+            out[name] = tables[name].limit(0)
+    return tables | out
+
+
+def replace_chapters(entities: DataFrame, occurrences: DataFrame, fresh_entities: DataFrame, fresh_occurrences: DataFrame, chapters: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities and occurrences with those of some chapters (chapter_id) replaced; entities that then occur nowhere go."""
+    ids = chapters.select("chapter_id").distinct()
+    o = occurrences.join(ids, "chapter_id", "left_anti").unionByName(fresh_occurrences)
+    e = entities.join(ids, "chapter_id", "left_anti").unionByName(fresh_entities)
+    return drop_orphans(e, o), o
+
+
 def keep_known(cited: DataFrame, known: DataFrame, column: str) -> DataFrame:
     """Citations that name a known record, in order and as often as they came."""
     return cited.join(known.select(column).distinct(), column, "left_semi")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import phrases
@@ -151,3 +151,20 @@ def fake_llm_retry_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = attempt(docs, ["doc_id"], ask, F.col("error") == "", lambda left: left.select("doc_id", F.substring("text", 1, 20).alias("answer")))
     return done.select("doc_id", "answer", "action")
+
+
+@query(
+    """WITH e AS (SELECT n_nationkey AS id, n_name AS name, n_regionkey, ' ' || lower(n_name) || ' ' AS p FROM nation),
+    s AS (SELECT id, (CASE WHEN contains(' who is in france and who left china ', p) THEN 100 ELSE 0 END + CASE WHEN n_regionkey = 3 THEN 80 ELSE 0 END + CASE WHEN n_regionkey = 0 THEN 20 ELSE 4 END
+      + CASE WHEN id IN (1, 2) THEN 60 ELSE 0 END)::INTEGER AS score, lower(name) AS l FROM e)
+    SELECT id, score, row_number() OVER (ORDER BY score DESC, l, id) AS position FROM s ORDER BY score DESC, l, id LIMIT 6"""
+)
+def pl_top_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as entities of a question: names, aliases of one region, types, search hits, order and limit."""
+    n = table(spark, sf_dir, "nation")
+    e = n.select(
+        F.col("n_nationkey").alias("id"), F.col("n_name").alias("canonical_name"), F.when(F.col("n_regionkey") == 3, F.array(F.lit("Who is"))).otherwise(F.array(F.lit("nobody"))).alias("aliases"),
+        F.when(F.col("n_regionkey") == 0, "Character").otherwise("unknown").alias("type"),
+    )
+    best = planner.top_entities(e, "Who is in FRANCE, and who left China?", "recall", "character_question", ["1", "2"]).withColumn("_m", F.monotonically_increasing_id())
+    return best.select("id", F.col("score").cast("int").alias("score"), F.row_number().over(Window.orderBy("_m")).cast("long").alias("position"))

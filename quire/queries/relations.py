@@ -199,3 +199,30 @@ def set_source_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_status_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "verified").otherwise("generated")
     return relations.with_status(table(spark, sf_dir, "labels").select("doc_id", status.alias("status")), "include-generated")
+
+
+def _occurring(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers as entities of their nations, line items as occurrences in orders."""
+    e = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("chapter_id"))
+    o = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("entity_id"), F.col("l_orderkey").alias("scene_id")).distinct()
+    return e, o.join(e.select(F.col("id").alias("entity_id"), "chapter_id"), "entity_id")
+
+
+@query("SELECT DISTINCT s_suppkey AS id, s_nationkey AS chapter_id FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE l_orderkey % 50 = 0")
+def snk_delete_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities left after all orders but every fiftieth are deleted."""
+    e, o = _occurring(spark, sf_dir)
+    gone = table(spark, sf_dir, "orders").where("o_orderkey % 50 <> 0").select(F.col("o_orderkey").alias("scene_id"))
+    return relations.without_scenes({"entities": e, "occurrences": o}, gone)["entities"]
+
+
+@query(
+    """SELECT DISTINCT s_suppkey AS id, s_nationkey AS chapter_id FROM supplier JOIN lineitem ON l_suppkey = s_suppkey WHERE s_nationkey NOT IN (3, 4)
+    UNION ALL SELECT -s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (3, 4) AND s_suppkey % 2 = 0"""
+)
+def snk_replace_entity_chapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two nations' entities replaced; of the new ones every other occurs."""
+    e, o = _occurring(spark, sf_dir)
+    fresh = e.where("chapter_id in (3, 4)").select((-F.col("id")).alias("id"), "chapter_id")
+    met = fresh.where("id % 2 = 0").select(F.col("id").alias("entity_id"), F.lit(1).cast(o.schema["scene_id"].dataType).alias("scene_id"), "chapter_id")
+    return relations.replace_chapters(e, o, fresh, met, fresh)[0]

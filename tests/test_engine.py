@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.engine import Engine, InsufficientEvidence
 from quire.plans import compile as layers
-from quire.plans import book, checking, planner, roles, verify
+from quire.plans import book, checking, doctor, planner, roles, verify
 from quire.sources import prompts
 from quire.sources.provider import FakeProvider, Response, attempt, generate
 from quire.sources.settings import Settings
@@ -300,3 +300,22 @@ def test_prompts(tmp_path):
     done = prompts.sync(tmp_path)
     assert done["answer"] == "upgraded" and done["roles"] == "kept"
     assert prompts.load(tmp_path, "roles").version == "custom" and prompts.load(None, "roles").version == "roles-v1" and prompts.load(tmp_path, "answer").version == "answer-v1"
+
+
+def test_doctor(engine, spark, tmp_path):
+    assert all(c.ok for c in doctor.check_settings(Settings())) and all(c.ok for c in doctor.check_tables(engine.store))
+    wrong = {c.name for c in doctor.check_settings(Settings(scene_mode="x", max_evidence=0, models={"a": {"base_url": "nothing"}})) if not c.ok}
+    assert wrong == {"scene_mode", "max_evidence", "models.a"}
+    assert not doctor.check_tables(Store(spark, str(tmp_path / "empty")))[0].ok
+    engine.compile_scenes()
+    engine.store.update({"scenes": engine.store.read("scenes").where("ordinal > 1")})
+    assert [c.name for c in doctor.check_tables(engine.store) if not c.ok] == ["scenes"]
+    assert doctor.check_provider(FakeProvider()).ok and not doctor.check_provider(FakeProvider(default="!down")).ok
+
+
+def test_deleted_scenes(engine):
+    _, scenes = people(engine)
+    engine.delete_scenes(engine.store.read("scene_cards").where("title = 'Door 1'").select("scene_id"))
+    assert engine.status()["scenes"] == 3 and engine.status()["scene_cards"] == 3 and engine.status()["index_terms"] == 0
+    assert [r["chapter_id"] for r in engine.store.read("entities").collect()] == ["ch-0002"] and engine.status()["occurrences"] == 1
+    assert engine.search("mara")["scene_cards"].where(F.col("scene_id") == scenes["Door 1"]).isEmpty()

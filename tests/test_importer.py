@@ -56,3 +56,29 @@ def test_settings():
     assert settings.should_upgrade("prompt-version: a-v1", "prompt-version: a-v2") and not settings.should_upgrade("prompt-version: b-v1", "prompt-version: a-v2")
     roles = settings.Settings(models={"default": {"provider": "p", "model": "m"}, "chat": {"model": "n"}})
     assert settings.model_for(roles, "chat") == ("p", "n")
+
+
+def test_manifest_is_found(tmp_path):
+    assert importer.find_manifest(str(tmp_path)) is None
+    (tmp_path / "book.toml").write_text("x")
+    assert importer.find_manifest(str(tmp_path)).endswith("book.toml")
+    (tmp_path / "toc.toml").write_text("x")
+    assert importer.find_manifest(str(tmp_path)).endswith("toc.toml")
+    with pytest.raises(FileNotFoundError):
+        importer.find_manifest(str(tmp_path), str(tmp_path / "other.toml"))
+
+
+def test_contents_are_read_back(spark):
+    chapters = spark.createDataFrame([(2, "b.md", 'The "end"'), (1, "a.md", "A \\ b")], "ordinal int, file string, title string")
+    got = importer.parse_manifest(importer.contents(chapters, "Book"))
+    assert got.title == "Book" and got.chapters == [("a.md", "A \\ b"), ("b.md", 'The "end"')]
+
+
+def test_one_document(spark):
+    doc = spark.createDataFrame([("intro\n# One\ntext\n# Two\nmore",)], "text string")
+    whole, none = importer.plan_file(doc, "my-book.md", single=True)
+    assert [(r["id"], r["title"]) for r in whole.collect()] == [("ch-0001", "One")] and none == []
+    parts, warnings = importer.plan_file(doc, "my-book.md")
+    assert [(r["id"], r["title"]) for r in parts.orderBy("ordinal").collect()] == [("ch-0001", "One"), ("ch-0002", "Two")] and len(warnings) == 1
+    with pytest.raises(importer.AmbiguousOrder, match="no chapter boundary"):
+        importer.plan_file(doc, "x.md", level=3)

@@ -112,3 +112,17 @@ def test_staging(spark):
     assert logs.stage(old, old).isEmpty()
     with pytest.raises(logs.StageConflict):
         logs.stage(old, old.withColumn("content_hash", F.lit("h2")))
+
+
+def test_foreign_logs_are_numbered_over_splits(spark, tmp_path):
+    path = tmp_path / "log.jsonl"
+    lines = [json.dumps({"record_type": "a" if i % 3 else "b", "i": i}) if i % 7 else "" for i in range(5000)]
+    path.write_text("\r\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")
+    try:
+        got = logs.read_foreign(spark, str(path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["seq"]: r["line"] for r in got} == {i + 1: x for i, x in enumerate(lines) if x}
+    assert {r["record_type"] for r in got} == {"a", "b"}
