@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quire.llm import decontaminate, jaccard_join, langid, line_dedup, mixing
-from quire.llm.scratch import Scratch
+from quire.llm.scratch import Scratch, temporary
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,7 +76,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch = Scratch(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs = scratch.save(docs, name)
+        if i == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with temporary():  # what the stage set aside goes once its rows are written
+            docs = scratch.save(stage(spark, docs, sf_dir), name)
+        scratch.keep_only(name)
     return docs
