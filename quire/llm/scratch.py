@@ -10,10 +10,13 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
+_MADE: list[Scratch] = []
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
@@ -58,12 +61,15 @@ class Scratch:
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.base = f"{shared_root(spark)}/quire-{label}-{uuid.uuid4().hex}"
+        self.names: list[str] = []
+        _MADE.append(self)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return the frame that reads it back."""
         path = f"{self.base}/{name}"
         schema = df.schema
         df.write.mode("overwrite").parquet(path)
+        self.names.append(name)
         return self.spark.read.schema(schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
@@ -72,3 +78,20 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}" if name else self.base)
         fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
         fs.delete(path, True)
+
+    def keep_only(self, *starts: str) -> None:
+        """Delete the tables whose names begin with none of these."""
+        for name in self.names:
+            if not name.startswith(starts):
+                self.drop(name)
+        self.names = [n for n in self.names if n.startswith(starts)]
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Delete all scratch folders made inside, once what was computed from them is written elsewhere."""
+    mark = len(_MADE)
+    yield
+    for made in _MADE[mark:]:
+        made.drop()
+    del _MADE[mark:]

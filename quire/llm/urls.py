@@ -98,6 +98,7 @@ def mine_rules(
     if not found:
         return labelled.sparkSession.createDataFrame([], _RULE)
     rules = scratch.save(reduce(DataFrame.unionAll, found), "rules")
+    scratch.keep_only("rules")
     ordered = rules.orderBy(F.size("tokens"), F.desc("confidence"), "tokens", "verdict")
     return ordered.select(F.monotonically_increasing_id().alias("rule_id"), "tokens", "verdict", "confidence", "support")
 
