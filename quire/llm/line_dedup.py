@@ -1,9 +1,10 @@
 """Drop lines that several documents share, keeping one owner for each.
 
-Lines are exploded to 128-bit hashes of their normalised form.  One
-aggregation with map-side combining finds, for each hash, how many documents
-hold it and the smallest of them; a join brings that back to the line hashes;
-the text meets the decisions only once, as arrays of dropped positions.
+Lines are exploded to 128-bit hashes of their normalised form, which are written
+once, as both steps that follow read them.  One aggregation with map-side
+combining finds, for each hash, how many documents hold it and the smallest of
+them; a join brings that back to the line hashes; the text meets the decisions
+only once, as arrays of dropped positions.
 
 Defined results: a null or empty text is one empty line; a null ``doc_id``
 owns and drops nothing; rows that repeat a ``doc_id`` are one document when
@@ -17,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.nativetext import BLANKS, ascii_lower
-from quire.llm.scratch import set_aside
+from quire.llm.scratch import Scratch, set_aside
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -83,6 +84,7 @@ def dedup_lines(
     rows = keyed.where(F.char_length("_key") >= min_chars).select(
         "_id", "_t", "_pos", F.xxhash64("_key").alias("h1"), F.xxhash64(F.lit("second"), "_key").alias("h2")
     )
+    rows = Scratch(docs.sparkSession, "lines").save(rows, "hashes")
     gone = dropped_positions(rows, min_docs).withColumnsRenamed({"_id": "_q_id", "_t": "_q_t"})
     joined = docs.join(gone, (docs[id_col] == gone["_q_id"]) & (F.xxhash64(docs[text_col]) == gone["_q_t"]), "left")
     lines = _lines(text)
