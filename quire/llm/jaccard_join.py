@@ -9,7 +9,8 @@ sets form one class before anything is joined, so copies cost one row each.
 * Pass 2 emits the prefix of each set under the first order, packed by token
   range.  Two sets that reach the threshold share a prefix token, under this
   order and under any other.  Within a token's bucket size and position filters
-  apply, and a bound from how many tokens of either set fall in each of 64 cells.
+  apply, and a bound from a bitmap of each set: bits in which two differ stand
+  for tokens that only one of them holds.
   Buckets of up to ``SMALL`` sets yield all their pairs.  Larger ones yield one
   link from each set to its neighbour in size and to an anchor, and are kept for
   pass 3.  A token that a sample of the documents shows in very many prefixes is
@@ -34,6 +35,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,8 +56,7 @@ PARTNERS = 8
 CELLS_LOG = 20
 SLICES = 64
 BLOOM_LOG = 25
-HISTOGRAM = 64
-CELL_MOST = 127  # a cell holds so many or more
+BITS = tuple(f"b{i}" for i in range(8))  # 64 bits each; a bit says whether an odd number of tokens hash to it
 HOT = 1 << 20  # prefixes that hold a token, beyond which it has several buckets
 SAMPLE = 64  # one in so many ids is looked at to find such tokens
 CHUNK = 1 << 16  # entries in one row of a large bucket
@@ -120,6 +121,20 @@ def class_keys(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
     return out[0], out[1]
 
 
+def bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> list[np.ndarray]:
+    """The words of each row's bitmap: the exclusive or of its tokens' bits."""
+    some = np.flatnonzero(bounds[1:] > bounds[:-1])
+    word = (tokens >> np.uint64(26)) % np.uint64(len(BITS))
+    bit = np.uint64(1) << ((tokens >> np.uint64(20)) & np.uint64(63))
+    out = []
+    for i in range(len(BITS)):
+        value = np.zeros(len(bounds) - 1, dtype=np.uint64)
+        if len(some):
+            value[some] = np.bitwise_xor.reduceat(np.where(word == np.uint64(i), bit, np.uint64(0)), bounds[some])
+        out.append(value.view(np.int64))
+    return out
+
+
 def ordered(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
     """Tokens as sort keys of an order: common ones last, the rest by a hash of their own."""
     level = levels[(tokens >> np.uint64(64 - CELLS_LOG)).astype(np.int64)].astype(np.uint64)
@@ -130,27 +145,21 @@ def ordered(tokens: np.ndarray, levels: np.ndarray, order: int) -> np.ndarray:
 def _profile(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << CELLS_LOG, dtype=np.int64)
-        names = ["id", "n", "s1", "s2", "cells", "slice", "counts"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int8()), pa.int32(), pa.binary()]
+        names = ["id", "n", "s1", "s2", *BITS, "slice", "counts"]
         for batch in batches:
             ids = batch.column(0).cast(pa.int64())
             for lo, hi, tokens, bounds in block_sets(batch.column(1), k):
                 n, rows = np.diff(bounds), hi - lo
                 s1, s2 = class_keys(tokens, bounds)
-                row_of = np.repeat(np.arange(rows), n)
-                cell = ((tokens >> np.uint64(20)) % np.uint64(HISTOGRAM)).astype(np.int64)
-                cells = np.minimum(np.bincount(row_of * HISTOGRAM + cell, minlength=rows * HISTOGRAM), CELL_MOST).astype(np.int8)
                 counts += np.bincount((tokens >> np.uint64(64 - CELLS_LOG)).astype(np.int64), minlength=len(counts))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * HISTOGRAM), pa.array(cells))
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(lo, rows), pa.array(n), pa.array(s1), pa.array(s2), lists, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names
-                )
+                bits = [pa.array(b) for b in bitmaps(tokens, bounds)]
+                yield pa.RecordBatch.from_arrays([ids.slice(lo, rows), pa.array(n), pa.array(s1), pa.array(s2), *bits, pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names)
         # 16 bits are enough to know a cell as common, as one task reads one split
         parts = np.minimum(counts, 65535).astype("<u2").reshape(SLICES, -1)
         used = [i for i in range(SLICES) if parts[i].any()]
         packed = [zlib.compress(parts[i].tobytes(), 1) for i in used]
-        empty = pa.nulls(len(used), pa.int64())
-        yield pa.RecordBatch.from_arrays([empty, empty, empty, empty, pa.nulls(len(used), kinds[4]), pa.array(used, kinds[5]), pa.array(packed, kinds[6])], names)
+        empty = [pa.nulls(len(used), pa.int64())] * (4 + len(BITS))
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names)
 
     return run
 
@@ -453,12 +462,12 @@ class JaccardJoin:
     def run(self) -> DataFrame:
         """(id, n, root): a row for each document row; root is null where id is."""
         profile = self.scratch.save(
-            self.docs.mapInArrow(tk.tidy(_profile(self.k)), "id long, n long, s1 long, s2 long, cells array<tinyint>, slice int, counts binary"), "profile"
+            self.docs.mapInArrow(tk.tidy(_profile(self.k)), "id long, n long, s1 long, s2 long, " + ", ".join(f"{b} long" for b in BITS) + ", slice int, counts binary"), "profile"
         )
         self.levels = self.spark.sparkContext.broadcast(common_levels(profile))
-        rows = profile.where("slice is null").select("id", "n", "s1", "s2", "cells")
+        rows = profile.where("slice is null").select("id", "n", "s1", "s2", *BITS)
         # every id of a class links to its smallest; a repeated id joins its classes
-        classes = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("cells").alias("cells"))
+        classes = rows.where("n > 0 and id is not null").groupBy("s1", "s2").agg(F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("n", *BITS)])
         self.classes = self.scratch.save(classes, "classes")
         total = rows.agg(F.sum("n")).first()[0] or 0
         size = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
@@ -476,6 +485,7 @@ class JaccardJoin:
         copies = member.where("id > rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
         links = self.connect_large(found.where("tok is not null").select("tok", "entries"), links, first)
         root = components(links.unionByName(copies), self.scratch, "cc-all")
+        self.scratch.keep_only("profile", "cc-all")
         return rows.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
 
     def hot_tokens(self, total: int) -> dict[int, int]:
@@ -493,16 +503,19 @@ class JaccardJoin:
     def rep_pairs(self, pairs: DataFrame) -> DataFrame:
         """Pairs of class keys as pairs (u, v) of class representatives, u < v."""
         c = self.classes
-        ends = [c.select(F.col("s1").alias(e), F.col("rep").alias(f"r{e}"), F.col("n").alias(f"n{e}"), F.col("cells").alias(f"c{e}")) for e in ("a", "b")]
+        ends = [c.select(F.col("s1").alias(e), F.col("rep").alias(f"r{e}"), F.col("n").alias(f"n{e}"), *[F.col(b).alias(f"{b}{e}") for b in BITS]) for e in ("a", "b")]
         both = pairs.join(ends[0], "a").join(ends[1], "b")
-        both = both.where((F.col("ra") != F.col("rb")) & self._cells_reach(F.col("na"), F.col("nb"), F.col("ca"), F.col("cb")))
+        both = both.where((F.col("ra") != F.col("rb")) & self._bits_reach(F.col("na"), F.col("nb"), [(F.col(f"{b}a"), F.col(f"{b}b")) for b in BITS]))
         return both.select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct()
 
-    def _cells_reach(self, na: Column, nb: Column, a: Column, b: Column) -> Column:
-        """Whether sets may reach the threshold by how many tokens each hash cell holds of them."""
-        least = F.zip_with(a, b, lambda x, y: F.least(x, y))
-        most = F.aggregate(least, F.lit(0).cast("long"), lambda s, x: s + F.when(x == CELL_MOST, F.lit(1 << 40)).otherwise(x))
-        return most * (100 + self.percent) >= (na + nb) * self.percent
+    def _bits_reach(self, na: Column, nb: Column, bits: list[tuple[Column, Column]]) -> Column:
+        """Whether sets may reach the threshold by the bits in which their bitmaps differ.
+
+        Each stands for a token at least that only one set holds, so the
+        intersection is at most half of what the sizes leave without them.
+        """
+        differ = reduce(lambda x, y: x + y, [F.bit_count(a.bitwiseXOR(b)) for a, b in bits])
+        return (na + nb - differ) * (100 + self.percent) >= (na + nb) * 2 * self.percent
 
     def verify(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs (u, v) whose sets reach the threshold; the filters of the other orders come first."""
@@ -537,9 +550,9 @@ class JaccardJoin:
         """
         if buckets.isEmpty():
             return links
-        c = self.classes.select(F.col("s1").alias("set"), "rep", "cells")
+        c = self.classes.select(F.col("s1").alias("set"), "rep", *BITS)
         rows = buckets.mapInArrow(_unpack, "tok long, set long, size long, rank long").join(c, "set")
-        entries = self.scratch.save(rows.select("tok", "rep", "size", "rank", "cells"), "entries")
+        entries = self.scratch.save(rows.select("tok", "rep", "size", "rank", *BITS), "entries")
         for step, share in enumerate(ROUNDS):
             root = components(links, self.scratch, f"cc-{step}").select(F.col("node").alias("rep"), "root")
             e = self.scratch.save(entries.join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep")), f"rooted-{step}")
@@ -561,16 +574,16 @@ class JaccardJoin:
         return links
 
     def _may_reach(self, a: dict[str, Column], b: dict[str, Column]) -> Column:
-        """Size, position and cell filters on two entries of one bucket."""
+        """Size, position and bitmap filters on two entries of one bucket."""
         t = self.percent
         rest = F.lit(1) + F.least(a["size"] - a["rank"] - 1, b["size"] - b["rank"] - 1)
         sizes = F.least(a["size"], b["size"]) * 100 >= F.greatest(a["size"], b["size"]) * t
         reach = rest * (100 + t) >= (a["size"] + b["size"]) * t
-        return (a["root"] != b["root"]) & sizes & reach & self._cells_reach(a["size"], b["size"], a["cells"], b["cells"])
+        return (a["root"] != b["root"]) & sizes & reach & self._bits_reach(a["size"], b["size"], [(a[x], b[x]) for x in BITS])
 
     def some_pairs(self, e: DataFrame, step: int) -> DataFrame:
         """A few pairs for each set: with those before it in a random order of each bucket, in runs of bounded size."""
-        fields = ("rep", "root", "size", "rank", "cells")
+        fields = ("rep", "root", "size", "rank", *BITS)
         place = F.xxhash64("rep", F.lit(step))
         run = F.pmod(place, F.floor(F.col("n") / RUN) + 1)
         w = Window.partitionBy("tok", run).orderBy(place, "rep")
@@ -587,9 +600,9 @@ class JaccardJoin:
         One in ``share`` of the pairs, by a hash of both; all of them for 1.
         """
         met = e.join(main.select("tok", "main"), "tok")
-        x = met.where("root <> main").select("tok", *[F.col(f).alias(f"{f}_x") for f in ("rep", "root", "size", "rank", "cells")])
-        y = met.select("tok", "main", *[F.col(f).alias(f"{f}_y") for f in ("rep", "root", "size", "rank", "cells")])
-        names = ("root", "size", "rank", "cells")
+        x = met.where("root <> main").select("tok", *[F.col(f).alias(f"{f}_x") for f in ("rep", "root", "size", "rank", *BITS)])
+        y = met.select("tok", "main", *[F.col(f).alias(f"{f}_y") for f in ("rep", "root", "size", "rank", *BITS)])
+        names = ("root", "size", "rank", *BITS)
         once = (F.col("root_y") == F.col("main")) | (F.col("rep_x") < F.col("rep_y"))
         if share > 1:
             low, high = F.least("rep_x", "rep_y"), F.greatest("rep_x", "rep_y")
