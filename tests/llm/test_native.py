@@ -199,7 +199,7 @@ def test_chat_parts(spark):
 
 def test_licenses_base(spark):
     phrases = license_rules.BASE
-    texts = ["Under the MIT license. under-the mit-license", "apache LICENSE, version 2.0 (cc by-nc) cc by nc cc by nc", "underthe mit license", None, "", "x" * 10, "cc by ncé", "ünder the mit license under the mit license"]
+    texts = ["Under the MIT license. under-the mit-license", "apache LICENSE, version 2.0 (cc by-nc) cc by nc cc by nc", "underthe mit license", None, "", "x" * 10, "cc by ncé", "ünder the mit license under the mit license", "under the m\u0130t license", "under the mit licen\u212ae Apache \u212a license", "apache license version 2 \u212a \u0130", "ÉÀ Under THE MIT License É"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("labels", F.lit(7))
     got = licenses.with_labels(licenses.scan(df)).collect()
     for r in got:
