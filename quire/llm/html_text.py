@@ -180,7 +180,7 @@ class Chains:
         return float(gold - whole.sum()), np.concatenate(gradient)
 
 
-def fit(pages: list[str], rounds: int = 150, ridge: float = 0.02, rate: float = 0.15) -> Field:
+def fit(pages: list[str], rounds: int = 150, ridge: float = 0.005, rate: float = 0.15) -> Field:
     """Train on pages whose elements say by ``data-main`` what is main text."""
     known = Chains([c for c in (leaf_blocks(p) for p in pages) if c])
     theta = np.zeros(len(known.names) + 6)
