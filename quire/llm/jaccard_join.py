@@ -450,7 +450,11 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 class JaccardJoin:
-    """One run of the join: the passes above over a DataFrame of documents."""
+    """One run of the join: the passes above over a DataFrame of documents.
+
+    Both sides of its joins grow with the documents, so they are sorted and
+    merged at every size; the adaptive planner can split what is hot.
+    """
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, k: int, percent: int, orders: tuple[int, ...]):
         self.spark: SparkSession = docs.sparkSession
@@ -481,12 +485,12 @@ class JaccardJoin:
         first = self.rep_pairs(found.where("tok is null").select("a", "b").distinct())
         first = self.scratch.save(first, "pairs-1")
         links = self.verify(first, "1")
-        member = rows.where("id is not null and n > 0").select("id", "s1", "s2").join(self.classes, ["s1", "s2"])
+        member = rows.where("id is not null and n > 0").select("id", "s1", "s2").join(self.classes.hint("merge"), ["s1", "s2"])
         copies = member.where("id > rep").select(F.col("id").alias("u"), F.col("rep").alias("v")).distinct()
         links = self.connect_large(found.where("tok is not null").select("tok", "entries"), links, first)
         root = components(links.unionByName(copies), self.scratch, "cc-all")
         self.scratch.keep_only("profile", "cc-all")
-        return rows.join(root.select(F.col("node").alias("id"), "root"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
+        return rows.join(root.select(F.col("node").alias("id"), "root").hint("merge"), "id", "left").select("id", "n", F.coalesce("root", "id").alias("root"))
 
     def hot_tokens(self, total: int) -> dict[int, int]:
         """Tokens that more than ``HOT`` prefixes hold, by a sample, and in how many buckets each goes.
@@ -504,7 +508,7 @@ class JaccardJoin:
         """Pairs of class keys as pairs (u, v) of class representatives, u < v."""
         c = self.classes
         ends = [c.select(F.col("s1").alias(e), F.col("rep").alias(f"r{e}"), F.col("n").alias(f"n{e}"), *[F.col(b).alias(f"{b}{e}") for b in BITS]) for e in ("a", "b")]
-        both = pairs.join(ends[0], "a").join(ends[1], "b")
+        both = pairs.join(ends[0].hint("merge"), "a").join(ends[1].hint("merge"), "b")
         both = both.where((F.col("ra") != F.col("rb")) & self._bits_reach(F.col("na"), F.col("nb"), [(F.col(f"{b}a"), F.col(f"{b}b")) for b in BITS]))
         return both.select(F.least("ra", "rb").alias("u"), F.greatest("ra", "rb").alias("v")).distinct()
 
@@ -525,6 +529,8 @@ class JaccardJoin:
             pairs = self.scratch.save(met.mapInArrow(tk.tidy(_hopeful(self.percent, len(others))), "u long, v long"), f"hopeful-{name}")
         met = self.with_sets(pairs, None).select("u", "v", "tu", "tv")
         links = self.scratch.save(met.mapInArrow(tk.tidy(_verified(self.percent)), "u long, v long"), f"links-{name}")
+        if others:
+            self.scratch.drop(f"hopeful-{name}")
         while self.bits:  # what they filtered is written
             self.bits.pop().unpersist()
         return links
@@ -551,11 +557,11 @@ class JaccardJoin:
         if buckets.isEmpty():
             return links
         c = self.classes.select(F.col("s1").alias("set"), "rep", *BITS)
-        rows = buckets.mapInArrow(_unpack, "tok long, set long, size long, rank long").join(c, "set")
+        rows = buckets.mapInArrow(_unpack, "tok long, set long, size long, rank long").join(c.hint("merge"), "set")
         entries = self.scratch.save(rows.select("tok", "rep", "size", "rank", *BITS), "entries")
         for step, share in enumerate(ROUNDS):
             root = components(links, self.scratch, f"cc-{step}").select(F.col("node").alias("rep"), "root")
-            e = self.scratch.save(entries.join(root, "rep", "left").withColumn("root", F.coalesce("root", "rep")), f"rooted-{step}")
+            e = self.scratch.save(entries.join(root.hint("merge"), "rep", "left").withColumn("root", F.coalesce("root", "rep")), f"rooted-{step}")
             by_root = e.groupBy("tok", "root").agg(F.count("*").alias("n"))
             main = by_root.groupBy("tok").agg(
                 F.max_by("root", F.struct("n", "root")).alias("main"), F.max("n").alias("n_main"), F.sum("n").alias("n"), F.count("*").alias("roots")
@@ -565,8 +571,9 @@ class JaccardJoin:
                 return links
             if apart <= PARTNERS * total:
                 share = 1  # few enough to take all of them at once
-            pairs = self.pairs_apart(e, main, share) if share else self.some_pairs(e.join(main.select("tok", "n"), "tok"), step)
-            pairs = self.scratch.save(pairs.join(known, ["u", "v"], "left_anti"), f"apart-{step}")
+            pairs = self.pairs_apart(e, main, share) if share else self.some_pairs(e.join(main.select("tok", "n").hint("merge"), "tok"), step)
+            pairs = self.scratch.save(pairs.join(known.hint("merge"), ["u", "v"], "left_anti"), f"apart-{step}")
+            self.scratch.drop(f"rooted-{step}")
             links = links.unionByName(self.verify(pairs, f"apart-{step}"))
             known = known.unionByName(pairs)
             if share == 1:
@@ -599,7 +606,7 @@ class JaccardJoin:
 
         One in ``share`` of the pairs, by a hash of both; all of them for 1.
         """
-        met = e.join(main.select("tok", "main"), "tok")
+        met = e.join(main.select("tok", "main").hint("merge"), "tok")
         x = met.where("root <> main").select("tok", *[F.col(f).alias(f"{f}_x") for f in ("rep", "root", "size", "rank", *BITS)])
         y = met.select("tok", "main", *[F.col(f).alias(f"{f}_y") for f in ("rep", "root", "size", "rank", *BITS)])
         names = ("root", "size", "rank", *BITS)
@@ -607,7 +614,7 @@ class JaccardJoin:
         if share > 1:
             low, high = F.least("rep_x", "rep_y"), F.greatest("rep_x", "rep_y")
             once = once & (F.pmod(F.xxhash64(low, high), F.lit(share)) == 0)
-        found = x.join(y, "tok").where(once & self._may_reach({f: F.col(f"{f}_x") for f in names}, {f: F.col(f"{f}_y") for f in names}))
+        found = x.join(y.hint("merge"), "tok").where(once & self._may_reach({f: F.col(f"{f}_x") for f in names}, {f: F.col(f"{f}_y") for f in names}))
         return found.select(F.least("rep_x", "rep_y").alias("u"), F.greatest("rep_x", "rep_y").alias("v")).distinct()
 
 
@@ -628,4 +635,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """``docs`` with only the smallest id of each component; rows with null ids stay."""
     found = jaccard_components(docs, id_col, text_col)
     gone = found.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_q_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_q_gone"], "left_anti")
+    return docs.join(gone.hint("merge"), docs[id_col] == gone["_q_gone"], "left_anti")
