@@ -52,7 +52,8 @@ ORDERS = (0, 1, 2)
 SMALL = 8
 #: Rounds over large buckets: random neighbours (0), then one in so many pairs apart; the last takes all.
 ROUNDS = (0, 8, 1)
-PARTNERS = 8
+PARTNERS = 8  # so many pairs apart for each entry are few enough to try all of them
+NEIGHBOURS = 3  # partners of a set in a round of random ones
 CELLS_LOG = 20
 SLICES = 64
 BLOOM_LOG = 25
@@ -599,7 +600,7 @@ class JaccardJoin:
         met = met.where(self._may_reach({f: F.col(f) for f in fields}, {f: F.col(f"p.{f}") for f in fields}))
         pairs = met.select(F.least("rep", "p.rep").alias("u"), F.greatest("rep", "p.rep").alias("v")).distinct()
         few = Window.partitionBy("u").orderBy(F.xxhash64("v", F.lit(step)), "v")
-        return pairs.withColumn("_rn", F.row_number().over(few)).where(F.col("_rn") <= PARTNERS).drop("_rn")
+        return pairs.withColumn("_rn", F.row_number().over(few)).where(F.col("_rn") <= NEIGHBOURS).drop("_rn")
 
     def pairs_apart(self, e: DataFrame, main: DataFrame, share: int) -> DataFrame:
         """Pairs of a bucket in different components: those outside its largest with all others.
