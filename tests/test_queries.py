@@ -38,3 +38,13 @@ def test_query(spark, sf_dir, duck, name):
     assert sorted(res.columns) == names
     at = [res.columns.index(c) for c in names]
     assert got == sorted((tuple(plain(r[i]) for i in at) for r in res.fetchall()), key=repr)
+
+
+@pytest.mark.parametrize("flags", ["ANR", "RNA", "NRA"])
+def test_tied_lines_have_one_order(spark, tmp_path, flags):
+    """Lines that agree in all keys of an order come out the same, however they are stored."""
+    spark.createDataFrame([(1, 7)], "o_orderkey long, o_custkey long").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    lines = [(1, 2, 5, f, "O") for f in flags]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    rows = QUERIES["agg_group_by_scene_field"][0](spark, str(tmp_path)).collect()
+    assert [r["values"] for r in rows] == ["R|N|A"]
