@@ -182,11 +182,21 @@ def common_levels(profile: DataFrame) -> np.ndarray:
     counts = np.zeros((SLICES, (1 << CELLS_LOG) // SLICES), dtype=np.int64)
     for row in slices.collect():
         counts[row["slice"]] = np.frombuffer(row["counts"], "<i8")
-    flat = counts.reshape(-1)
-    floor = max(64.0, 4.0 * flat.mean())
-    levels = np.zeros(len(flat), dtype=np.uint8)
-    high = flat >= floor
-    levels[high] = np.minimum(15, 1 + np.log2(flat[high] / floor)).astype(np.uint8)
+    return levels_of(counts.reshape(-1))
+
+
+def levels_of(counts: np.ndarray) -> np.ndarray:
+    """Levels by how far a cell's count lies above what the rare tokens of a cell sum up to.
+
+    Those grow with the corpus and vary by about the root of their number, so a
+    token that is in a fixed share of the documents stands out at every size.
+    """
+    usual = np.median(counts)
+    spread = max(np.sqrt(usual), 1.4826 * np.median(np.abs(counts - usual)))
+    floor = max(64.0, 6.0 * spread)
+    levels = np.zeros(len(counts), dtype=np.uint8)
+    high = counts - usual >= floor
+    levels[high] = np.minimum(15, 1 + np.log2((counts[high] - usual) / floor)).astype(np.uint8)
     return levels
 
 

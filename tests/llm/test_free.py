@@ -6,6 +6,7 @@ import itertools
 import random
 import re
 import time
+import zlib
 
 import brute
 import numpy as np
@@ -130,6 +131,20 @@ def test_hot_tokens_have_several_buckets(spark, monkeypatch):
     assert got == brute.components(rows)
 
 
+def test_common_tokens_stand_out_in_a_large_corpus(spark):
+    """A token that a fixed share of the documents holds has a level, however many rare ones share its cell."""
+    rng = np.random.default_rng(3)
+    for rare in (20, 120, 1_500, 7_500):
+        counts = rng.poisson(rare, 1 << jaccard_join.CELLS_LOG)
+        common = rng.choice(len(counts), 1000, replace=False)
+        counts[common] += max(100, rare)
+        parts = counts.astype("<u2").reshape(jaccard_join.SLICES, -1)
+        rows = [(i, bytearray(zlib.compress(x.tobytes(), 1))) for i, x in enumerate(parts)]
+        levels = jaccard_join.common_levels(spark.createDataFrame(rows, "slice int, counts binary"))
+        assert (levels[common] > 0).mean() > 0.99
+        assert (levels > 0).mean() < 0.01
+
+
 def test_jaccard_join_long_texts(spark):
     rng = random.Random(12)
     words = [f"w{rng.randint(0, 10**6)}" for _ in range(120_000)]
