@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 _LOCAL_ROOTS: dict[str, str] = {}
 _MADE: list[Scratch] = []
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+SWEEP_SECONDS = 5.0  # at least so long from one sweep to the next
+_SWEPT: dict[str, float] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -55,6 +58,18 @@ def set_aside(df: DataFrame, names: tuple[str, ...]) -> tuple[DataFrame, dict[st
     return df.withColumnsRenamed({n: aside for aside, n in back.items()}), back
 
 
+def sweep(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of plans that are done.
+
+    It does so once the driver's garbage collector has found that nothing refers
+    to them, which a driver with memory to spare may put off for the whole run.
+    """
+    app, now = spark.sparkContext.applicationId, time.monotonic()
+    if now - _SWEPT.get(app, now - SWEEP_SECONDS) >= SWEEP_SECONDS:
+        spark._jvm.System.gc()
+        _SWEPT[app] = time.monotonic()
+
+
 class Scratch:
     """Parquet tables under one fresh folder of the shared root."""
 
@@ -66,6 +81,7 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` once and return the frame that reads it back."""
+        sweep(self.spark)  # of what the steps before have left
         path = f"{self.base}/{name}"
         schema = df.schema
         df.write.mode("overwrite").parquet(path)

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import components, decontaminate, html_text, jaccard_join, langid, syncmers, textkit
+from quire.llm import components, decontaminate, html_text, jaccard_join, langid, scratch, syncmers, textkit
 from quire.llm.html_blocks import leaf_blocks
 from layouts import LAYOUTS
 from quire.llm.scratch import Scratch
@@ -131,6 +131,26 @@ def test_hot_tokens_have_several_buckets(spark, monkeypatch):
     assert got == brute.components(rows)
 
 
+def test_shuffle_files_of_earlier_steps_go(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "SWEEP_SECONDS", 0.0, raising=False)
+    disk = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager()
+
+    def files():
+        return {f for f in (str(x) for x in disk.getAllFiles().mkString("\n").split("\n")) if "shuffle_" in f and f.endswith(".data")}
+
+    before, table = files(), Scratch(spark, "freed")
+    table.save(spark.range(100_000).repartition(8, "id"), "first")
+    assert files() - before
+    for name in ("second", "third"):
+        time.sleep(1)  # Spark's listeners look at a plan for a moment after it is done
+        table.save(spark.range(10), name)
+    end = time.time() + 10
+    while files() - before and time.time() < end:
+        time.sleep(0.1)
+    table.drop()
+    assert not files() - before
+
+
 def test_common_tokens_stand_out_in_a_large_corpus(spark):
     """A token that a fixed share of the documents holds has a level, however many rare ones share its cell."""
     rng = np.random.default_rng(3)
