@@ -9,11 +9,13 @@ same anchors in it.  The fingerprint is all anchors of the text, each with its
 chain of common anchors in the order of both texts, as a share of the anchors of
 both (those of the chain counted once).
 
-A fingerprint is written as base64 of its anchors in the order of the text:
-their number (4 bytes), their hashes (8 bytes each), then a byte for each with
-how far its position lies beyond the one before (from 0).  A step of 255 or more
-is 255 there, and its 4 bytes follow after the steps.  All numbers have their
-lowest byte first; nothing stands for no anchors.
+A fingerprint is written as base85 (RFC 1924's signs, as ``base64.b85encode``) of
+its anchors in the order of the text: their number (4 bytes), their hashes (8
+bytes each), then 3 bits for each with how far its position lies beyond the one
+before (from 0), filled up to whole bytes.  A step of 7 or more, which closed
+syncmers don't leave between them, is 7 there, and its 4 bytes follow after the
+steps.  Zeros fill the last 4 bytes.  All numbers have their lowest byte first,
+the steps their highest bit; nothing stands for no anchors.
 
 Defined results: null text is empty; an empty text has an empty fingerprint,
 which equals another empty one (likeness 1) and is unlike any other (0); equal
@@ -24,7 +26,6 @@ the first, and a single row is its own next.
 
 from __future__ import annotations
 
-import base64
 import bisect
 import hashlib
 from collections.abc import Iterator
@@ -43,7 +44,12 @@ MAX_BUCKETS = 1 << 16
 BUCKETS_PER_TASK = 16
 OUT_BYTES = 4 << 20  # of fingerprints in one batch
 MANY = 8  # pairs for each anchor, beyond which bits are used
+FAR = 7  # a step that is written in 4 bytes
 _STEP = 0x9E3779B97F4A7C15
+_SIGNS = np.frombuffer(b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz!#$%&()*+-;<=>?@^_`{|}~", np.uint8)
+_TWO_SIGNS = np.stack([np.repeat(_SIGNS, 85), np.tile(_SIGNS, 85)], 1)
+_SIGN_VALUES = np.zeros(128, np.uint32)
+_SIGN_VALUES[_SIGNS] = np.arange(85)
 
 
 def _rolling(codes: np.ndarray, size: int) -> np.ndarray:
@@ -90,6 +96,26 @@ def anchors(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.n
     return tk.mix(_rolling(codes, n) + np.uint64(n), 31), np.zeros(1, np.int64)
 
 
+def _written(raw: bytes) -> str:
+    """Bytes in fours as base85, two signs at a time."""
+    rest = np.frombuffer(raw, ">u4").astype(np.uint32)
+    out = np.empty((len(rest), 5), np.uint8)
+    tens = rest // 85
+    out[:, 4] = _SIGNS[rest - tens * 85]
+    high = tens // 7225
+    out[:, 2:4] = _TWO_SIGNS[tens - high * 7225]
+    out[:, :2] = _TWO_SIGNS[high]
+    return out.tobytes().decode("ascii")
+
+
+def _read(text: str) -> bytes:
+    signs = _SIGN_VALUES[np.frombuffer(text.encode("ascii"), np.uint8)].reshape(-1, 5)
+    total = signs[:, 0]
+    for i in range(1, 5):
+        total = total * np.uint32(85) + signs[:, i]
+    return total.astype(">u4").tobytes()
+
+
 class Fingerprint:
     """All anchors of a text, hashes and positions, in the order of the text."""
 
@@ -101,19 +127,23 @@ class Fingerprint:
         if not len(self.values):
             return ""
         steps = np.diff(self.at, prepend=0)
-        far = steps[steps >= 255].astype("<u4").tobytes()
-        packed = (np.array([len(steps)], "<u4").tobytes(), self.values.astype("<u8").tobytes(), np.minimum(steps, 255).astype(np.uint8).tobytes(), far)
-        return base64.b64encode(b"".join(packed)).decode()
+        far = steps[steps >= FAR].astype("<u4").tobytes()
+        bits = np.unpackbits(np.minimum(steps, FAR).astype(np.uint8)[:, None], axis=1)[:, 5:]
+        packed = b"".join((np.array([len(steps)], "<u4").tobytes(), self.values.astype("<u8").tobytes(), np.packbits(bits).tobytes(), far))
+        return _written(packed + bytes(-len(packed) % 4))
 
 
 def unpacked(fingerprint: str) -> tuple[np.ndarray, np.ndarray]:
     """(hashes, positions) of a written fingerprint."""
     if not fingerprint:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    raw = base64.b64decode(fingerprint)
+    raw = _read(fingerprint)
     n = int(np.frombuffer(raw, "<u4", 1)[0])
-    steps = np.frombuffer(raw, np.uint8, n, 4 + 8 * n).astype(np.int64)
-    steps[steps == 255] = np.frombuffer(raw, "<u4", -1, 4 + 9 * n)
+    size = -(-3 * n // 8)
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, size, 4 + 8 * n), count=3 * n).reshape(n, 3)
+    steps = bits @ np.array([4, 2, 1], np.int64)
+    far = steps == FAR
+    steps[far] = np.frombuffer(raw, "<u4", int(far.sum()), 4 + 8 * n + size)
     return np.frombuffer(raw, "<u8", n, 4), np.cumsum(steps)
 
 
