@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.schemas import LOG
+from quire.sources.aside import Aside
 
 
 class MalformedLog(ValueError):
@@ -59,13 +60,15 @@ def to_log(records: DataFrame, record_type: str, start: int, order: list[str]) -
     """Records as log rows, numbered on from ``start`` in a given order.
 
     Numbers are a partition's offset plus the row's place in it: only the
-    counts of the range partitions meet, never the rows.
+    counts of the range partitions meet, never the rows.  The rows are written
+    aside first: range bounds are sampled and small partitions merged anew
+    whenever a plan runs, so counts of one run don't fit the rows of another.
     """
     columns = records.columns
     kind = F.lit(record_type).alias("record_type")
     placed = records.repartitionByRange(*order).sortWithinPartitions(*order) if order else records
     line = F.to_json(F.struct(kind, *columns))
-    rows = placed.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"), line.alias("line"))
+    rows = Aside(records.sparkSession, "log").keep(placed.select(F.spark_partition_id().alias("_p"), F.monotonically_increasing_id().alias("_i"), line.alias("line")))
     counts = rows.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_i").alias("_min"))
     offsets = counts.select("_p", "_min", (F.sum("_n").over(Window.orderBy("_p")) - F.col("_n")).alias("_off"))
     met = rows.join(F.broadcast(offsets), "_p")

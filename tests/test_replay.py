@@ -106,6 +106,17 @@ def test_logs(spark, tmp_path):
         logs.strict(foreign)
 
 
+def test_log_numbers_follow_the_order(spark):
+    """More rows than range bounds are sampled from: the numbers still have no gap and no repeat."""
+    records = spark.range(40000).select((F.lit(39999) - F.col("id")).alias("id"), F.col("id").cast("string").alias("name"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as if partitions were too large to be merged
+    try:
+        got = logs.to_log(records, "n", 5, ["id"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["seq"], json.loads(r["line"])["id"]) for r in got) == [(i + 5, i) for i in range(40000)]
+
+
 def test_staging(spark):
     kind = "layer string, sequence long, target_id string, task_id string, content_hash string, payload string"
     old = spark.createDataFrame([("a", 1, "x", "t", "h1", "")], kind)
