@@ -48,3 +48,19 @@ def test_tied_lines_have_one_order(spark, tmp_path, flags):
     spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_returnflag string, l_linestatus string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     rows = QUERIES["agg_group_by_scene_field"][0](spark, str(tmp_path)).collect()
     assert [r["values"] for r in rows] == ["R|N|A"]
+
+
+def test_chapters_without_occurrences(spark, tmp_path):
+    """Orders without lines make no chapter, orders of unknown customers do; customers without orders declare nothing."""
+    con = duckdb.connect()
+    made = {
+        "customer": ("c_custkey long", [(1,), (2,), (3,)]),
+        "orders": ("o_orderkey long, o_custkey long", [(10, 1), (11, 1), (20, 2), (90, 9)]),
+        "lineitem": ("l_orderkey long, l_suppkey long", [(10, 5), (10, 5), (11, 5), (11, 6), (90, 5)]),
+    }
+    for name, (schema, rows) in made.items():
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    fn, sql = QUERIES["agg_occurrences_by_chapter"]
+    got = sorted(tuple(r) for r in fn(spark, str(tmp_path)).select("chapter_id", "entity_count", "occurrence_count").collect())
+    assert got == sorted(con.sql(sql).fetchall()) == [(1, 2, 3), (3, 0, 0), (9, 1, 1)]
