@@ -32,7 +32,8 @@ def fields(text: Column) -> Column:
 
 def fold(text: Column) -> Column:
     """Lower case without diacritics."""
-    return F.translate(F.lower(text), MARKED.lower(), PLAIN.lower())
+    low = F.lower(text)
+    return F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.translate(low, MARKED.lower(), PLAIN.lower()))
 
 
 def tokens(text: Column) -> Column:

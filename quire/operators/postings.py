@@ -18,6 +18,8 @@ from quire.operators.search import B, IDF_FLOOR, K1, parse
 
 #: Bytes of text whose postings go in one bucket.
 BUCKET_BYTES = 256 << 20
+#: Bytes of text that a task splits to tokens, and of text whose postings one sorts, once there are several buckets.
+DEALT_BYTES, TASK_BYTES = 16 << 20, 8 << 20
 
 
 def _bucket(token: Column, buckets: Column) -> Column:
@@ -31,13 +33,20 @@ def buckets_for(docs: DataFrame, text_cols: list[str]) -> int:
 
 
 def build(docs: DataFrame, key: list[str], text_cols: list[str], buckets: int) -> DataFrame:
-    """(token, key, tf, dl, bucket): a row for each token of each document; a key names one document."""
-    said = docs.select(*key, F.concat(*[tokens(F.col(c)) for c in text_cols]).alias("_t"))
+    """(token, key, tf, dl, bucket): a row for each token of each document; a key names one document.
+
+    Tokens are shuffled once, by ranges, and counted after that.
+    """
+    # splits of the files may be of any size: texts are dealt anew, so that no task has to spill its tokens
+    dealt = docs.select(*key, *text_cols).repartition(buckets * (BUCKET_BYTES // DEALT_BYTES), *key) if buckets > 1 else docs
+    said = dealt.select(*key, F.concat(*[tokens(F.col(c)) for c in text_cols]).alias("_t"))
     each = said.select(*key, F.size("_t").cast("long").alias("dl"), F.explode("_t").alias("token"))
-    counted = each.groupBy("token", *key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
-    placed = counted.withColumn("bucket", _bucket(F.col("token"), F.lit(buckets)))
+    placed = each.select(_bucket(F.col("token"), F.lit(buckets)).alias("bucket"), "token", *key, "dl")
     # every task writes runs of tokens of few buckets; a token of many documents goes to several tasks
-    ordered = placed.repartitionByRange("bucket", "token", *key).sortWithinPartitions("bucket", "token", *key)
+    ranged = placed.repartitionByRange(*([buckets * (BUCKET_BYTES // TASK_BYTES)] if buckets > 1 else []), "bucket", "token", *key)
+    # rows of a token and key lie together, so they are counted where they are
+    counted = ranged.groupBy("bucket", "token", *key).agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    ordered = counted.sortWithinPartitions("bucket", "token", *key)
     return ordered.select("token", *key, "tf", "dl", "bucket")
 
 

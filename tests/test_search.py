@@ -2,7 +2,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from quire.operators import revindex, search
+from quire.operators import postings, revindex, search
 
 
 def corpus(spark):
@@ -54,3 +54,15 @@ def test_index_is_literal(spark):
     again = revindex.terms(refs.unionByName(refs))
     assert {r["occurrence_count"] for r in again.collect()} == {1}
     assert revindex.inspect(refs, "Mara")[0] == "refs" and revindex.inspect(refs, "Lo")[0] == "terms"
+
+
+def test_index_shuffles_postings_once(spark):
+    """Tokens meet in one exchange, by ranges; a larger index deals its texts before that and holds the same."""
+    docs = spark.createDataFrame([(i, f"Étre word{i % 7} the the") for i in range(50)] + [(50, None), (50, "the The")], "id long, text string")
+    built = postings.build(docs, ["id"], ["text"], 1)
+    plan = built._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "rangepartitioning" in plan
+    rows = lambda df: sorted(tuple(r) for r in df.drop("bucket").collect())
+    want = sorted([t for i in range(50) for t in (("etre", i, 1, 4), (f"word{i % 7}", i, 1, 4), ("the", i, 2, 4))] + [("the", 50, 2, 2)])
+    assert rows(built) == want
+    assert rows(postings.build(docs, ["id"], ["text"], 2)) == want
