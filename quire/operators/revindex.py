@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import once
+from quire.operators.pack import dealt
 from quire.schemas import TERM_FIELDS
 
 REF_KEY = ["term_type", "term", "scene_id", "source_field", "raw_value"]
@@ -35,8 +36,10 @@ def refs(cards: DataFrame, scene_col: str = "scene_id", chapter_col: str = "chap
             lambda x: F.struct(F.lit(kind).alias("term_type"), x.alias("term"), F.lit(field).alias("source_field"), x.alias("raw_value")),
         )
 
-    found = once(F.try_parse_json(raw_col), lambda v: F.flatten(F.array(*[of_field(v, kind, field) for kind, field in TERM_FIELDS])))
-    rows = cards.select(F.col(scene_col).alias("scene_id"), F.col(chapter_col).alias("chapter_id"), F.explode(found).alias("r"))
+    found = once(F.try_parse_json("_raw"), lambda v: F.flatten(F.array(*[of_field(v, kind, field) for kind, field in TERM_FIELDS])))
+    # cards are dealt, not their references: all of one scene are in one task, and each task sorts few
+    each = dealt(cards.select(F.col(scene_col).alias("scene_id"), F.col(chapter_col).alias("chapter_id"), F.col(raw_col).alias("_raw")), "scene_id")
+    rows = each.select("scene_id", "chapter_id", F.explode(found).alias("r"))
     out = rows.select("r.term_type", "r.term", "scene_id", "chapter_id", "r.source_field", F.lit(1.0).alias("weight"), "r.raw_value")
     return out.dropDuplicates(REF_KEY)
 

@@ -66,3 +66,12 @@ def test_index_shuffles_postings_once(spark):
     want = sorted([t for i in range(50) for t in (("etre", i, 1, 4), (f"word{i % 7}", i, 1, 4), ("the", i, 2, 4))] + [("the", 50, 2, 2)])
     assert rows(built) == want
     assert rows(postings.build(docs, ["id"], ["text"], 2)) == want
+
+
+def test_references_stay_dealt(spark):
+    """A task sorts a share of the cards, however few bytes they are; a scene's references repeat nothing."""
+    card = '{"themes": ["a", "a", "B"]}'
+    cards = spark.createDataFrame([(str(i % 40), "1", card) for i in range(80)], "scene_id string, chapter_id string, raw_json string").coalesce(1)
+    found = revindex.refs(cards)
+    assert found.count() == 80
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
