@@ -64,3 +64,9 @@ def test_chapters_without_occurrences(spark, tmp_path):
     fn, sql = QUERIES["agg_occurrences_by_chapter"]
     got = sorted(tuple(r) for r in fn(spark, str(tmp_path)).select("chapter_id", "entity_count", "occurrence_count").collect())
     assert got == sorted(con.sql(sql).fetchall()) == [(1, 2, 3), (3, 0, 0), (9, 1, 1)]
+
+
+def test_chapters_stay_dealt(spark, sf_dir):
+    """Small shuffled bytes don't merge the tasks that sort a chapter's references several times."""
+    out = QUERIES["agg_group_by_scene_field"][0](spark, sf_dir)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
